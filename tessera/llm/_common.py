@@ -5,7 +5,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -173,3 +175,61 @@ class Recent:
             if rest:
                 self.now.update(zip(rest, self.make(rest), strict=True))
         return self.now
+
+
+def broadcast_if_small(df: DataFrame, rows: int = 1 << 20) -> DataFrame:
+    """``df`` (slim rows, already written by cut) with a broadcast hint if it has at
+    most ``rows`` rows; beyond that, Spark joins it by shuffle."""
+    return F.broadcast(df) if df.count() <= rows else df
+
+
+def grouped(batches: Iterator[pa.RecordBatch], keys: int = 1) -> Iterator[tuple[tuple, list[tuple]]]:
+    """(key, rows) of batches that are sorted by their first ``keys`` columns."""
+    key, rows = None, []
+    for batch in batches:
+        for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if row[:keys] != key:
+                if rows:
+                    yield key, rows
+                key, rows = row[:keys], []
+            rows.append(row)
+    if rows:
+        yield key, rows
+
+
+def components(edges: DataFrame, a: str, b: str) -> DataFrame:
+    """(node, component) for the nodes of ``edges``; component is the least node
+    that links reach. Large-star and small-star steps in turn, each a grouping of
+    edges; a hub's edges are folded by minima before the shuffle. Every round is
+    written to the shared folder; it ends when the edges stand still."""
+    pairs = edges.select(F.least(a, b).alias("v"), F.greatest(a, b).alias("u")).where("u <> v").distinct()
+    pairs, seen = cut(pairs, "links"), None
+    while True:
+        # large star: every larger neighbour of u links to the least one of u and its neighbours
+        both = pairs.select("u", "v").unionAll(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        # small star: u's smaller neighbours and u link to the least of them
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        pairs = cut(small.unionAll(least.select("u", F.col("m").alias("v"))).distinct(), "links")
+        now = tuple(pairs.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.hash("u", "v").cast("long")), F.lit(0)), F.coalesce(F.bit_xor(F.xxhash64("u", "v")), F.lit(0))).first())
+        if now == seen:
+            break
+        seen = now
+    return pairs.select(F.col("u").alias("node"), F.col("v").alias("component")).unionAll(pairs.select(F.col("v"), F.col("v")).distinct())
+
+
+def map_arrow(df: DataFrame, run, schema: str) -> DataFrame:
+    """mapInArrow with this package at hand on every worker, wherever it runs: its
+    source goes out once a session as a Python file."""
+    context = df.sparkSession.sparkContext
+    if not getattr(context, "_tessera_sent", False):
+        folder = tempfile.mkdtemp(prefix="tessera-source-")
+        package = Path(__file__).resolve().parents[1]
+        with zipfile.ZipFile(f"{folder}/tessera_source.zip", "w") as z:
+            for p in sorted(package.rglob("*.py")):
+                z.write(p, p.relative_to(package.parent))
+        context.addPyFile(f"{folder}/tessera_source.zip")
+        context._tessera_sent = True
+    return df.mapInArrow(run, schema)

@@ -80,7 +80,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (3.0, 1.0, 2.0), share: fl
     bins = bins.withColumn("_before", F.sum("_words").over(upto) - F.col("_words"))
     # the bin of the cut and the following ones with fit_window rows before them at most
     bins = bins.withColumn("_past", F.when(F.col("_before") + F.col("_words") > F.col("_need"), F.col("_rows")).otherwise(0))
-    bins = bins.withColumn("_seen", F.sum("_past").over(upto) - F.col("_past")).withColumn("_cutrows", F.first(F.when(F.col("_past") > 0, F.col("_past")), ignorenulls=True).over(whole))
+    bins = bins.withColumn("_seen", F.sum("_past").over(upto) - F.col("_past")).withColumn("_cutrows", F.min_by("_past", F.when(F.col("_past") > 0, F.col("_bin"))).over(whole))
     bins = bins.select("_source", "_bin", "_need", "_before", F.when(F.col("_before") + F.col("_words") <= F.col("_need"), "all").when(F.col("_seen") < F.col("_cutrows") + fit_window, "edge").otherwise("none").alias("_how"))
     bins = cut(bins, "mix-bins")
     df = df.join(bins, ["_source", "_bin"], "left")

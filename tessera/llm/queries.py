@@ -19,6 +19,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def held_out(id_col: str = "doc_id"):
+    """Rows whose labels are never learnt from."""
+    return F.crc32(F.col(id_col).cast("string").cast("binary")) % 5 == 0
+
+
+def op1_attention_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.quality_classifier import fit, score
+
+    docs = table(spark, sf_dir, "documents")
+    model = fit(docs, table(spark, sf_dir, "labels").where(~held_out()), "quality", max_docs=4000)
+    return score(docs, model, threshold=0.3).select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "score", "predicted")
+
+
 def op2_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm.sentence_pieces import encode_decode
 
@@ -33,6 +46,12 @@ def op3_hash_tree_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard(table(spark, sf_dir, "documents"), cluster(8), cluster(9))
 
 
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.jaccard_join import jaccard_components
+
+    return jaccard_components(table(spark, sf_dir, "documents"), width=5, threshold=(3, 4)).drop("set_id")
+
+
 def op7_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm.mixing import mix
 
@@ -49,11 +68,40 @@ def op8_orc_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ids_crc32(read_tokens(spark, path))
 
 
+def op9_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.line_templates import drop_recurring
+
+    out = drop_recurring(table(spark, sf_dir, "documents"), min_docs=10, min_tokens=5, similarity=0.7)
+    return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
 def op10_robust_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm.outlier_rules import quality_rules
 
     return quality_rules(table(spark, sf_dir, "documents")).drop("distance2")
 
 
-QUERIES = {f.__name__: f for f in (op2_sentence_pieces, op3_hash_tree_shards, op7_pareto_mix, op8_orc_tokens, op10_robust_outliers)}
+QUERIES = {f.__name__: f for f in (op1_attention_quality, op2_sentence_pieces, op3_hash_tree_shards, op6_jaccard_join, op7_pareto_mix, op8_orc_tokens, op9_line_templates, op10_robust_outliers)}
 ORACLE: dict[str, str] = {}
+
+#: The sets of word shingles, all pairs that share one, and what links reach.
+ORACLE["op6_jaccard_join"] = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), sets AS (
+  SELECT DISTINCT doc_id, CASE WHEN len(w) < 5 THEN array_to_string(w, ' ') ELSE array_to_string(w[i:i+4], ' ') END AS s
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM words WHERE len(w) > 0)
+), sizes AS (
+  SELECT doc_id, count(*) AS n FROM sets GROUP BY doc_id
+), shared AS (
+  SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM sets a JOIN sets b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY ALL
+), links AS (
+  SELECT x, y FROM shared JOIN sizes p ON p.doc_id = x JOIN sizes q ON q.doc_id = y WHERE 100 * c >= 75 * (p.n + q.n - c)
+), reach AS (
+  SELECT x AS node, y AS other FROM links
+  UNION
+  SELECT r.node, l.y FROM reach r JOIN links l ON l.x = r.other
+)
+SELECT d.doc_id, coalesce(s.n, 0) AS n_shingles, least(d.doc_id, coalesce(m.c, d.doc_id)) AS component_id
+FROM documents d LEFT JOIN sizes s USING (doc_id) LEFT JOIN (SELECT node, min(other) AS c FROM reach GROUP BY node) m ON m.node = d.doc_id
+"""

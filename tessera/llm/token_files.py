@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.llm._common import Recent, partitions, steps
+from tessera.llm._common import Recent, map_arrow, partitions, steps
 
 TABLE_ROWS = 300_000
 #: A blank before more white space: there, a chunk must not start.
@@ -99,7 +99,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int, i
     kind = docs.schema[id_col].dataType.simpleString()
     slim = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     ordered = slim.repartitionByRange(partitions(docs.sparkSession), F.col("doc_id").asc_nulls_first(), F.xxhash64("text")).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
-    rows = ordered.mapInArrow(run, f"doc_id {kind}, tokens array<int>, n_tokens long, part int, part_start long")
+    rows = map_arrow(ordered, run, f"doc_id {kind}, tokens array<int>, n_tokens long, part int, part_start long")
     rows.write.option("orc.bloom.filter.columns", "doc_id").option("orc.bloom.filter.fpp", bloom_fpp).option("orc.stripe.size", stripe_bytes).option("orc.row.index.stride", row_index_stride).option("compression", "zstd").orc(path)
 
 
@@ -130,4 +130,4 @@ def ids_crc32(rows: DataFrame) -> DataFrame:
             crc = np.fromiter((zlib.crc32(raw[a:b]) for a, b in zip(at[:-1], at[1:], strict=True)), np.int64, batch.num_rows)
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return rows.select("doc_id", "start", "n_tokens", "tokens").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return map_arrow(rows.select("doc_id", "start", "n_tokens", "tokens"), run, "doc_id long, start long, n_tokens long, ids_crc32 long")
