@@ -154,6 +154,25 @@ def lower_bytes(raw: np.ndarray) -> np.ndarray:
     return _LOWER[raw]
 
 
+class Lookup(dict):
+    """A table of results by word, made when first asked for. Two generations of
+    ``rows`` words bound it, as in Recent."""
+
+    def __init__(self, make, rows: int):
+        super().__init__()
+        self.make, self.rows, self.old = make, rows, {}
+
+    def __missing__(self, word):
+        found = self.old.get(word)
+        if found is None:
+            found = self.make(word)
+        if len(self) >= self.rows:
+            self.old = dict(self)
+            self.clear()
+        self[word] = found
+        return found
+
+
 class Recent:
     """A table of results by word that keeps what was used of late: when it holds
     ``rows`` words, they become the old generation, from which words in use come

@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -31,42 +32,68 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.llm._common import Recent, map_arrow, partitions, steps
+from tessera.llm._common import Lookup, map_arrow, partitions, steps
 
-TABLE_ROWS = 300_000
+TABLE_ROWS = 400_000
 #: A blank before more white space: there, a chunk must not start.
 _RUN = re.compile(r"[ \n][\s\x85\x1c-\x1f]")
 _CUT = re.compile(r"(?=[ \n][^\s\x85\x1c-\x1f])")
+#: A full stop or comma that follows no letter or digit: it may belong to a run of
+#: symbols, and a chunk must not start at it.
+_LOOSE = re.compile(r"[.,](?<![^\W_].)")
+#: How byte-level vocabularies write the bytes that don't print.
+_PRINTED = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_LETTER = {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b not in _PRINTED)}
 
 
 class ChunkEncoder:
     """ids of texts by the tokenizers library, each distinct chunk once."""
 
     def __init__(self, tokenizer_path: str, table_rows: int = TABLE_ROWS):
+        import json
+
+        import regex
+        from public_tokenizers import PATTERN
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(tokenizer_path)
-        self.table = Recent(self.segment, table_rows)
-        for probe in ("a b\nc", "it's 12  x\n\n y\t z.", " a", "\na"):
-            if np.frombuffer(b"".join(self.segment(self.chunks(probe))), np.int32).tolist() != self.library.encode(probe, add_special_tokens=False).ids:
-                raise ValueError("this tokenizer does not split before blanks")
-
-    @staticmethod
-    def chunks(text: str) -> list[str]:
+        self.model, self.split = self.library.model, regex.compile(PATTERN).findall
+        with open(tokenizer_path) as f:
+            self.added = [t["content"] for t in json.load(f)["added_tokens"]]
+        self.table = Lookup(self.segment, table_rows)
+        for probe in ("a b\nc", "it's 12  x\n\n y\t z.", " a", "\na", "a,b. c_. ...é😀 don't.,x\u00a0y", *self.added, f"a{self.added[0] if self.added else ''} b"):
+            if np.frombuffer(b"".join(map(self.segment, self.chunks(probe))), np.int32).tolist() != self.library.encode(probe, add_special_tokens=False).ids:
+                raise ValueError("this tokenizer does not split as byte-level ones do")
+
+    def chunks(self, text: str) -> list[str]:
+        """The text in pieces between which a token always ends."""
         if not text:
             return []
+        if any(t in text for t in self.added):
+            return [text]
         if "\0" in text or _RUN.search(text):
             return [x for x in _CUT.split(text) if x]
-        found = text.replace(" ", "\0 ").replace("\n", "\0\n").split("\0")
+        cut = text.replace(" ", "\0 ").replace("\n", "\0\n")
+        if not _LOOSE.search(text):
+            cut = cut.replace(".", "\0.").replace(",", "\0,")
+        found = cut.split("\0")
         return found if found[0] else found[1:]
 
-    def segment(self, chunks: list[str]) -> list[bytes]:
-        return [np.array(x.ids, np.int32).tobytes() for x in self.library.encode_batch_fast(chunks, add_special_tokens=False)]
+    def segment(self, chunk: str) -> bytes:
+        """A chunk's ids: its words go to the library's model; a chunk that holds
+        an added token goes to the whole tokenizer."""
+        if chunk[0] == " " and chunk.isascii() and chunk[1:].isalpha():
+            ids = [t.id for t in self.model.tokenize(_LETTER[32] + chunk[1:])]
+        elif any(t in chunk for t in self.added):
+            ids = self.library.encode(chunk, add_special_tokens=False).ids
+        else:
+            ids = [t.id for word in self.split(chunk) for t in self.model.tokenize(word.encode().decode("latin-1").translate(_LETTER))]
+        return array("i", ids).tobytes()
 
     def encode(self, texts: list[str | None], end_id: int | None) -> tuple[np.ndarray, np.ndarray]:
         """Offsets of the texts into the ids, and all ids."""
         split = [self.chunks(t or "") for t in texts]
-        get = self.table.cover(set().union(*split)).__getitem__
+        get = self.table.__getitem__
         end = b"" if end_id is None else np.array([end_id], np.int32).tobytes()
         out = [b"".join(map(get, x)) + end for x in split]
         ends = np.zeros(len(out) + 1, np.int64)
