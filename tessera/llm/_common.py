@@ -3,6 +3,7 @@ folder, text batches for Arrow UDFs, word boundaries and word hashes."""
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 import zipfile
@@ -222,7 +223,7 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     edges; a hub's edges are folded by minima before the shuffle. Every round is
     written to the shared folder; it ends when the edges stand still."""
     pairs = edges.select(F.least(a, b).alias("v"), F.greatest(a, b).alias("u")).where("u <> v").distinct()
-    pairs, seen = cut(pairs, "links"), None
+    seen = None
     while True:
         # large star: every larger neighbour of u links to the least one of u and its neighbours
         both = pairs.select("u", "v").unionAll(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -252,3 +253,10 @@ def map_arrow(df: DataFrame, run, schema: str) -> DataFrame:
         context.addPyFile(f"{folder}/tessera_source.zip")
         context._tessera_sent = True
     return df.mapInArrow(run, schema)
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark drop shuffle files of finished steps, which it does when the
+    driver's garbage is collected."""
+    gc.collect()
+    spark._jvm.System.gc()

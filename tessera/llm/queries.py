@@ -46,6 +46,13 @@ def op3_hash_tree_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard(table(spark, sf_dir, "documents"), cluster(8), cluster(9))
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.suffix_dedup import remove_repeats
+
+    out = remove_repeats(table(spark, sf_dir, "documents"), length=100)
+    return out.select("doc_id", "n_bytes", (F.col("n_bytes") - F.octet_length("kept")).cast("long").alias("n_removed"), F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm.jaccard_join import jaccard_components
 
@@ -81,7 +88,7 @@ def op10_robust_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents")).drop("distance2")
 
 
-QUERIES = {f.__name__: f for f in (op1_attention_quality, op2_sentence_pieces, op3_hash_tree_shards, op6_jaccard_join, op7_pareto_mix, op8_orc_tokens, op9_line_templates, op10_robust_outliers)}
+QUERIES = {f.__name__: f for f in (op1_attention_quality, op2_sentence_pieces, op3_hash_tree_shards, op5_suffix_dedup, op6_jaccard_join, op7_pareto_mix, op8_orc_tokens, op9_line_templates, op10_robust_outliers)}
 ORACLE: dict[str, str] = {}
 
 #: The sets of word shingles, all pairs that share one, and what links reach.
