@@ -14,9 +14,9 @@ rows. Work is skipped at three places:
 * Answers are derived from those of a similar set. Every list's entries are first
   compared with one pivot of the list; what links shares the pivot's answer (its
   component), and no pair inside a component is compared again. Further rounds
-  compare one entry of each remaining component of a list with its pivot. In the
-  end all pairs of a list from different components are compared, so no link
-  between components is lost.
+  put each list into another hashed order and compare neighbours from different
+  components. In the end all pairs of a list that are still in different
+  components are compared, so no link between components is lost.
 
 Shuffles carry packed index entries (24 bytes each), and sets of those classes
 alone that share an indexed token with another one.
@@ -33,13 +33,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm._common import broadcast_if_small, components, cut, grouped, lower_bytes, map_arrow, mix, partitions, span_hashes, steps, text_buffer, word_spans
+from tessera.llm._common import broadcast_if_small, components, cut, grouped, lower_bytes, map_arrow, mix, partitions, release, span_hashes, steps, text_buffer, word_spans
 
-#: Counters of the token sketch (a fixed 8 MB), and the parts it travels in.
-CELLS = 1 << 21
+#: Counters of the token sketch (a fixed 16 MB), and the parts it travels in.
+CELLS = 1 << 22
 SLICES = 32
 _ENTRY = np.dtype([("token", "<i8"), ("set", "<i8"), ("n", "<i4"), ("pos", "<i4")])
 _BLOCK = 64
@@ -264,7 +264,7 @@ def _joined(entries: DataFrame, comps: DataFrame | None) -> DataFrame:
     return entries.join(comps, "set", "left").withColumn("comp", F.coalesce("_c", "set")).drop("_c")
 
 
-def link_classes(docs: DataFrame, width: int = 5, threshold: tuple[int, int] = (3, 4), rounds: int = 3) -> tuple[DataFrame, DataFrame]:
+def link_classes(docs: DataFrame, width: int = 5, threshold: tuple[int, int] = (3, 4), rounds: int = 4) -> tuple[DataFrame, DataFrame]:
     """For (id, text) rows: (id, set, n) of every row, and (node, component) of the
     sets that link."""
     num, den = threshold
@@ -273,44 +273,39 @@ def link_classes(docs: DataFrame, width: int = 5, threshold: tuple[int, int] = (
     texts = rows.where("kind = 0").select("id", "set", "n")
     sketch = spark.sparkContext.broadcast(_sketch(rows))
     entries = cut(_index(docs, width, num, den, sketch), "lists")
+    release(spark)
     first = texts.where("n > 0").groupBy("set").agg(F.min("id").alias("id"))
-    needed = cut(first.join(entries.select("set").distinct(), "set"), "needed")
-    sets = cut(_sets(docs, needed, width), "token-sets")
-    links, comps = None, None
-    tried = None
+    owners = cut(first.join(entries.select("set").distinct(), "set"), "owners")
+    links, comps, tried = None, None, None
     for k in range(rounds + 1):
         if k == 0:
             pairs = entries.where("pivot is not null").select(F.col("pivot").alias("a"), F.col("set").alias("b")).distinct()
         else:
             live = _joined(entries.select("token", "set", "n", "pos"), comps)
             mixed = live.groupBy("token").agg(F.min("comp").alias("_lo"), F.max("comp").alias("_hi")).where("_lo <> _hi").select("token")
-            live = cut(live.join(mixed, "token"), "live-lists")
-            pairs = _star_pairs(live, num, den) if k < rounds else _all_pairs(live, num, den)
+            live = live.join(mixed, "token")
+            pairs = _neighbours(live, num, den, k) if k < rounds else _all_pairs(live, num, den)
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
         pairs = cut(pairs, "pairs")
-        tried = pairs if tried is None else cut(tried.unionAll(pairs), "tried")
-        found = _verify(pairs, sets, num, den)
-        links = cut(found if links is None else links.unionAll(found), "verified")
-        comps = cut(components(links, "a", "b"), "components")
+        tried = pairs if tried is None else tried.unionAll(pairs)
+        asked = pairs.select(F.col("a").alias("set")).unionAll(pairs.select("b")).distinct()
+        sets = cut(_sets(docs, cut(owners.join(asked, "set"), "asked"), width), "token-sets")
+        found = cut(_verify(pairs, sets, num, den), "verified")
+        release(spark)
+        if links is None or found.head(1):
+            links = found if links is None else links.unionAll(found)
+            comps = components(links, "a", "b")
     return texts, comps
 
 
-def _star_pairs(live: DataFrame, num: int, den: int) -> DataFrame:
-    """In every list, one entry of each component with the entry of the list's
-    largest set, which many others are near to."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, rows in grouped(batches, 1):
-            p, seen, a, b = rows[len(rows) // 2], set(), [], []
-            for _, s, n, pos, comp in rows:
-                if comp != p[4] and comp not in seen and min(n - pos, p[2] - p[3]) >= enough(n, p[2], num, den):
-                    seen.add(comp)
-                    a.append(min(s, p[1]))
-                    b.append(max(s, p[1]))
-            if a:
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
-
-    return _by_token(live, run).distinct()
+def _neighbours(live: DataFrame, num: int, den: int, turn: int) -> DataFrame:
+    """Of every list, in an order that hashes of sets and ``turn`` give, neighbours
+    from different components: two pairs for an entry at most."""
+    at = Window.partitionBy("token").orderBy(F.xxhash64(F.lit(turn), "token", "set"), "set")
+    rows = live.select("token", "set", "n", "pos", "comp", *[F.lag(c).over(at).alias(f"_{c}") for c in ("set", "n", "pos", "comp")])
+    rest = F.least(F.col("n") - F.col("pos"), F.col("_n") - F.col("_pos"))
+    can = (F.col("comp") != F.col("_comp")) & (rest * (num + den) >= (F.col("n") + F.col("_n")) * num)
+    return rows.where(can).select(F.least("set", "_set").alias("a"), F.greatest("set", "_set").alias("b")).distinct()
 
 
 def _all_pairs(live: DataFrame, num: int, den: int) -> DataFrame:
