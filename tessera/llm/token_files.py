@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.llm._common import Lookup, map_arrow, partitions, steps
+from tessera.llm._common import Lookup, broadcast_if_small, cut, map_arrow, partitions, steps
 
 TABLE_ROWS = 400_000
 #: A blank before more white space: there, a chunk must not start.
@@ -139,10 +139,10 @@ def read_tokens(spark: SparkSession, path: str, doc_ids: list[int] | None = None
     # one row for each part: parts are as many as shuffle partitions
     parts = rows.groupBy("part").agg(F.sum("n_tokens").alias("part_tokens"))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    parts = parts.select("part", F.coalesce(F.sum("part_tokens").over(before), F.lit(0)).alias("before"))
+    parts = cut(parts.select("part", F.coalesce(F.sum("part_tokens").over(before), F.lit(0)).alias("before")), "token-parts")
     if doc_ids is not None:
         rows = rows.where(F.col("doc_id").isin(list(doc_ids)))
-    return rows.join(parts, "part").select("doc_id", (F.col("before") + F.col("part_start")).alias("start"), "n_tokens", "tokens")
+    return rows.join(broadcast_if_small(parts), "part").select("doc_id", (F.col("before") + F.col("part_start")).alias("start"), "n_tokens", "tokens")
 
 
 def ids_crc32(rows: DataFrame) -> DataFrame:
