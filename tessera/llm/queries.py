@@ -46,6 +46,12 @@ def op3_hash_tree_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard(table(spark, sf_dir, "documents"), cluster(8), cluster(9))
 
 
+def op4_itq_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.embedding_dedup import near_links
+
+    return near_links(table(spark, sf_dir, "embeddings"), threshold=0.98)
+
+
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm.suffix_dedup import remove_repeats
 
@@ -88,7 +94,7 @@ def op10_robust_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents")).drop("distance2")
 
 
-QUERIES = {f.__name__: f for f in (op1_attention_quality, op2_sentence_pieces, op3_hash_tree_shards, op5_suffix_dedup, op6_jaccard_join, op7_pareto_mix, op8_orc_tokens, op9_line_templates, op10_robust_outliers)}
+QUERIES = {f.__name__: f for f in (op1_attention_quality, op2_sentence_pieces, op3_hash_tree_shards, op4_itq_near_dedup, op5_suffix_dedup, op6_jaccard_join, op7_pareto_mix, op8_orc_tokens, op9_line_templates, op10_robust_outliers)}
 ORACLE: dict[str, str] = {}
 
 #: The sets of word shingles, all pairs that share one, and what links reach.
@@ -112,3 +118,19 @@ WITH RECURSIVE words AS (
 SELECT d.doc_id, coalesce(s.n, 0) AS n_shingles, least(d.doc_id, coalesce(m.c, d.doc_id)) AS component_id
 FROM documents d LEFT JOIN sizes s USING (doc_id) LEFT JOIN (SELECT node, min(other) AS c FROM reach GROUP BY node) m ON m.node = d.doc_id
 """
+
+#: All pairs of a label, in double precision.
+ORACLE["op4_itq_near_dedup"] = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), links AS (
+  SELECT a.vec_id AS x, b.vec_id AS y FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+  WHERE list_dot_product(a.e, b.e) / (sqrt(list_dot_product(a.e, a.e)) * sqrt(list_dot_product(b.e, b.e))) >= 0.98
+), reach AS (
+  SELECT x AS node, y AS other FROM links UNION SELECT r.node, l.y FROM reach r JOIN links l ON l.x = r.other
+)
+SELECT d.vec_id, coalesce(n.n, 0) AS n_links, least(d.vec_id, coalesce(m.c, d.vec_id)) AS component_id, d.vec_id = least(d.vec_id, coalesce(m.c, d.vec_id)) AS kept
+FROM embeddings d LEFT JOIN (SELECT x, count(*) AS n FROM links GROUP BY x) n ON n.x = d.vec_id
+LEFT JOIN (SELECT node, min(other) AS c FROM reach GROUP BY node) m ON m.node = d.vec_id
+"""
