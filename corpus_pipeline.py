@@ -1,15 +1,76 @@
-"""The corpus pipeline (its stages follow)."""
+"""The corpus pipeline: quality classifier, line dedup, n-gram Jaccard join, mixing
+sources to target weights, SentencePiece ids.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame. All but the last
+return the columns of documents; the last returns (doc_id, n_tokens, ids,
+decoded_sha256), one row for each copy of a document that the mix takes.
+
+Defined results: every stage takes null texts, ids, languages and sources and
+repeated rows as its operator says; rows with equal ids stay or go together in
+the Jaccard stage; a document that the line stage leaves empty goes.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tessera.llm._common import broadcast_if_small, cut
+from tessera.llm.jaccard_join import jaccard_components
+from tessera.llm.line_templates import drop_recurring
+from tessera.llm.mixing import mixed_documents
+from tessera.llm.quality_classifier import fit, score
+from tessera.llm.queries import held_out, table, tokenizer
+from tessera.llm.sentence_pieces import encode_decode
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier does not reject. It learns from the labels of
+    rows that are not held out, as far as their documents are in ``docs``."""
+    model = fit(docs, table(spark, sf_dir, "labels").where(~held_out()), "quality", max_docs=4000)
+    return score(docs, model, carry=("text", "lang", "source", "n_chars"), threshold=0.3).where("predicted = 1").select(COLUMNS)
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without lines of recurring templates; emptied ones go."""
+    kept = drop_recurring(docs.select(COLUMNS), min_docs=10, min_tokens=5, similarity=0.7)
+    kept = kept.where((F.col("n_dropped") == 0) | (F.length("text") > 0))
+    return kept.withColumn("n_chars", F.when(F.col("n_dropped") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars"))).select(COLUMNS)
+
+
+def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near-duplicates, the document with the least id."""
+    found = jaccard_components(docs, width=5, threshold=(3, 4))
+    gone = cut(found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_gone")).distinct(), "near-duplicates")
+    return docs.join(broadcast_if_small(gone), F.col("doc_id").eqNullSafe(F.col("_gone")), "left_anti").select(COLUMNS)
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document as often as the mix takes it."""
+    return mixed_documents(docs.select(COLUMNS), weights=(3.0, 1.0, 2.0), share=1.5, cap=2.0)
+
+
+def sentence_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """(doc_id, n_tokens, ids, decoded_sha256) of every row."""
+    out = encode_decode(docs, tokenizer("piece_bpe_32k.model"))
+    return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+STAGES = [("quality classifier", quality_classifier), ("line dedup", line_dedup), ("n-gram Jaccard join", jaccard_join), ("mixing sources to target weights", mixing), ("SentencePiece encoding and decoding", sentence_pieces)]
 
-STAGES: list = []
+#: No stage but the mix can be put in SQL; the tests hold each stage against a
+#: brute-force version or the library.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    """The stages, one after the other, on documents; what a stage keeps is written
+    to the shared folder and read by the next."""
+    docs = table(spark, sf_dir, "documents")
+    for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if k + 1 < len(STAGES):
+            docs = cut(docs, f"stage{k + 1}")
     return docs

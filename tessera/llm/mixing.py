@@ -50,11 +50,15 @@ def targets(sources: DataFrame, weights: tuple[float, ...], share: float, cap: f
     return df.select("source", "source_size", F.when(F.col("_held"), F.col("_top")).otherwise(level * F.col("_w")).alias("target"))
 
 
+def _row_hash(seed: int, row_id, text):
+    return F.xxhash64(F.lit(seed), F.coalesce(row_id.cast("string"), F.lit("")), text)
+
+
 def mix(docs: DataFrame, weights: tuple[float, ...] = (3.0, 1.0, 2.0), share: float = 1.5, cap: float = 2.0, seed: int = 1, length_power: float = -0.25, fit_window: int = 64, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """(id_col, size, source_size, target, copies, taken) of every row; taken is
-    copies times size."""
+    """(id_col, size, source_size, target, copies, taken, row_hash) of every row;
+    taken is copies times size, row_hash is equal for rows equal in id and text."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    df = docs.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"), F.xxhash64(F.lit(seed), F.coalesce(F.col(id_col).cast("string"), F.lit("")), text).alias("h"))
+    df = docs.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"), _row_hash(seed, F.col(id_col), text).alias("h"))
     df = cut(df, "mix")
     weighed = F.when(F.col("size") > 0, F.pow(F.col("size").cast("double"), F.lit(1.0 + length_power))).otherwise(0.0)
     # one row a source; null-safe joins on the source follow
@@ -97,6 +101,18 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (3.0, 1.0, 2.0), share: fl
     fits = F.when(~F.col("_in") & (F.col("_nth") <= F.col("_stop")) & (F.abs(F.col("size") - F.col("_gap")) < F.col("_gap")), F.struct(F.abs(F.col("size") - F.col("_gap")).alias("_off"), F.col("_nth")))
     edge = edge.withColumn("_fit", F.min(fits).over(all_edge)["_nth"])
     edge = edge.withColumn("copies", F.col("copies") + (F.col("_in") | (F.col("_nth") == F.coalesce(F.col("_fit"), F.lit(0)))).cast("long"))
-    keep = ["id", "size", "source_size", "target", "copies"]
+    keep = ["id", "h", "size", "source_size", "target", "copies"]
     out = df.where(F.coalesce(F.col("_how"), F.lit("none")) != "edge").select(keep).unionByName(edge.select(keep))
-    return out.select(F.col("id").alias(id_col), "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+    return out.select(F.col("id").alias(id_col), "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"), F.col("h").alias("row_hash"))
+
+
+def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 1, **options) -> DataFrame:
+    """The rows of ``docs``, each as often as the mix takes it. Rows that are equal
+    in id and text are one key; each of them takes its own entry of the key's list."""
+    taken = mix(docs, id_col=id_col, text_col=text_col, source_col=source_col, seed=seed, **options).where("copies > 0")
+    lists = taken.groupBy(F.col("row_hash").alias("__mix_key")).agg(F.sort_array(F.collect_list("copies"), asc=False).alias("__mix_copies"))
+    keyed = docs.withColumn("__mix_key", _row_hash(seed, F.col(id_col), F.coalesce(F.col(text_col).cast("string"), F.lit("")))).join(lists, "__mix_key")
+    keyed = keyed.withColumn("__mix_nth", F.row_number().over(Window.partitionBy("__mix_key").orderBy(F.col(source_col).asc_nulls_last())))
+    copies = F.coalesce(F.get("__mix_copies", F.col("__mix_nth") - 1), F.lit(0))
+    keyed = keyed.withColumn("__mix_nth", F.explode(F.when(copies > 0, F.sequence(F.lit(1).cast("long"), copies))))
+    return keyed.select(*[F.col(c) for c in docs.columns])
