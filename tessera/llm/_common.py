@@ -21,7 +21,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 #: Most bytes of text that one step of an Arrow UDF works on at a time (a longer
 #: single text is still taken whole).
-STEP_BYTES = 4 << 20
+STEP_BYTES = 1 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:

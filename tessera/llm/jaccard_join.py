@@ -221,10 +221,41 @@ def list_pairs(n: np.ndarray, pos: np.ndarray, group: np.ndarray, num: int, den:
                 yield i[ok], j[ok]
 
 
+def parities(s: np.ndarray) -> bytes:
+    """A bitmap of at least 2 n bits: bit k tells whether an odd number of tokens
+    falls on k. Where two bitmaps differ, so do the sets."""
+    bits = max(256, 1 << (2 * len(s) - 1).bit_length())
+    return np.packbits(np.bincount((s >> np.uint64(7)).astype(np.int64) & (bits - 1), minlength=bits) & 1, bitorder="little").tobytes()
+
+
+def differing(x: bytes, y: bytes) -> int:
+    """A lower bound of the symmetric difference of two sets, from their parities;
+    the longer bitmap is folded to the length of the shorter one."""
+    a, b = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
+    if len(a) > len(b):
+        a, b = b, a
+    if len(b) > len(a):
+        b = np.bitwise_xor.reduce(b.reshape(-1, len(a)), axis=0)
+    return int(np.bitwise_count(a ^ b).sum())
+
+
 def _verify(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """The (a, b) of ``pairs`` that link."""
+    """The (a, b) of ``pairs`` that link. Parities rule most others out before the
+    sets themselves travel."""
+    names = ["a", "b"]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def kept(batch: pa.RecordBatch, keep: list[bool]) -> pa.RecordBatch:
+        mask = pa.array(keep, pa.bool_())
+        return pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], names=names)
+
+    def maybe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = np.asarray(batch.column(2)).astype(np.int64) + np.asarray(batch.column(3))
+            most = n - 2 * enough(n, 0, num, den)
+            differ = [differing(x, y) for x, y in zip(batch.column(4).to_pylist(), batch.column(5).to_pylist(), strict=True)]
+            yield kept(batch, [d <= m for d, m in zip(differ, most.tolist(), strict=True)])
+
+    def surely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
             for x, y in zip(batch.column(2), batch.column(3), strict=True):
@@ -232,28 +263,31 @@ def _verify(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
                 both = np.sort(np.concatenate([s, t]), kind="stable")
                 shared = int((both[1:] == both[:-1]).sum())
                 keep.append(shared >= enough(len(s), len(t), num, den))
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(keep, pa.bool_())), batch.column(1).filter(pa.array(keep, pa.bool_()))], names=["a", "b"])
+            yield kept(batch, keep)
+
+    def with_both(pairs: DataFrame, *columns: str) -> DataFrame:
+        side = lambda k: sets.select(F.col("set").alias(k), *[F.col(c).alias(f"{c}_{k}") for c in columns])
+        return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", *[f"{c}_{k}" for c in columns for k in "ab"])
 
-    with_a = pairs.join(sets.withColumnsRenamed({"set": "a", "tokens": "ta"}), "a")
-    with_both = with_a.join(sets.withColumnsRenamed({"set": "b", "tokens": "tb"}), "b")
-    return map_arrow(with_both.select("a", "b", "ta", "tb"), run, "a long, b long")
+    left = cut(map_arrow(with_both(pairs, "n", "parities"), maybe, "a long, b long"), "likely-pairs")
+    return map_arrow(with_both(left, "tokens"), surely, "a long, b long")
 
 
 def _sets(docs: DataFrame, needed: DataFrame, width: int) -> DataFrame:
-    """(set, tokens) of the classes in ``needed`` (set, id): the whole sorted sets."""
+    """(set, n, parities, tokens) of the classes in ``needed`` (set, id): the whole sorted sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in steps(batch, 1):
                 sets = shingle_sets(*text_buffer(part.column(1)), width)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([set_key(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["id", "set", "tokens"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([set_key(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int32()), pa.array([parities(s) if len(s) else b"" for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["id", "set", "n", "parities", "tokens"])
 
     kind = docs.schema["id"].dataType.simpleString()
     # only the text of a class's first document can hold the class
     docs = docs.join(broadcast_if_small(needed.select(F.col("id").alias("_id")).distinct()), F.col("id").eqNullSafe(F.col("_id")), "left_semi")
-    made = map_arrow(docs, run, f"id {kind}, set long, tokens binary")
+    made = map_arrow(docs, run, f"id {kind}, set long, n int, parities binary, tokens binary")
     found = made.join(needed.select(F.col("id").alias("_id"), F.col("set").alias("_set")), (F.col("set") == F.col("_set")) & F.col("id").eqNullSafe(F.col("_id")))
-    return found.select("set", "tokens").dropDuplicates(["set"])
+    return found.select("set", "n", "parities", "tokens").dropDuplicates(["set"])
 
 
 def _joined(entries: DataFrame, comps: DataFrame | None) -> DataFrame:
