@@ -33,6 +33,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -186,7 +187,7 @@ def _runs_of(docs: DataFrame, length: int, gram: int, parts: int) -> DataFrame:
                 docs = list(_by_document(e[late], length))
                 if docs:
                     n = len(docs)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.ones(n), pa.int32()), pa.nulls(n, pa.int32()), *(pa.array([x[c] for x in docs], t) for c, t in enumerate((pa.int64(), pa.int32(), pa.binary())))], schema=schema)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.ones(n), pa.int32()), pa.array([x[0] % parts for x in docs], pa.int32()), *(pa.array([x[c] for x in docs], t) for c, t in enumerate((pa.int64(), pa.int32(), pa.binary())))], schema=schema)
                 e = e[keep]
                 to = (e["key"] >> np.uint64(8)) % np.uint64(parts)
                 e = e[np.argsort(to, kind="stable")]
@@ -236,12 +237,21 @@ def _by_document(e: np.ndarray, length: int) -> Iterator[tuple[int, int, bytes]]
 
 def _shared(rows: DataFrame, length: int, gram: int, parts: int) -> DataFrame:
     """From packed runs. Kind 0: segments that have to be compared (key, block and
-    whether the key has several blocks). Kind 1: packed cuts of later copies."""
+    whether the key has several blocks). Kind 1: packed cuts of later copies, those
+    of the step before included."""
     names = ["kind", "id", "h", "start", "windows", "key", "block", "split", "data"]
     types = [pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.bool_(), pa.binary()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        e = np.frombuffer(b"".join(x for batch in batches for x in batch.column(1).to_pylist()), _RUN)
+        packed: list[bytes] = []
+        for batch in batches:
+            cuts = batch.filter(pc.equal(batch.column(0), 1))
+            packed += batch.filter(pc.equal(batch.column(0), 0)).column(4).to_pylist()
+            n = cuts.num_rows
+            if n:
+                yield pa.RecordBatch.from_arrays([cuts.column(0), cuts.column(2), cuts.column(3), *(pa.nulls(n, t) for t in types[3:8]), cuts.column(4)], names=names)
+        e = np.frombuffer(b"".join(packed), _RUN)
+        del packed
         if not len(e):
             return
         by = np.argsort(e["key"], kind="stable")
@@ -278,8 +288,7 @@ def _shared(rows: DataFrame, length: int, gram: int, parts: int) -> DataFrame:
             cols = [np.ascontiguousarray(x[c]) for c in ("id", "h", "start", "windows")]
             yield pa.RecordBatch.from_arrays([pa.array(np.zeros(n), pa.int32()), *map(pa.array, cols), pa.array(np.ascontiguousarray(x["key"]).view(np.int64)), pa.array(block[a : a + n], pa.int32()), pa.array(split[a : a + n]), pa.nulls(n, pa.binary())], names=names)
 
-    packed = rows.where("kind = 0").select("to", "data").repartition(parts, "to")
-    return map_arrow(packed, run, "kind int, id long, h int, start int, windows int, key long, block int, split boolean, data binary")
+    return map_arrow(rows.repartition(parts, "to"), run, "kind int, id long, h int, start int, windows int, key long, block int, split boolean, data binary")
 
 
 def _segments(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
@@ -355,8 +364,7 @@ def remove_repeats(docs: DataFrame, length: int = 100, gram: int = 32, id_col: s
     spark = docs.sparkSession
     parts = partitions(spark)
     numbered = _numbered(docs, id_col, text_col)
-    first = cut(_runs_of(numbered, length, gram, parts), "runs")
-    shared = cut(_shared(first, length, gram, parts), "shared")
+    shared = cut(_shared(_runs_of(numbered, length, gram, parts), length, gram, parts), "shared")
     release(spark)
     wanted = shared.where("kind = 0").select("id", "h", "start", "windows", "key", "block", "split")
     found = cut(_repeats(_segments(numbered, wanted, length), length, parts), "repeats")
@@ -366,7 +374,7 @@ def remove_repeats(docs: DataFrame, length: int = 100, gram: int = 32, id_col: s
     later = later.join(least, ["key", "hash"]).where("at <> least").select("at.id", "at.h", F.struct(F.col("at.start").alias("start"), F.lit(length).alias("bytes")).alias("cut"))
     inner = found.where("kind = 0").select("id", "h", F.struct("start", "bytes").alias("cut"))
     loose = inner.unionAll(later).groupBy("id", "h").agg(F.collect_list("cut").alias("cuts"))
-    packed = first.where("kind = 1").select("id", "h", "data").unionAll(shared.where("kind = 1").select("id", "h", "data")).groupBy("id", "h").agg(F.collect_list("data").alias("packed"))
+    packed = shared.where("kind = 1").groupBy("id", "h").agg(F.collect_list("data").alias("packed"))
     cuts = packed.join(loose, ["id", "h"], "full_outer")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
