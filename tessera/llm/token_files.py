@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm._common import Lookup, broadcast_if_small, cut, map_arrow, partitions, steps
 
-TABLE_ROWS = 400_000
+TABLE_ROWS = 600_000
 #: A blank before more white space: there, a chunk must not start.
 _RUN = re.compile(r"[ \n][\s\x85\x1c-\x1f]")
 _CUT = re.compile(r"(?=[ \n][^\s\x85\x1c-\x1f])")
