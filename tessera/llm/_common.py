@@ -217,12 +217,17 @@ def grouped(batches: Iterator[pa.RecordBatch], keys: int = 1) -> Iterator[tuple[
         yield key, rows
 
 
-def components(edges: DataFrame, a: str, b: str) -> DataFrame:
-    """(node, component) for the nodes of ``edges``; component is the least node
-    that links reach. Large-star and small-star steps in turn, each a grouping of
-    edges; a hub's edges are folded by minima before the shuffle. Every round is
-    written to the shared folder; it ends when the edges stand still."""
+def components(edges: DataFrame, a: str, b: str, one_task: int = 1 << 20) -> DataFrame:
+    """(node, component) for the nodes of ``edges`` (64-bit numbers); component is the
+    least node that links reach. Up to ``one_task`` distinct edges are solved by one
+    task that holds them; beyond, large-star and small-star steps in turn, each a
+    grouping of edges, in which a hub's edges are folded by minima before the
+    shuffle. Every round is written to the shared folder; it ends when the edges
+    stand still."""
     pairs = edges.select(F.least(a, b).alias("v"), F.greatest(a, b).alias("u")).where("u <> v").distinct()
+    pairs = cut(pairs, "links")
+    if pairs.count() <= one_task:
+        return cut(map_arrow(pairs.select("u", "v").coalesce(1), _union, "node long, component long"), "components")
     seen = None
     while True:
         # large star: every larger neighbour of u links to the least one of u and its neighbours
@@ -240,6 +245,26 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     return pairs.select(F.col("u").alias("node"), F.col("v").alias("component")).unionAll(pairs.select(F.col("v"), F.col("v")).distinct())
 
 
+def _union(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Components of the edges of one task."""
+    above: dict[int, int] = {}
+
+    def top(x: int) -> int:
+        while above.setdefault(x, x) != x:
+            above[x] = above[above[x]]
+            x = above[x]
+        return x
+
+    for batch in batches:
+        for x, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            x, y = top(x), top(y)
+            if x != y:
+                above[max(x, y)] = min(x, y)
+    nodes = list(above)
+    if nodes:
+        yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([top(x) for x in nodes], pa.int64())], names=["node", "component"])
+
+
 def map_arrow(df: DataFrame, run, schema: str) -> DataFrame:
     """mapInArrow with this package at hand on every worker, wherever it runs: its
     source goes out once a session as a Python file."""

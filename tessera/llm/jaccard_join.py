@@ -290,15 +290,16 @@ def _sets(docs: DataFrame, needed: DataFrame, width: int) -> DataFrame:
     return found.select("set", "n", "parities", "tokens").dropDuplicates(["set"])
 
 
-def _joined(entries: DataFrame, comps: DataFrame | None) -> DataFrame:
-    """``entries`` with the component of each set."""
-    if comps is None:
-        return entries.withColumn("comp", F.col("set"))
-    comps = comps.withColumnsRenamed({"node": "set", "component": "_c"})
-    return entries.join(comps, "set", "left").withColumn("comp", F.coalesce("_c", "set")).drop("_c")
+def _live(entries: DataFrame, comps: DataFrame) -> DataFrame:
+    """``entries`` of the lists that still hold several components, with them."""
+    comps = broadcast_if_small(comps.withColumnsRenamed({"node": "set", "component": "_c"}))
+    named = entries.select("token", "set", "n", "pos").join(comps, "set", "left").withColumn("comp", F.coalesce("_c", "set"))
+    of_list = Window.partitionBy("token")
+    named = named.withColumn("_lo", F.min("comp").over(of_list)).withColumn("_hi", F.max("comp").over(of_list))
+    return named.where("_lo <> _hi").select("token", "set", "n", "pos", "comp")
 
 
-def link_classes(docs: DataFrame, width: int = 5, threshold: tuple[int, int] = (3, 4), rounds: int = 4) -> tuple[DataFrame, DataFrame]:
+def link_classes(docs: DataFrame, width: int = 5, threshold: tuple[int, int] = (3, 4), rounds: int = 3) -> tuple[DataFrame, DataFrame]:
     """For (id, text) rows: (id, set, n) of every row, and (node, component) of the
     sets that link."""
     num, den = threshold
@@ -315,10 +316,8 @@ def link_classes(docs: DataFrame, width: int = 5, threshold: tuple[int, int] = (
         if k == 0:
             pairs = entries.where("pivot is not null").select(F.col("pivot").alias("a"), F.col("set").alias("b")).distinct()
         else:
-            live = _joined(entries.select("token", "set", "n", "pos"), comps)
-            mixed = live.groupBy("token").agg(F.min("comp").alias("_lo"), F.max("comp").alias("_hi")).where("_lo <> _hi").select("token")
-            live = live.join(mixed, "token")
-            pairs = _neighbours(live, num, den, k) if k < rounds else _all_pairs(live, num, den)
+            entries = cut(_live(entries, comps), "live-lists")
+            pairs = _neighbours(entries, num, den, k) if k < rounds else _all_pairs(entries, num, den)
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
         pairs = cut(pairs, "pairs")
         tried = pairs if tried is None else tried.unionAll(pairs)
