@@ -1,7 +1,8 @@
 """The corpus pipeline: quality classifier, line dedup, n-gram Jaccard join, mixing
 sources to target weights, SentencePiece ids.
 
-Each stage takes (spark, docs, sf_dir) and returns a DataFrame. All but the last
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which has to be
+written before the next stage begins (run() does so). All but the last
 return the columns of documents; the last returns (doc_id, n_tokens, ids,
 decoded_sha256), one row for each copy of a document that the mix takes.
 
@@ -12,10 +13,12 @@ the Jaccard stage; a document that the line stage leaves empty goes.
 
 from __future__ import annotations
 
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm._common import broadcast_if_small, cut
+from tessera.llm._common import broadcast_if_small, cut, remove, written
 from tessera.llm.jaccard_join import jaccard_components
 from tessera.llm.line_templates import drop_recurring
 from tessera.llm.mixing import mixed_documents
@@ -26,6 +29,26 @@ from tessera.llm.sentence_pieces import encode_decode
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+def _stage(f):
+    """A stage whose scratch tables go when the next stage begins: by then, its
+    result has been written."""
+
+    @wraps(f)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        remove(spark, _left)
+        mark = set(written)
+        out = f(spark, docs, sf_dir)
+        _left[:] = [p for p in written if p not in mark]
+        return out
+
+    return run_stage
+
+
+#: Scratch tables of the last stage.
+_left: list[str] = []
+
+
+@_stage
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier does not reject. It learns from the labels of
     rows that are not held out, as far as their documents are in ``docs``."""
@@ -33,6 +56,7 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     return score(docs, model, carry=("text", "lang", "source", "n_chars"), threshold=0.3).where("predicted = 1").select(COLUMNS)
 
 
+@_stage
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without lines of recurring templates; emptied ones go."""
     kept = drop_recurring(docs.select(COLUMNS), min_docs=10, min_tokens=5, similarity=0.7)
@@ -40,6 +64,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return kept.withColumn("n_chars", F.when(F.col("n_dropped") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars"))).select(COLUMNS)
 
 
+@_stage
 def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates, the document with the least id."""
     found = jaccard_components(docs, width=5, threshold=(3, 4))
@@ -47,11 +72,13 @@ def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return docs.join(broadcast_if_small(gone), F.col("doc_id").eqNullSafe(F.col("_gone")), "left_anti").select(COLUMNS)
 
 
+@_stage
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document as often as the mix takes it."""
     return mixed_documents(docs.select(COLUMNS), weights=(3.0, 1.0, 2.0), share=1.5, cap=2.0)
 
 
+@_stage
 def sentence_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """(doc_id, n_tokens, ids, decoded_sha256) of every row."""
     out = encode_decode(docs, tokenizer("piece_bpe_32k.model"))

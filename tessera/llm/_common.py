@@ -19,9 +19,12 @@ from pyspark.sql import functions as F
 WORD_GAP = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
 
+#: Rows of an Arrow batch: a batch of texts is held by the JVM and by its worker.
+BATCH_ROWS = 1000
+
 #: Most bytes of text that one step of an Arrow UDF works on at a time (a longer
 #: single text is still taken whole).
-STEP_BYTES = 1 << 20
+STEP_BYTES = 1 << 19
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -38,17 +41,45 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: Folders that cut() has written and discard() has not deleted, in order.
+written: list[str] = []
+
+
+def _path(spark: SparkSession, path: str):
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where, where.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
 def cut(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder as Parquet and read it again. Lineage
     ends there, so that a lost executor costs no recomputation, and the rows are
-    the same for every later reader. The files go when the JVM ends."""
+    the same for every later reader. The files go by discard(), or when the JVM
+    ends."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tessera-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(conf).deleteOnExit(where)
-    return spark.read.schema(df.schema).parquet(path)
+    where, files = _path(spark, path)
+    files.deleteOnExit(where)
+    written.append(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._tessera_path = path
+    return out
+
+
+def discard(*tables: DataFrame | None) -> None:
+    """Delete what cut() wrote for these, as nothing reads it any more."""
+    for df in tables:
+        path = getattr(df, "_tessera_path", None)
+        if path:
+            remove(df.sparkSession, [path])
+
+
+def remove(spark: SparkSession, paths: list[str]) -> None:
+    for path in paths:
+        if path in written:
+            written.remove(path)
+            where, files = _path(spark, path)
+            files.delete(where, True)
 
 
 def partitions(spark: SparkSession) -> int:
@@ -237,7 +268,8 @@ def components(edges: DataFrame, a: str, b: str, one_task: int = 1 << 20) -> Dat
         # small star: u's smaller neighbours and u link to the least of them
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        pairs = cut(small.unionAll(least.select("u", F.col("m").alias("v"))).distinct(), "links")
+        last, pairs = pairs, cut(small.unionAll(least.select("u", F.col("m").alias("v"))).distinct(), "links")
+        discard(last)
         now = tuple(pairs.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.hash("u", "v").cast("long")), F.lit(0)), F.coalesce(F.bit_xor(F.xxhash64("u", "v")), F.lit(0))).first())
         if now == seen:
             break
@@ -267,7 +299,8 @@ def _union(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def map_arrow(df: DataFrame, run, schema: str) -> DataFrame:
     """mapInArrow with this package at hand on every worker, wherever it runs: its
-    source goes out once a session as a Python file."""
+    source goes out once a session as a Python file. The session's Arrow batches
+    are held to BATCH_ROWS rows, which bounds what a batch of texts takes."""
     context = df.sparkSession.sparkContext
     if not getattr(context, "_tessera_sent", False):
         folder = tempfile.mkdtemp(prefix="tessera-source-")
@@ -277,6 +310,8 @@ def map_arrow(df: DataFrame, run, schema: str) -> DataFrame:
                 z.write(p, p.relative_to(package.parent))
         context.addPyFile(f"{folder}/tessera_source.zip")
         context._tessera_sent = True
+    if int(df.sparkSession.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > BATCH_ROWS:
+        df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     return df.mapInArrow(run, schema)
 
 

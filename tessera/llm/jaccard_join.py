@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm._common import broadcast_if_small, components, cut, grouped, lower_bytes, map_arrow, mix, partitions, release, span_hashes, steps, text_buffer, word_spans
+from tessera.llm._common import broadcast_if_small, components, cut, discard, grouped, lower_bytes, map_arrow, mix, partitions, release, span_hashes, steps, text_buffer, word_spans
 
 #: Counters of the token sketch (a fixed 16 MB), and the parts it travels in.
 CELLS = 1 << 22
@@ -110,7 +110,7 @@ def _classes(docs: DataFrame, width: int) -> DataFrame:
         for batch in batches:
             for part in steps(batch, 1):
                 sets = shingle_sets(*text_buffer(part.column(1)), width)
-                counts += np.bincount(_cell(np.concatenate(sets)).astype(np.int64), minlength=CELLS).astype(np.uint32)
+                np.add.at(counts, _cell(np.concatenate(sets)).astype(np.int64), np.uint32(1))
                 k = len(sets)
                 yield pa.RecordBatch.from_arrays([pa.array(np.zeros(k), pa.int32()), part.column(0).cast(pa.string()), pa.array([set_key(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int32()), pa.nulls(k, pa.binary())], schema=out)
         if counts.any():
@@ -239,23 +239,34 @@ def differing(x: bytes, y: bytes) -> int:
     return int(np.bitwise_count(a ^ b).sum())
 
 
-def _verify(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """The (a, b) of ``pairs`` that link. Parities rule most others out before the
-    sets themselves travel."""
-    names = ["a", "b"]
+def _kept(batch: pa.RecordBatch, keep: list[bool]) -> pa.RecordBatch:
+    mask = pa.array(keep, pa.bool_())
+    return pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], names=["a", "b"])
 
-    def kept(batch: pa.RecordBatch, keep: list[bool]) -> pa.RecordBatch:
-        mask = pa.array(keep, pa.bool_())
-        return pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], names=names)
 
-    def maybe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _with_both(pairs: DataFrame, sets: DataFrame, *columns: str) -> DataFrame:
+    """(a, b) and ``columns`` of both sets."""
+    side = lambda k: sets.select(F.col("set").alias(k), *[F.col(c).alias(f"{c}_{k}") for c in columns])
+    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", *[f"{c}_{k}" for c in columns for k in "ab"])
+
+
+def _likely(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """The (a, b) of ``pairs`` that parities don't rule out, before sets travel."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n = np.asarray(batch.column(2)).astype(np.int64) + np.asarray(batch.column(3))
             most = n - 2 * enough(n, 0, num, den)
             differ = [differing(x, y) for x, y in zip(batch.column(4).to_pylist(), batch.column(5).to_pylist(), strict=True)]
-            yield kept(batch, [d <= m for d, m in zip(differ, most.tolist(), strict=True)])
+            yield _kept(batch, [d <= m for d, m in zip(differ, most.tolist(), strict=True)])
+
+    return map_arrow(_with_both(pairs, sets, "n", "parities"), run, "a long, b long")
 
-    def surely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def _linked(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """The (a, b) of ``pairs`` that link."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
             for x, y in zip(batch.column(2), batch.column(3), strict=True):
@@ -263,14 +274,9 @@ def _verify(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
                 both = np.sort(np.concatenate([s, t]), kind="stable")
                 shared = int((both[1:] == both[:-1]).sum())
                 keep.append(shared >= enough(len(s), len(t), num, den))
-            yield kept(batch, keep)
-
-    def with_both(pairs: DataFrame, *columns: str) -> DataFrame:
-        side = lambda k: sets.select(F.col("set").alias(k), *[F.col(c).alias(f"{c}_{k}") for c in columns])
-        return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", *[f"{c}_{k}" for c in columns for k in "ab"])
+            yield _kept(batch, keep)
 
-    left = cut(map_arrow(with_both(pairs, "n", "parities"), maybe, "a long, b long"), "likely-pairs")
-    return map_arrow(with_both(left, "tokens"), surely, "a long, b long")
+    return map_arrow(_with_both(pairs, sets, "tokens"), run, "a long, b long")
 
 
 def _sets(docs: DataFrame, needed: DataFrame, width: int) -> DataFrame:
@@ -309,6 +315,7 @@ def link_classes(docs: DataFrame, width: int = 5, threshold: tuple[int, int] = (
     sketch = spark.sparkContext.broadcast(_sketch(rows))
     entries = cut(_index(docs, width, num, den, sketch), "lists")
     release(spark)
+    sketch.unpersist()
     first = texts.where("n > 0").groupBy("set").agg(F.min("id").alias("id"))
     owners = cut(first.join(entries.select("set").distinct(), "set"), "owners")
     links, comps, tried = None, None, None
@@ -316,18 +323,23 @@ def link_classes(docs: DataFrame, width: int = 5, threshold: tuple[int, int] = (
         if k == 0:
             pairs = entries.where("pivot is not null").select(F.col("pivot").alias("a"), F.col("set").alias("b")).distinct()
         else:
-            entries = cut(_live(entries, comps), "live-lists")
+            last, entries = entries, cut(_live(entries, comps), "live-lists")
+            discard(last)
             pairs = _neighbours(entries, num, den, k) if k < rounds else _all_pairs(entries, num, den)
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
         pairs = cut(pairs, "pairs")
         tried = pairs if tried is None else tried.unionAll(pairs)
         asked = pairs.select(F.col("a").alias("set")).unionAll(pairs.select("b")).distinct()
-        sets = cut(_sets(docs, cut(owners.join(asked, "set"), "asked"), width), "token-sets")
-        found = cut(_verify(pairs, sets, num, den), "verified")
+        asked = cut(owners.join(asked, "set"), "asked")
+        sets = cut(_sets(docs, asked, width), "token-sets")
+        likely = cut(_likely(pairs, sets, num, den), "likely-pairs")
+        found = cut(_linked(likely, sets, num, den), "verified")
+        discard(asked, sets, likely)
         release(spark)
         if links is None or found.head(1):
             links = found if links is None else links.unionAll(found)
             comps = components(links, "a", "b")
+    discard(entries, owners)
     return texts, comps
 
 

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm._common import WORD_GAP, broadcast_if_small, cut, grouped, map_arrow, partitions
+from tessera.llm._common import WORD_GAP, broadcast_if_small, cut, discard, grouped, map_arrow, partitions
 
 DEPTH = 3
 VARIABLE = "<*>"
@@ -136,6 +136,7 @@ def drop_recurring(docs: DataFrame, min_docs: int = 10, min_tokens: int = 5, sim
     recur = found.groupBy("_leaf", "_template").agg(F.count(F.lit(1)).alias("_docs"), F.min("_doc").alias("_keep")).where(F.col("_docs") >= min_docs)
     drops = found.join(recur, ["_leaf", "_template"]).where(F.col("_doc") != F.col("_keep")).select("_doc", F.explode("_nos").alias("_no"))
     drops = cut(drops.groupBy("_doc").agg(F.collect_set("_no").alias("__line_drop")), "line-drops")
+    discard(leaves, lines, known, found)
     drops = drops.select(F.col("_doc.id").alias("__line_i"), F.col("_doc.h").alias("__line_h"), "__line_drop")
     kept = docs.join(drops, F.col(id_col).eqNullSafe(F.col("__line_i")) & (F.xxhash64(F.col(text_col).cast("string")) == F.col("__line_h")), "left").drop("__line_i", "__line_h")
     split = F.split(F.col(text_col).cast("string"), "\n")

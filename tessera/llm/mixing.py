@@ -26,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm._common import WORD, cut
+from tessera.llm._common import WORD, cut, discard
 
 BINS = 4096
 
@@ -59,7 +59,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (3.0, 1.0, 2.0), share: fl
     taken is copies times size, row_hash is equal for rows equal in id and text."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     df = docs.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"), _row_hash(seed, F.col(id_col), text).alias("h"))
-    df = cut(df, "mix")
+    base = df = cut(df, "mix")
     weighed = F.when(F.col("size") > 0, F.pow(F.col("size").cast("double"), F.lit(1.0 + length_power))).otherwise(0.0)
     # one row a source; null-safe joins on the source follow
     sources = df.groupBy("source").agg(F.sum("size").alias("source_size"), F.sum(weighed).alias("_weighed"))
@@ -89,6 +89,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (3.0, 1.0, 2.0), share: fl
     bins = cut(bins, "mix-bins")
     df = df.join(bins, ["_source", "_bin"], "left")
     df = cut(df.withColumn("copies", F.col("copies") + (F.coalesce(F.col("_how"), F.lit("none")) == "all").cast("long")), "mix-ranked")
+    discard(base, known, bins)
     edge = df.where(F.col("_how") == "edge")
     ranked = Window.partitionBy("_source").orderBy("_rank", "h", "size", F.col("id").asc_nulls_first())
     line = ranked.rowsBetween(Window.unboundedPreceding, 0)

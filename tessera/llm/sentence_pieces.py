@@ -29,7 +29,7 @@ from tessera.llm._common import Recent, map_arrow, steps
 
 MARK = "▁"
 #: Most words in a task's table.
-TABLE_ROWS = 200_000
+TABLE_ROWS = 100_000
 
 
 class ChunkTable:
@@ -88,7 +88,7 @@ def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: s
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = _table(model_path, table_rows)
         for batch in batches:
-            for part in steps(batch, 1, 2 << 20):
+            for part in steps(batch, 1):
                 ends, ids = table.encode(part.column(1).to_pylist())
                 lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids, pa.int32()))
                 yield pa.RecordBatch.from_arrays([part.column(0), lists], names=["id", "ids"])
@@ -120,7 +120,7 @@ def encode_decode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = _table(model_path, table_rows)
         for batch in batches:
-            for part in steps(batch, 1, 2 << 20):
+            for part in steps(batch, 1):
                 ends, ids = table.encode(part.column(1).to_pylist())
                 values = ids.tolist()
                 texts = table.library.decode([values[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)], num_threads=1)

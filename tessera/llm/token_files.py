@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm._common import Lookup, broadcast_if_small, cut, map_arrow, partitions, steps
 
-TABLE_ROWS = 600_000
+TABLE_ROWS = 500_000
 #: A blank before more white space: there, a chunk must not start.
 _RUN = re.compile(r"[ \n][\s\x85\x1c-\x1f]")
 _CUT = re.compile(r"(?=[ \n][^\s\x85\x1c-\x1f])")
@@ -117,7 +117,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int, i
 
         encoder, start, part_no = _encoder(tokenizer_path, table_rows), 0, TaskContext.get().partitionId()
         for batch in batches:
-            for part in steps(batch, 1, 2 << 20):
+            for part in steps(batch, 1):
                 ends, ids = encoder.encode(part.column(1).to_pylist(), end_id)
                 lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids, pa.int32()))
                 yield pa.RecordBatch.from_arrays([part.column(0), lists, pa.array(np.diff(ends), pa.int64()), pa.array(np.full(part.num_rows, part_no), pa.int32()), pa.array(start + ends[:-1], pa.int64())], names=["doc_id", "tokens", "n_tokens", "part", "part_start"])
