@@ -26,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm._common import WORD, cut, discard
+from tessera.llm._common import WORD, broadcast_if_small, cut, discard
 
 BINS = 4096
 
@@ -66,7 +66,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (3.0, 1.0, 2.0), share: fl
     known = targets(sources.select("source", "source_size"), weights, share, cap)
     known = known.join(sources.select(F.col("source").alias("_s"), "_weighed"), F.col("source").eqNullSafe(F.col("_s"))).drop("_s").withColumnRenamed("source", "_source")
     known = cut(known, "mix-sources")
-    df = df.join(known, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
+    df = df.join(broadcast_if_small(known), F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     df = df.withColumn("_sure", F.floor(rate + 1e-12)).withColumn("_part", F.greatest(rate - F.col("_sure"), F.lit(0.0)))
     p = F.col("_part") * F.pow(F.col("size").cast("double"), F.lit(length_power)) * F.col("source_size") / F.col("_weighed")
@@ -87,7 +87,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (3.0, 1.0, 2.0), share: fl
     bins = bins.withColumn("_seen", F.sum("_past").over(upto) - F.col("_past")).withColumn("_cutrows", F.min_by("_past", F.when(F.col("_past") > 0, F.col("_bin"))).over(whole))
     bins = bins.select("_source", "_bin", "_need", "_before", F.when(F.col("_before") + F.col("_words") <= F.col("_need"), "all").when(F.col("_seen") < F.col("_cutrows") + fit_window, "edge").otherwise("none").alias("_how"))
     bins = cut(bins, "mix-bins")
-    df = df.join(bins, ["_source", "_bin"], "left")
+    df = df.join(broadcast_if_small(bins), ["_source", "_bin"], "left")
     df = cut(df.withColumn("copies", F.col("copies") + (F.coalesce(F.col("_how"), F.lit("none")) == "all").cast("long")), "mix-ranked")
     discard(base, known, bins)
     edge = df.where(F.col("_how") == "edge")

@@ -27,7 +27,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm._common import WORD_GAP, cut
+from tessera.llm._common import WORD_GAP, broadcast_if_small, cut, discard
 
 #: Transformed statistics and the least standard deviation of each: log words,
 #: log characters a word, log symbols per mille of characters, log repeated lines
@@ -109,8 +109,10 @@ def _distance(names: list[str], floors: list[float]) -> tuple[list[tuple[str, Co
 def _with_distance(df: DataFrame, estimate: DataFrame, keys: list[str], names: list[str], floors: list[float]) -> DataFrame:
     made, d2 = _distance(names, floors)
     scatter = [x for x in made if x[0].startswith("_l")]
+    estimate = broadcast_if_small(estimate)
     for name, value in scatter:
         estimate = estimate.withColumn(name, value)
+    # one row a group: where they are few, a hot group's rows need no shuffle
     out = df.join(estimate, keys)
     for name, value in made[len(scatter) :]:
         out = out.withColumn(name, value)
@@ -128,12 +130,14 @@ def robust_verdicts(df: DataFrame, support: float = 0.75, c_steps: int = 3, cuto
     floors = floors or FEATURES
     names, least = list(floors), list(floors.values())
     keys = ["_gl", "_gs"]
+    base = df = cut(df, "outlier-statistics")
     counts = df.groupBy("_lang", "_source").agg(F.count(F.lit(1)).alias("_n")).withColumnsRenamed({"_lang": "_nl", "_source": "_ns"})
-    df = df.join(counts, F.col("_lang").eqNullSafe(F.col("_nl")) & F.col("_source").eqNullSafe(F.col("_ns")))
+    df = df.join(broadcast_if_small(cut(counts, "outlier-groups")), F.col("_lang").eqNullSafe(F.col("_nl")) & F.col("_source").eqNullSafe(F.col("_ns")))
     # small groups of a language are estimated together; '=' marks a value, so null is one too
     tag = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c)), F.lit(""))
     df = df.withColumn("_gl", tag("_lang")).withColumn("_gs", F.when(F.col("_n") >= min_group, tag("_source")).otherwise("*")).drop("_nl", "_ns", "_n")
     df = cut(df, "outlier-features")
+    discard(base)
     # start: medians and quartile ranges, from bins of a hundredth
     values = df.select(*keys, F.posexplode(F.array(*[F.floor(F.col(n) * 100).cast("long") for n in names])).alias("_k", "_bin"))
     bins = values.groupBy(*keys, "_k", "_bin").agg(F.count(F.lit(1)).alias("_n"))
@@ -155,6 +159,7 @@ def robust_verdicts(df: DataFrame, support: float = 0.75, c_steps: int = 3, cuto
         ranks = near.groupBy(*keys, "_bin").agg(F.count(F.lit(1)).alias("_n"))
         ranks = ranks.withColumn("_c", F.sum("_n").over(Window.partitionBy(*keys).orderBy("_bin"))).withColumn("_t", F.sum("_n").over(Window.partitionBy(*keys)))
         limit = ranks.groupBy(*keys).agg(F.min(F.when(F.col("_c") >= support * F.col("_t"), F.col("_bin"))).alias("_limit"))
+        limit = broadcast_if_small(cut(limit, "outlier-limits"))
         estimate = cut(_moments(near.join(limit, keys).where(F.col("_bin") <= F.col("_limit")), keys, names), f"outlier-step{step}")
     return _with_distance(df, estimate, keys, names, least).withColumn("_outlier", F.col("_d2") > cutoff)
 
