@@ -51,7 +51,8 @@ def targets(sources: DataFrame, weights: tuple[float, ...], share: float, cap: f
 
 
 def _row_hash(seed: int, row_id, text):
-    return F.xxhash64(F.lit(seed), F.coalesce(row_id.cast("string"), F.lit("")), text)
+    """Hex digits of id and text that any SQL engine can make."""
+    return F.md5(F.concat_ws("|", F.lit(str(seed)), F.coalesce(row_id.cast("string"), F.lit("")), F.md5(text)))
 
 
 def mix(docs: DataFrame, weights: tuple[float, ...] = (3.0, 1.0, 2.0), share: float = 1.5, cap: float = 2.0, seed: int = 1, length_power: float = -0.25, fit_window: int = 64, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
@@ -72,7 +73,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (3.0, 1.0, 2.0), share: fl
     p = F.col("_part") * F.pow(F.col("size").cast("double"), F.lit(length_power)) * F.col("source_size") / F.col("_weighed")
     df = df.withColumn("_p", F.when((F.col("size") > 0) & (F.col("_part") > 1e-12), p).otherwise(0.0))
     df = df.withColumn("copies", F.when(F.col("size") == 0, 0).otherwise(F.col("_sure") + (F.col("_p") >= 1).cast("long")).cast("long"))
-    u = (F.shiftrightunsigned(F.col("h"), 11).cast("double") + 0.5) / float(2**53)
+    u = (F.conv(F.substring("h", 1, 13), 16, 10).cast("long").cast("double") + 0.5) / float(2**52)
     # a / (1 + a) keeps the order of the odds ratio a and lies in (0, 1)
     rank = F.when((F.col("_p") > 0) & (F.col("_p") < 1), u * (1 - F.col("_p")) / (u * (1 - F.col("_p")) + F.col("_p") * (1 - u)))
     df = df.withColumn("_rank", rank).withColumn("_bin", F.floor(F.col("_rank") * BINS).cast("int"))

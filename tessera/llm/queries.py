@@ -134,3 +134,95 @@ SELECT d.vec_id, coalesce(n.n, 0) AS n_links, least(d.vec_id, coalesce(m.c, d.ve
 FROM embeddings d LEFT JOIN (SELECT x, count(*) AS n FROM links GROUP BY x) n ON n.x = d.vec_id
 LEFT JOIN (SELECT node, min(other) AS c FROM reach GROUP BY node) m ON m.node = d.vec_id
 """
+
+#: Water-filled targets, digests as random numbers, the ranking by random odds over
+#: inclusion odds, its longest prefix within the target, and the best next fit.
+ORACLE["op7_pareto_mix"] = r"""
+WITH d AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
+         md5('1|' || coalesce(doc_id::VARCHAR, '') || '|' || md5(coalesce(text, ''))) AS h FROM documents
+), s AS (
+  SELECT source, sum(size)::BIGINT AS source_size, sum(CASE WHEN size > 0 THEN pow(size, 0.75::DOUBLE) ELSE 0 END) AS weighed FROM d GROUP BY source
+), w AS (
+  SELECT *, [3.0::DOUBLE, 1.0, 2.0][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS w, source_size * 2.0::DOUBLE AS top FROM s
+), f AS (
+  SELECT *, row_number() OVER o AS nth, (SELECT sum(source_size) FROM s) * 1.5::DOUBLE - coalesce(sum(top) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS l,
+         sum(w) OVER () - coalesce(sum(w) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS wl
+  FROM w WINDOW o AS (ORDER BY top / w, source NULLS LAST)
+), free AS (
+  SELECT nth, l / wl AS level FROM f WHERE top * wl >= l * w ORDER BY nth LIMIT 1
+), t AS (
+  SELECT source, source_size, weighed, CASE WHEN coalesce(nth < (SELECT nth FROM free), TRUE) THEN top ELSE (SELECT level FROM free) * w END AS target FROM f
+), r AS (
+  SELECT d.*, source_size, target, floor(CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END + 1e-12::DOUBLE) AS sure, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS rate, weighed
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
+), p AS (
+  SELECT *, CASE WHEN size > 0 AND rate - sure > 1e-12::DOUBLE THEN (rate - sure) * pow(size, -0.25::DOUBLE) * source_size / weighed ELSE 0 END AS p,
+         (('0x' || substr(h, 1, 13))::BIGINT + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE AS u FROM r
+), c AS (
+  SELECT *, CASE WHEN size = 0 THEN 0 ELSE sure::BIGINT + (p >= 1)::BIGINT END AS sure_copies, CASE WHEN p > 0 AND p < 1 THEN u * (1 - p) / (u * (1 - p) + p * (1 - u)) END AS place FROM p
+), n AS (
+  SELECT *, target - sum(sure_copies * size) OVER (PARTITION BY source) AS need,
+         CASE WHEN place IS NOT NULL THEN sum(CASE WHEN place IS NOT NULL THEN size END) OVER (q ROWS UNBOUNDED PRECEDING) END AS upto,
+         row_number() OVER q AS nth FROM c WINDOW q AS (PARTITION BY source ORDER BY place NULLS LAST, h, size, doc_id NULLS FIRST)
+), e AS (
+  SELECT *, coalesce(max(CASE WHEN upto <= need THEN upto END) OVER (PARTITION BY source), 0) AS have, coalesce(max(CASE WHEN upto <= need THEN nth END) OVER (PARTITION BY source), 0) AS cut FROM n
+), g AS (
+  SELECT *, min(CASE WHEN upto > need AND nth <= cut + 64 AND abs(size - (need - have)) < need - have THEN {'off': abs(size - (need - have)), 'nth': nth} END) OVER (PARTITION BY source) AS fit FROM e
+)
+SELECT doc_id, size, source_size, target, sure_copies + coalesce((upto <= need OR nth = fit.nth)::BIGINT, 0) AS copies, (sure_copies + coalesce((upto <= need OR nth = fit.nth)::BIGINT, 0)) * size AS taken FROM g
+"""
+
+#: All windows of 100 bytes, those with an earlier equal one, and their union.
+ORACLE["op5_suffix_dedup"] = r"""
+WITH d AS (
+  SELECT doc_id, encode(coalesce(text, '')) AS b FROM documents
+), w AS (
+  SELECT doc_id, i, md5(b[i + 1:i + 100]) AS m FROM (SELECT doc_id, b, unnest(range(0, greatest(octet_length(b) - 99, 0))) AS i FROM d)
+), r AS (
+  SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY m ORDER BY doc_id, i) AS k FROM w) WHERE k > 1
+), n AS (
+  SELECT doc_id, i, coalesce(i > lag(i) OVER o + 100, TRUE)::INT AS new FROM r WINDOW o AS (PARTITION BY doc_id ORDER BY i)
+), s AS (
+  SELECT doc_id, min(i) AS a, max(i) + 100 AS z FROM (SELECT doc_id, i, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS g FROM n) GROUP BY doc_id, g
+), k AS (
+  SELECT doc_id, lag(z, 1, 0) OVER o AS x, a AS y, z FROM s WINDOW o AS (PARTITION BY doc_id ORDER BY a)
+), p AS (
+  SELECT doc_id, x, y FROM k UNION ALL SELECT doc_id, max(z), NULL FROM s GROUP BY doc_id
+), c AS (
+  SELECT p.doc_id, string_agg(hex(CASE WHEN y IS NULL THEN b[x + 1:] WHEN y > x THEN b[x + 1:y] ELSE ''::BLOB END), '' ORDER BY x) AS h FROM p JOIN d USING (doc_id) GROUP BY p.doc_id
+), t AS (
+  SELECT doc_id, sum(z - a)::BIGINT AS n_removed, count(*) AS n_spans FROM s GROUP BY doc_id
+)
+SELECT d.doc_id, octet_length(b) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(CASE WHEN h IS NULL THEN b ELSE unhex(h) END) AS kept_sha256
+FROM d LEFT JOIN t USING (doc_id) LEFT JOIN c USING (doc_id)
+"""
+
+
+def _draw(name: str, weight: int) -> str:
+    return f"-ln((('0x' || substr(md5(key || '|{name}'), 1, 12))::BIGINT + 0.5::DOUBLE) / 281474976710656.0::DOUBLE) / {weight}.0::DOUBLE"
+
+
+def _first(children: dict[str, int]) -> str:
+    return "list_min([" + ", ".join(f"{{'d': {_draw(n, w)}, 'n': '{n}'}}" for n, w in sorted(children.items())) + "]).n"
+
+
+#: crc32 by its table, which a recurrence makes; the descent of the tree; ranks.
+ORACLE["op3_hash_tree_shards"] = f"""
+WITH RECURSIVE crc(n, c, k) AS (
+  SELECT n, n, 0 FROM range(0, 256) t(n)
+  UNION ALL SELECT n, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, k + 1 FROM crc WHERE k < 8
+), tab AS (
+  SELECT list(c ORDER BY n) AS tab FROM crc WHERE k = 8
+), b AS (
+  SELECT doc_id, coalesce(doc_id::VARCHAR, '') AS key, list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda x: ('0x' || x)::BIGINT) AS bytes FROM documents
+), d AS (
+  SELECT doc_id, key, len(bytes) + 1 AS size, coalesce(xor(CASE WHEN len(bytes) > 0 THEN list_reduce(bytes, lambda c, x: xor(c >> 8, tab[(xor(c, x) & 255) + 1]), 4294967295::BIGINT) ELSE 4294967295 END, 4294967295), 0) AS text_crc32,
+         {_first({"r0": 4, "r1": 4})} AS region, {_first({"r0": 4, "r1": 4, "g8": 1})} AS grown_region FROM b, tab
+), k AS (
+  SELECT *, CASE region WHEN 'r0' THEN {_first({"r0k0": 2, "r0k1": 2})} ELSE {_first({"r1k0": 2, "r1k1": 2})} END AS rack FROM d
+), s AS (
+  SELECT *, CAST(CASE rack {" ".join(f"WHEN 'r{i // 4}k{i % 4 // 2}' THEN {_first({str(i): 1, str(i + 1): 1})}" for i in range(0, 8, 2))} END AS INTEGER) AS shard FROM k
+)
+SELECT doc_id, size, text_crc32, 'key' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY md5(key || '|' || text_crc32 || '|' || size), doc_id NULLS FIRST) - 1 AS slot, CASE WHEN grown_region = 'g8' THEN 8 ELSE shard END::INTEGER AS grown_shard FROM s
+"""
