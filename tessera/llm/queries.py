@@ -226,3 +226,67 @@ WITH RECURSIVE crc(n, c, k) AS (
 )
 SELECT doc_id, size, text_crc32, 'key' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY md5(key || '|' || text_crc32 || '|' || size), doc_id NULLS FIRST) - 1 AS slot, CASE WHEN grown_region = 'g8' THEN 8 ELSE shard END::INTEGER AS grown_shard FROM s
 """
+
+
+def _outlier_sql(floors: dict[str, float], support: float = 0.75, c_steps: int = 3, cutoff: float = 40.0, min_group: int = 100) -> str:
+    """The rules in SQL: statistics, then the same concentration steps."""
+    names, least = list(floors), list(floors.values())
+    p = range(len(names))
+    scatter = ", ".join(f"avg({names[i]}) AS m{i}" for i in p) + ", " + ", ".join(f"avg({names[i]} * {names[j]}) AS s{i}_{j}" for i in p for j in range(i + 1))
+    chol = []
+    for i in p:
+        for j in range(i + 1):
+            cov = f"s{i}_{j} - m{i} * m{j}" + (f" + {least[i] ** 2}::DOUBLE" if i == j else "") + "".join(f" - l{i}_{k} * l{j}_{k}" for k in range(j))
+            chol.append((f"sqrt(greatest({cov}, {least[i] ** 2 / 100}::DOUBLE))" if i == j else f"({cov}) / l{j}_{j}") + f" AS l{i}_{j}")
+    ys = [f"({names[i]} - m{i}" + "".join(f" - l{i}_{k} * y{k}" for k in range(i)) + f") / l{i}_{i} AS y{i}" for i in p]
+    d2 = " + ".join(f"y{i} * y{i}" for i in p)
+
+    def distance(e: str) -> str:
+        return f"SELECT *, {d2} AS d2 FROM (SELECT *, {', '.join(ys)} FROM f JOIN (SELECT *, {', '.join(chol)} FROM {e}) USING (gl, gs))"
+
+    start = ", ".join(f"max(CASE WHEN k = {i} THEN q2 END) AS m{i}" for i in p) + ", " + ", ".join(f"max(CASE WHEN k = {i} THEN sd * sd + q2 * q2 END) AS s{i}_{i}" for i in p)
+    off = "".join(f", m{i} * m{j} AS s{i}_{j}" for i in p for j in range(i))
+    steps = "".join(
+        f""", near{t} AS (SELECT *, floor(ln(d2 + 1e-9::DOUBLE) * 64)::BIGINT AS bin FROM ({distance(f"e{t}")})
+), rank{t} AS (
+  SELECT gl, gs, bin, sum(n) OVER (PARTITION BY gl, gs ORDER BY bin) AS c, sum(n) OVER (PARTITION BY gl, gs) AS t FROM (SELECT gl, gs, bin, count(*) AS n FROM near{t} GROUP BY ALL)
+), e{t + 1} AS (
+  SELECT gl, gs, {scatter} FROM near{t} JOIN (SELECT gl, gs, min(bin) AS most FROM rank{t} WHERE c >= {support}::DOUBLE * t GROUP BY ALL) USING (gl, gs) WHERE bin <= most GROUP BY gl, gs
+)"""
+        for t in range(c_steps)
+    )
+    return f"""
+WITH t AS (
+  SELECT doc_id, lang, source, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents
+), u AS (
+  SELECT *, row_number() OVER () AS id, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS lines FROM t
+), g AS (
+  SELECT id, i, count(*) OVER (PARTITION BY id, s) AS c FROM (SELECT id, i, array_to_string(w[i:i + 4], ' ') AS s FROM (SELECT id, w, unnest(range(1, len(w) - 3)) AS i FROM u WHERE len(w) >= 5))
+), v AS (
+  SELECT id, count(DISTINCT k) AS n FROM (SELECT id, unnest(range(i, i + 5)) AS k FROM g WHERE c > 1) GROUP BY id
+), b AS (
+  SELECT doc_id, lang, source, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars, (length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
+         (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, coalesce(n, 0)::BIGINT AS n_repeat_words FROM u LEFT JOIN v USING (id)
+), f AS (
+  SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed, coalesce('=' || lang, '') AS gl, CASE WHEN count(*) OVER (PARTITION BY lang, source) >= {min_group} THEN coalesce('=' || source, '') ELSE '*' END AS gs,
+         ln(greatest(n_words, 1)::DOUBLE) AS _f0, ln(greatest(word_chars, 1) / greatest(n_words, 1)::DOUBLE) AS _f1, ln(1 + 1000.0::DOUBLE * n_symbols / greatest(word_chars, 1)) AS _f2,
+         ln(1 + 1000.0::DOUBLE * n_dup_lines / greatest(n_words, 1)::DOUBLE) AS _f3, ln(1 + 1000.0::DOUBLE * n_repeat_words / greatest(n_words, 1)::DOUBLE) AS _f4 FROM b
+), h AS (
+  SELECT gl, gs, k, bin, sum(n) OVER (PARTITION BY gl, gs, k ORDER BY bin) AS c, sum(n) OVER (PARTITION BY gl, gs, k) AS t
+  FROM (SELECT gl, gs, unnest([{", ".join(map(str, p))}]) AS k, unnest([{", ".join(f"floor({n} * 100)::BIGINT" for n in names)}]) AS bin, 1 AS n FROM f)
+), q AS (
+  SELECT gl, gs, k, min(CASE WHEN c >= 0.5::DOUBLE * t THEN bin END) / 100.0::DOUBLE AS q2, (min(CASE WHEN c >= 0.75::DOUBLE * t THEN bin END) / 100.0::DOUBLE - min(CASE WHEN c >= 0.25::DOUBLE * t THEN bin END) / 100.0::DOUBLE) / 1.35::DOUBLE AS sd FROM h GROUP BY gl, gs, k
+), e0 AS (
+  SELECT *{off} FROM (SELECT gl, gs, {start} FROM q GROUP BY gl, gs)
+){steps}
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND d2 <= {cutoff}::DOUBLE AS kept FROM ({distance(f"e{c_steps}")})
+"""
+
+
+def _with_outliers() -> None:
+    from tessera.llm.outlier_rules import FEATURES
+
+    ORACLE["op10_robust_outliers"] = _outlier_sql(FEATURES)
+
+
+_with_outliers()
