@@ -43,6 +43,8 @@ CELLS = 1 << 22
 SLICES = 32
 _ENTRY = np.dtype([("token", "<i8"), ("set", "<i8"), ("n", "<i4"), ("pos", "<i4")])
 _BLOCK = 64
+#: Bytes of the folded parities that travel with the entries of the last round.
+SIGN = 64
 _FACTORS = np.random.default_rng(11).integers(1, 2**62, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -100,10 +102,10 @@ def _slim(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def _classes(docs: DataFrame, width: int) -> DataFrame:
-    """Rows of kind 0: (id, set, n) of each text. Rows of kind 1: counts of tokens,
+    """Rows of kind 0: (id, set, n, parities) of each text. Rows of kind 1: counts of tokens,
     one for each slice of the sketch and task."""
     kind = docs.schema["id"].dataType.simpleString()
-    out = pa.schema([("kind", pa.int32()), ("id", pa.string()), ("set", pa.int64()), ("n", pa.int32()), ("counts", pa.binary())])
+    out = pa.schema([("kind", pa.int32()), ("id", pa.string()), ("set", pa.int64()), ("n", pa.int32()), ("parities", pa.binary()), ("counts", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(CELLS, np.uint32)
@@ -112,12 +114,12 @@ def _classes(docs: DataFrame, width: int) -> DataFrame:
                 sets = shingle_sets(*text_buffer(part.column(1)), width)
                 np.add.at(counts, _cell(np.concatenate(sets)).astype(np.int64), np.uint32(1))
                 k = len(sets)
-                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(k), pa.int32()), part.column(0).cast(pa.string()), pa.array([set_key(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int32()), pa.nulls(k, pa.binary())], schema=out)
+                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(k), pa.int32()), part.column(0).cast(pa.string()), pa.array([set_key(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int32()), pa.array([parities(s) if len(s) else None for s in sets], pa.binary()), pa.nulls(k, pa.binary())], schema=out)
         if counts.any():
             slices = [pa.compress(x.tobytes(), "zstd", asbytes=True) for x in np.split(counts, SLICES)]
-            yield pa.RecordBatch.from_arrays([pa.array(np.ones(SLICES), pa.int32()), pa.nulls(SLICES, pa.string()), pa.array(range(SLICES), pa.int64()), pa.nulls(SLICES, pa.int32()), pa.array(slices, pa.binary())], schema=out)
+            yield pa.RecordBatch.from_arrays([pa.array(np.ones(SLICES), pa.int32()), pa.nulls(SLICES, pa.string()), pa.array(range(SLICES), pa.int64()), pa.nulls(SLICES, pa.int32()), pa.nulls(SLICES, pa.binary()), pa.array(slices, pa.binary())], schema=out)
 
-    return map_arrow(docs, run, "kind int, id string, set long, n int, counts binary").withColumn("id", F.col("id").cast(kind))
+    return map_arrow(docs, run, "kind int, id string, set long, n int, parities binary, counts binary").withColumn("id", F.col("id").cast(kind))
 
 
 def _sketch(rows: DataFrame) -> np.ndarray:
@@ -239,6 +241,21 @@ def differing(x: bytes, y: bytes) -> int:
     return int(np.bitwise_count(a ^ b).sum())
 
 
+def _signed(owners: DataFrame) -> DataFrame:
+    """``owners`` with sign, their parities folded to SIGN bytes at most."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            signs = []
+            for p in batch.column(3).to_pylist():
+                x = np.frombuffer(p, np.uint8)
+                signs.append(np.bitwise_xor.reduce(x.reshape(-1, min(len(x), SIGN)), axis=0).tobytes())
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(signs, pa.binary())], names=["set", "id", "n", "parities", "sign"])
+
+    kind = owners.schema["id"].dataType.simpleString()
+    return map_arrow(owners.select("set", "id", "n", "parities"), run, f"set long, id {kind}, n int, parities binary, sign binary")
+
+
 def _kept(batch: pa.RecordBatch, keep: list[bool]) -> pa.RecordBatch:
     mask = pa.array(keep, pa.bool_())
     return pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], names=["a", "b"])
@@ -280,20 +297,20 @@ def _linked(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
 
 
 def _sets(docs: DataFrame, needed: DataFrame, width: int) -> DataFrame:
-    """(set, n, parities, tokens) of the classes in ``needed`` (set, id): the whole sorted sets."""
+    """(set, tokens) of the classes in ``needed`` (set, id): the whole sorted sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in steps(batch, 1):
                 sets = shingle_sets(*text_buffer(part.column(1)), width)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([set_key(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int32()), pa.array([parities(s) if len(s) else b"" for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["id", "set", "n", "parities", "tokens"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([set_key(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["id", "set", "tokens"])
 
     kind = docs.schema["id"].dataType.simpleString()
     # only the text of a class's first document can hold the class
     docs = docs.join(broadcast_if_small(needed.select(F.col("id").alias("_id")).distinct()), F.col("id").eqNullSafe(F.col("_id")), "left_semi")
-    made = map_arrow(docs, run, f"id {kind}, set long, n int, parities binary, tokens binary")
+    made = map_arrow(docs, run, f"id {kind}, set long, tokens binary")
     found = made.join(needed.select(F.col("id").alias("_id"), F.col("set").alias("_set")), (F.col("set") == F.col("_set")) & F.col("id").eqNullSafe(F.col("_id")))
-    return found.select("set", "n", "parities", "tokens").dropDuplicates(["set"])
+    return found.select("set", "tokens").dropDuplicates(["set"])
 
 
 def _live(entries: DataFrame, comps: DataFrame) -> DataFrame:
@@ -316,8 +333,9 @@ def link_classes(docs: DataFrame, width: int = 5, threshold: tuple[int, int] = (
     entries = cut(_index(docs, width, num, den, sketch), "lists")
     release(spark)
     sketch.unpersist()
-    first = texts.where("n > 0").groupBy("set").agg(F.min("id").alias("id"))
-    owners = cut(first.join(entries.select("set").distinct(), "set"), "owners")
+    used = rows.where("kind = 0 and n > 0").join(broadcast_if_small(cut(entries.select("set").distinct(), "listed")), "set")
+    first = used.groupBy("set").agg(F.min(F.struct("id", "n", "parities")).alias("r")).select("set", "r.id", "r.n", "r.parities")
+    owners = cut(_signed(first), "owners")
     links, comps, tried = None, None, None
     for k in range(rounds + 1):
         if k == 0:
@@ -325,14 +343,14 @@ def link_classes(docs: DataFrame, width: int = 5, threshold: tuple[int, int] = (
         else:
             last, entries = entries, cut(_live(entries, comps), "live-lists")
             discard(last)
-            pairs = _neighbours(entries, num, den, k) if k < rounds else _all_pairs(entries, num, den)
+            pairs = _neighbours(entries, num, den, k) if k < rounds else _all_pairs(entries.join(owners.select("set", "sign"), "set"), num, den)
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
         pairs = cut(pairs, "pairs")
         tried = pairs if tried is None else tried.unionAll(pairs)
-        asked = pairs.select(F.col("a").alias("set")).unionAll(pairs.select("b")).distinct()
-        asked = cut(owners.join(asked, "set"), "asked")
+        likely = cut(_likely(pairs, owners, num, den), "likely-pairs")
+        asked = likely.select(F.col("a").alias("set")).unionAll(likely.select("b")).distinct()
+        asked = cut(owners.join(asked, "set").select("set", "id"), "asked")
         sets = cut(_sets(docs, asked, width), "token-sets")
-        likely = cut(_likely(pairs, sets, num, den), "likely-pairs")
         found = cut(_linked(likely, sets, num, den), "verified")
         discard(asked, sets, likely)
         release(spark)
@@ -354,20 +372,27 @@ def _neighbours(live: DataFrame, num: int, den: int, turn: int) -> DataFrame:
 
 
 def _all_pairs(live: DataFrame, num: int, den: int) -> DataFrame:
-    """All pairs of every list from different components that can link."""
+    """All pairs of every list from different components that can link, as far as
+    sizes, positions and folded parities tell."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, rows in grouped(batches, 1):
             s, n, pos, comp = (np.array([r[k] for r in rows], np.int64) for k in (1, 2, 3, 4))
+            length = min(len(r[5]) for r in rows)
+            sign = np.stack([np.bitwise_xor.reduce(np.frombuffer(r[5], np.uint8).reshape(-1, length), axis=0) for r in rows])
             for i, j in list_pairs(n, pos, comp, num, den):
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(s[i], s[j])), pa.array(np.maximum(s[i], s[j]))], names=["a", "b"])
+                total = n[i] + n[j]
+                ok = np.bitwise_count(sign[i] ^ sign[j]).sum(1) <= total - 2 * enough(total, 0, num, den)
+                i, j = i[ok], j[ok]
+                if len(i):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(s[i], s[j])), pa.array(np.maximum(s[i], s[j]))], names=["a", "b"])
 
-    return _by_token(live, run).distinct()
+    return _by_token(live, run, "sign").distinct()
 
 
-def _by_token(live: DataFrame, run) -> DataFrame:
+def _by_token(live: DataFrame, run, *more: str) -> DataFrame:
     spark = live.sparkSession
-    rows = live.select("token", "set", "n", "pos", "comp").repartition(partitions(spark), "token").sortWithinPartitions("token", "n", "set")
+    rows = live.select("token", "set", "n", "pos", "comp", *more).repartition(partitions(spark), "token").sortWithinPartitions("token", "n", "set")
     return map_arrow(rows, run, "a long, b long")
 
 
