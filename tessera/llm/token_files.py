@@ -29,18 +29,19 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.llm._common import Lookup, broadcast_if_small, cut, map_arrow, partitions, steps
 
 TABLE_ROWS = 500_000
-#: A blank before more white space: there, a chunk must not start.
-_RUN = re.compile(r"[ \n][\s\x85\x1c-\x1f]")
+#: Where a chunk can always start: at a blank or line feed before anything visible.
 _CUT = re.compile(r"(?=[ \n][^\s\x85\x1c-\x1f])")
-#: A full stop or comma that follows no letter or digit: it may belong to a run of
-#: symbols, and a chunk must not start at it.
-_LOOSE = re.compile(r"[.,](?<![^\W_].)")
+#: Texts that can't be cut before every blank, line feed, stop and comma: some blank
+#: stands before more white space, or some stop follows no letter or digit and may
+#: belong to a run of symbols.
+_ODD = r"[ \n][\s\x0b\x1c-\x1f\x{85}\pZ]|\x00|(?:^|[^\pL\pN])[.,]"
 #: How byte-level vocabularies write the bytes that don't print.
 _PRINTED = [*range(33, 127), *range(161, 173), *range(174, 256)]
 _LETTER = {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b not in _PRINTED)}
@@ -66,18 +67,11 @@ class ChunkEncoder:
                 raise ValueError("this tokenizer does not split as byte-level ones do")
 
     def chunks(self, text: str) -> list[str]:
-        """The text in pieces between which a token always ends."""
-        if not text:
-            return []
+        """The text in pieces between which a token always ends; a text with an
+        added token is one piece."""
         if any(t in text for t in self.added):
             return [text]
-        if "\0" in text or _RUN.search(text):
-            return [x for x in _CUT.split(text) if x]
-        cut = text.replace(" ", "\0 ").replace("\n", "\0\n")
-        if not _LOOSE.search(text):
-            cut = cut.replace(".", "\0.").replace(",", "\0,")
-        found = cut.split("\0")
-        return found if found[0] else found[1:]
+        return [x for x in _CUT.split(text) if x]
 
     def segment(self, chunk: str) -> bytes:
         """A chunk's ids: its words go to the library's model; a chunk that holds
@@ -90,15 +84,49 @@ class ChunkEncoder:
             ids = [t.id for word in self.split(chunk) for t in self.model.tokenize(word.encode().decode("latin-1").translate(_LETTER))]
         return array("i", ids).tobytes()
 
-    def encode(self, texts: list[str | None], end_id: int | None) -> tuple[np.ndarray, np.ndarray]:
-        """Offsets of the texts into the ids, and all ids."""
-        split = [self.chunks(t or "") for t in texts]
-        get = self.table.__getitem__
-        end = b"" if end_id is None else np.array([end_id], np.int32).tobytes()
-        out = [b"".join(map(get, x)) + end for x in split]
-        ends = np.zeros(len(out) + 1, np.int64)
-        np.cumsum([len(x) // 4 for x in out], out=ends[1:])
-        return ends, np.frombuffer(b"".join(out), np.int32)
+    def encode(self, texts: pa.Array | list[str | None], end_id: int | None) -> tuple[np.ndarray, np.ndarray]:
+        """Offsets of the texts into the ids, and all ids. Texts that may be cut
+        before every blank, line feed, stop and comma are split together, and their
+        chunks numbered by Arrow, so that each is looked up once a call."""
+        texts = pa.array(texts, pa.string()) if isinstance(texts, list) else texts
+        texts = texts.fill_null("")
+        odd = pc.match_substring_regex(texts, _ODD)
+        for token in self.added:
+            odd = pc.or_(odd, pc.match_substring(texts, token))
+        cut = pc.if_else(odd, "", texts)
+        for mark in " \n.,":
+            cut = pc.replace_substring(cut, mark, f"\0{mark}")
+        lists = pc.split_pattern(cut, "\0")
+        coded = lists.flatten().dictionary_encode()
+        words = [b"" if w == "" else self.table[w] for w in coded.dictionary.to_pylist()]
+        size = np.fromiter(map(len, words), np.int64, len(words)) // 4
+        first = np.cumsum(size) - size
+        pool = np.frombuffer(b"".join(words), np.int32)
+        index = np.asarray(coded.indices)
+        n = size[index]
+        done = np.cumsum(n)
+        ids = pool[np.arange(done[-1] if len(done) else 0) + np.repeat(first[index] - (done - n), n)]
+        upto = np.concatenate([[0], done])[np.asarray(lists.offsets)]
+        lengths = np.diff(upto)
+        slow = np.flatnonzero(np.asarray(odd))
+        if len(slow):
+            # the others are in place already: make room for these
+            own = [np.frombuffer(b"".join(map(self.table.__getitem__, self.chunks(t))), np.int32) for t in texts.take(pa.array(slow)).to_pylist()]
+            lengths[slow] = [len(x) for x in own]
+            room = np.zeros(len(texts), bool)
+            room[slow] = True
+            room = np.repeat(room, lengths)
+            out = np.empty(len(room), np.int32)
+            out[~room], out[room] = ids, np.concatenate(own)
+            ids = out
+        if end_id is not None:
+            lengths = lengths + 1
+            out = np.full(lengths.sum(), end_id, np.int32)
+            keep = np.ones(len(out), bool)
+            keep[np.cumsum(lengths) - 1] = False
+            out[keep] = ids
+            ids = out
+        return np.concatenate([[0], np.cumsum(lengths)]), ids
 
 
 @lru_cache(2)
@@ -117,8 +145,8 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int, i
 
         encoder, start, part_no = _encoder(tokenizer_path, table_rows), 0, TaskContext.get().partitionId()
         for batch in batches:
-            for part in steps(batch, 1):
-                ends, ids = encoder.encode(part.column(1).to_pylist(), end_id)
+            for part in steps(batch, 1, 4 << 20):
+                ends, ids = encoder.encode(part.column(1), end_id)
                 lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids, pa.int32()))
                 yield pa.RecordBatch.from_arrays([part.column(0), lists, pa.array(np.diff(ends), pa.int64()), pa.array(np.full(part.num_rows, part_no), pa.int32()), pa.array(start + ends[:-1], pa.int64())], names=["doc_id", "tokens", "n_tokens", "part", "part_start"])
                 start += int(ends[-1])
