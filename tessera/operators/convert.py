@@ -10,9 +10,10 @@ from tessera.operators.spmv import with_ordinal
 
 
 def row_lengths(entries: DataFrame, rows: DataFrame) -> DataFrame:
-    """(i, n) of every row."""
-    counts = entries.groupBy("i").agg(F.count(F.lit(1)).alias("n"))
-    return rows.join(counts, "i", "left").select("i", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
+    """(i, n) of every row, by one count over entries and rows."""
+    both = entries.select("i", F.lit(1).alias("_one")).unionAll(rows.select("i", F.lit(None).cast("int")))
+    counts = both.groupBy("i").agg(F.count("_one").alias("n"), F.count(F.lit(1)).alias("_all"))
+    return counts.where("_all > n").select("i", "n")
 
 
 def row_ptr(entries: DataFrame, rows: DataFrame) -> DataFrame:

@@ -1,8 +1,9 @@
 """Sparse matrix times dense vector.
 
 One logical plan: join the entries with x on the column, multiply, and sum by
-row with partial aggregation before the shuffle; left-join the rows so that empty
-ones give 0. Tiles, merge partitions, batches and row ranges are bucket columns
+row with partial aggregation before the shuffle. The rows themselves take part in
+that sum with nothing to add, so that empty ones give 0 without a join of their
+own: a product costs one shuffle where x is broadcast. Tiles, merge partitions, batches and row ranges are bucket columns
 over it, and every route gives the same y.
 
 Catalyst picks the join (broadcast where x is small, else sort-merge, with AQE
@@ -36,14 +37,17 @@ def _finish(total: Column, scale: float) -> Column:
 
 
 def spmv(entries: DataFrame, x: DataFrame, rows: DataFrame, buckets: tuple[str, ...] = (), scale: float = 1, salt: int = 1) -> DataFrame:
-    """(i, y) for every row of ``rows`` (i). Integer or decimal values give sums that
+    """(i, y) for every row of ``rows`` (i, each once); entries elsewhere are left out.
+    Integer or decimal values give sums that
     don't depend on their order; ``scale`` divides the result. ``buckets`` are columns
     of ``entries`` by which partial sums are made first."""
     made = products(entries, x, salt)
     if buckets:
         made = made.groupBy(*buckets, "i").agg(F.sum("p").alias("p"))
-    sums = made.groupBy("i").agg(F.sum("p").alias("_sum"))
-    return rows.join(sums, "i", "left").select("i", _finish(F.col("_sum"), scale).alias("y"))
+    nothing = F.lit(None).cast(made.schema["p"].dataType)
+    both = made.select("i", "p", F.lit(False).alias("_own")).unionAll(rows.select("i", nothing, F.lit(True)))
+    sums = both.groupBy("i").agg(F.sum("p").alias("_sum"), F.max("_own").alias("_own")).where("_own")
+    return sums.select("i", _finish(F.col("_sum"), scale).alias("y"))
 
 
 def axpby(y: DataFrame, y0: DataFrame, alpha: float, beta: float) -> DataFrame:
