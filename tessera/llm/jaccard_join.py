@@ -264,7 +264,7 @@ def _kept(batch: pa.RecordBatch, keep: list[bool]) -> pa.RecordBatch:
 def _with_both(pairs: DataFrame, sets: DataFrame, *columns: str) -> DataFrame:
     """(a, b) and ``columns`` of both sets."""
     side = lambda k: sets.select(F.col("set").alias(k), *[F.col(c).alias(f"{c}_{k}") for c in columns])
-    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", *[f"{c}_{k}" for c in columns for k in "ab"])
+    return side("a").join(broadcast_if_small(pairs), "a").join(side("b"), "b").select("a", "b", *[f"{c}_{k}" for c in columns for k in "ab"])
 
 
 def _likely(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
@@ -343,7 +343,7 @@ def link_classes(docs: DataFrame, width: int = 5, threshold: tuple[int, int] = (
         else:
             last, entries = entries, cut(_live(entries, comps), "live-lists")
             discard(last)
-            pairs = _neighbours(entries, num, den, k) if k < rounds else _all_pairs(entries.join(owners.select("set", "sign"), "set"), num, den)
+            pairs = _neighbours(entries, num, den, k) if k < rounds else _all_pairs(entries.join(broadcast_if_small(owners.select("set", "sign"), 1 << 18), "set"), num, den)
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
         pairs = cut(pairs, "pairs")
         tried = pairs if tried is None else tried.unionAll(pairs)

@@ -137,7 +137,7 @@ def drop_recurring(docs: DataFrame, min_docs: int = 10, min_tokens: int = 5, sim
     drops = found.join(recur, ["_leaf", "_template"]).where(F.col("_doc") != F.col("_keep")).select("_doc", F.explode("_nos").alias("_no"))
     drops = cut(drops.groupBy("_doc").agg(F.collect_set("_no").alias("__line_drop")), "line-drops")
     discard(leaves, lines, known, found)
-    drops = drops.select(F.col("_doc.id").alias("__line_i"), F.col("_doc.h").alias("__line_h"), "__line_drop")
+    drops = broadcast_if_small(drops, 1 << 18).select(F.col("_doc.id").alias("__line_i"), F.col("_doc.h").alias("__line_h"), "__line_drop")
     kept = docs.join(drops, F.col(id_col).eqNullSafe(F.col("__line_i")) & (F.xxhash64(F.col(text_col).cast("string")) == F.col("__line_h")), "left").drop("__line_i", "__line_h")
     split = F.split(F.col(text_col).cast("string"), "\n")
     text = F.when(F.col("__line_drop").isNull(), F.col(text_col)).otherwise(F.array_join(F.transform(F.filter(F.transform(split, lambda x, i: F.struct(x.alias("x"), i.alias("i"))), lambda s: ~F.array_contains(F.col("__line_drop"), s["i"])), lambda s: s["x"]), "\n"))
