@@ -200,7 +200,8 @@ def _runs_of(docs: DataFrame, length: int, gram: int, parts: int) -> DataFrame:
 
 
 def _leaders(e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Indexes of the first run of each text, and of all others."""
+    """Indexes of the first run of each text, and of all others at other places: a
+    repeated row has its runs at the places of the first."""
     by = np.argsort(e["content"], kind="stable")
     c = e["content"][by]
     twice = np.zeros(len(e), bool)
@@ -213,7 +214,9 @@ def _leaders(e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     x = e[some]
     first = np.ones(len(some), bool)
     first[1:] = (x["content"][1:] != x["content"][:-1]) | (x["key"][1:] != x["key"][:-1]) | (x["windows"][1:] != x["windows"][:-1])
-    return np.concatenate([alone, some[first]]), some[~first]
+    again = np.zeros(len(some), bool)
+    again[1:] = ~first[1:] & (x["id"][1:] == x["id"][:-1]) & (x["h"][1:] == x["h"][:-1]) & (x["start"][1:] == x["start"][:-1])
+    return np.concatenate([alone, some[first]]), some[~first & ~again]
 
 
 def _by_document(e: np.ndarray, length: int) -> Iterator[tuple[int, int, bytes]]:
@@ -292,7 +295,8 @@ def _shared(rows: DataFrame, length: int, gram: int, parts: int) -> DataFrame:
 
 
 def _segments(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
-    """``wanted`` (id, h, start, windows, key, block, split) with their bytes."""
+    """``wanted`` (id, h, start, windows, key, block, split) with their bytes, once
+    for all rows of equal id and text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -310,7 +314,8 @@ def _segments(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([flat.field("key"), flat.field("block"), part.column(0).take(pick), part.column(1).take(pick), flat.field("start"), flat.field("split"), pa.array(texts, pa.binary())], names=["key", "block", "id", "h", "start", "split", "bytes"])
 
     asked = wanted.groupBy("id", "h").agg(F.collect_list(F.struct("start", "windows", "key", "block", "split")).alias("asked"))
-    return map_arrow(docs.join(asked, ["id", "h"]).select("id", "h", "text", "asked"), run, "key long, block int, id long, h int, start int, split boolean, bytes binary")
+    once = docs.join(asked, ["id", "h"]).groupBy("id", "h").agg(F.first("text").alias("text"), F.first("asked").alias("asked"))
+    return map_arrow(once, run, "key long, block int, id long, h int, start int, split boolean, bytes binary")
 
 
 def _repeats(segments: DataFrame, length: int, parts: int) -> DataFrame:
