@@ -2,15 +2,15 @@
 
 The tree has fixed depth: a line goes down by its number of tokens and its first
 ``DEPTH`` tokens (tokens with digits count as variable) to a leaf. In a leaf,
-each line joins the first template of which at least ``similarity`` of its
-tokens agree, and positions that differ become variable, or it founds a new
-template. A template that occurs in ``min_docs`` documents or more recurs: its
+each line joins the template whose founding line agrees best with it, in at least
+``similarity`` of all tokens and of those that are no numbers, and positions that
+differ become variable, or it founds a new template. A template that occurs in ``min_docs`` documents or more recurs: its
 lines are dropped from every document but the first (in id order) that has one.
 
 Leaves with too few lines to hold a recurring template are set aside by counts
 alone, before any text moves. Lines of a leaf are parsed as distinct lines in
 the order of their text, so results don't depend on partitions; leaves of more
-than ``leaf_rows`` distinct lines are parsed in hashed parts, whose templates
+than ``leaf_rows`` distinct lines are parsed in hashed parts, whose founding lines
 are then parsed together.
 
 Defined results: null text stays null and has no lines; lines of fewer than
@@ -41,26 +41,32 @@ def parse(lines: list[tuple[int, list[str]]], similarity: float) -> list[tuple[l
     table = np.array([[codes.setdefault(t, len(codes)) for t in tokens] for _, tokens in lines], np.int32)
     words = list(codes)
     n, width = table.shape
+    fixed = (table != 0).sum(1)
+    # founding lines: positions that became variable are no agreement
     found = np.zeros((min(n, 64), width), np.int32)
+    size = np.zeros(len(found), np.int64)
+    shown: list[np.ndarray] = []
     members: list[list[int]] = []
     for k in range(n):
         t = len(members)
         best = -1
         if t:
-            # variable positions agree with anything
-            agree = ((found[:t] == table[k]) | (found[:t] == 0)).sum(1)
+            same = found[:t] == table[k]
+            agree = same.sum(1)
+            agree[(same & (table[k] != 0)).sum(1) < similarity * np.maximum(size[:t], fixed[k])] = 0
             best = int(agree.argmax())
             if agree[best] < similarity * width:
                 best = -1
         if best < 0:
             if t == len(found):
-                found = np.concatenate([found, np.zeros_like(found)])
-            found[t] = table[k]
+                found, size = np.concatenate([found, np.zeros_like(found)]), np.concatenate([size, np.zeros_like(size)])
+            found[t], size[t] = table[k], fixed[k]
+            shown.append(table[k].copy())
             members.append([lines[k][0]])
         else:
-            found[best][found[best] != table[k]] = 0
+            shown[best][found[best] != table[k]] = 0
             members[best].append(lines[k][0])
-    return [([words[c] for c in found[i]], keys) for i, keys in enumerate(members)]
+    return [([words[c] for c in shown[i]], keys) for i, keys in enumerate(members)]
 
 
 def _masked(tokens):
@@ -91,8 +97,9 @@ def templates(lines: DataFrame, similarity: float, leaf_rows: int) -> DataFrame:
         leaf, part, head, text, hashes = [], [], [], [], []
         for (a, b), rows in grouped(batches, 2):
             split = [(r[3], [VARIABLE if any(c.isdigit() for c in t) else t for t in r[2].encode().translate(_SPACES).decode().split(" ") if t]) for r in rows]
-            for tokens, keys in parse(split, similarity):
-                leaf.append(a), part.append(b), head.append(min(keys)), text.append(" ".join(tokens)), hashes.append(keys)
+            tokens = dict(split)
+            for _, keys in parse(split, similarity):
+                leaf.append(a), part.append(b), head.append(min(keys)), text.append(" ".join(tokens[keys[0]])), hashes.append(keys)
             if len(leaf) > 4096:
                 yield _batch(leaf, part, head, text, hashes)
                 leaf, part, head, text, hashes = [], [], [], [], []

@@ -241,6 +241,20 @@ def test_line_templates(spark, empty):
     assert drop_recurring(empty).count() == 0
 
 
+def test_line_drift(spark):
+    """Short lines that share their first tokens or their numbers alone are no template."""
+    from tessera.llm.line_templates import drop_recurring
+
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(7))
+    said = ["He was a big cat", "He was a big dog", "He was a good boy"] + [f"He was a {word()} {word()}" for _ in range(20)]
+    rows = ["1 2 3 apples sold", "4 5 6 pears sold"] + [f"{k} {k + 1} {k + 2} {word()} {word()}" for k in range(20)]
+    texts = list(enumerate(said + rows))
+    for leaf_rows in (2000, 5):
+        out = drop_recurring(spark.createDataFrame(texts, "doc_id long, text string"), min_docs=10, leaf_rows=leaf_rows).collect()
+        assert sorted((r.doc_id, r.text) for r in out) == texts
+
+
 def test_parse():
     from tessera.llm.line_templates import VARIABLE, parse
 
