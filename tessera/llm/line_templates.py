@@ -6,6 +6,8 @@ each line joins the template whose founding line agrees best with it, in at leas
 ``similarity`` of all tokens and of those that are no numbers, and positions that
 differ become variable, or it founds a new template. A template that occurs in ``min_docs`` documents or more recurs: its
 lines are dropped from every document but the first (in id order) that has one.
+A line of ``exact_bytes`` bytes or more that is exactly repeated needs no template:
+it recurs from two documents on, whatever its number of tokens.
 
 Leaves with too few lines to hold a recurring template are set aside by counts
 alone, before any text moves. Lines of a leaf are parsed as distinct lines in
@@ -14,7 +16,7 @@ than ``leaf_rows`` distinct lines are parsed in hashed parts, whose founding lin
 are then parsed together.
 
 Defined results: null text stays null and has no lines; lines of fewer than
-``min_tokens`` tokens stay; a document whose lines all go has the empty text;
+``min_tokens`` tokens and ``exact_bytes`` bytes stay; a document whose lines all go has the empty text;
 rows with equal id and text are one document and keep or lose the same lines;
 null ids come before all others; other columns are passed on as they are.
 """
@@ -73,14 +75,16 @@ def _masked(tokens):
     return F.transform(tokens, lambda t: F.when(t.rlike("[0-9]"), VARIABLE).otherwise(t))
 
 
-def document_lines(docs: DataFrame, id_col: str, text_col: str, min_tokens: int) -> DataFrame:
-    """(_doc, _line_no, _line, _leaf) of all lines that can be dropped. _doc orders
+def document_lines(docs: DataFrame, id_col: str, text_col: str, min_tokens: int, exact_bytes: int) -> DataFrame:
+    """(_doc, _line_no, _line, _leaf, _exact) of all lines that can be dropped; _leaf is
+    null for lines of too few tokens, _exact (a hash) for short ones. _doc orders
     documents by id, null first, then by text hash."""
     line = F.col("_line")
     df = docs.select(_doc(id_col, text_col).alias("_doc"), F.posexplode(F.split(F.col(text_col).cast("string"), "\n")).alias("_line_no", "_line"))
     tokens = F.filter(F.split(line, WORD_GAP), lambda t: t != "")
     df = df.withColumn("_t", F.transform(F.array(tokens), lambda t: F.struct(F.size(t).alias("n"), F.array_join(_masked(F.slice(t, 1, DEPTH)), " ").alias("lead")))[0])
-    return df.where(F.col("_t.n") >= min_tokens).select("_doc", "_line_no", "_line", F.xxhash64("_t.n", "_t.lead").alias("_leaf"))
+    df = df.select("_doc", "_line_no", "_line", F.when(F.col("_t.n") >= min_tokens, F.xxhash64("_t.n", "_t.lead")).alias("_leaf"), F.when((F.col("_t.n") > 0) & (F.octet_length(line) >= exact_bytes), F.xxhash64(line)).alias("_exact"))
+    return df.where("_leaf is not null or _exact is not null")
 
 
 def _doc(id_col: str, text_col: str):
@@ -129,21 +133,25 @@ def _batch(leaf, part, head, text, hashes) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(leaf, pa.int64()), pa.array(part, pa.int64()), pa.array(head, pa.int64()), pa.array(text, pa.string()), pa.array(hashes, pa.list_(pa.int64()))], names=["_leaf", "_part", "_head", "_text", "_hashes"])
 
 
-def drop_recurring(docs: DataFrame, min_docs: int = 10, min_tokens: int = 5, similarity: float = 0.7, leaf_rows: int = 2000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with the lines of recurring templates taken out of the text, and
-    n_lines and n_dropped."""
-    lines = document_lines(docs, id_col, text_col, min_tokens)
-    leaves = cut(lines.groupBy("_leaf").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= min_docs).select("_leaf"), "leaves")
+def drop_recurring(docs: DataFrame, min_docs: int = 10, min_tokens: int = 5, similarity: float = 0.7, leaf_rows: int = 2000, exact_bytes: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with the lines of recurring templates and long repeated lines taken out
+    of the text, and n_lines and n_dropped."""
+    lines = document_lines(docs, id_col, text_col, min_tokens, exact_bytes)
+    places = cut(lines.select("_doc", "_line_no", "_leaf", "_exact"), "all-line-places")
+    exact = places.where("_exact is not null").groupBy("_exact").agg(F.min("_doc").alias("_keep"), F.max("_doc").alias("_last")).where(F.col("_keep") != F.col("_last"))
+    exact = cut(exact.select("_exact", "_keep"), "repeated-lines")
+    copies = places.where("_exact is not null").join(broadcast_if_small(exact, 1 << 18), "_exact").where(F.col("_doc") != F.col("_keep")).select("_doc", F.col("_line_no").alias("_no"))
+    leaves = cut(places.where("_leaf is not null").groupBy("_leaf").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= min_docs).select("_leaf"), "leaves")
     # only lines of these leaves move
-    lines = cut(lines.join(broadcast_if_small(leaves), "_leaf").withColumn("_line_hash", F.xxhash64("_line")), "lines")
+    lines = cut(lines.drop("_exact").join(broadcast_if_small(leaves), "_leaf").withColumn("_line_hash", F.xxhash64("_line")), "lines")
     known = cut(templates(lines.select("_leaf", "_line").distinct(), similarity, leaf_rows), "line-templates")
     placed = lines.select("_doc", "_line_no", "_leaf", "_line_hash").join(known, ["_leaf", "_line_hash"])
     found = placed.groupBy("_leaf", "_template", "_doc").agg(F.collect_list("_line_no").alias("_nos"))
     found = cut(found, "line-places")
     recur = found.groupBy("_leaf", "_template").agg(F.count(F.lit(1)).alias("_docs"), F.min("_doc").alias("_keep")).where(F.col("_docs") >= min_docs)
     drops = found.join(recur, ["_leaf", "_template"]).where(F.col("_doc") != F.col("_keep")).select("_doc", F.explode("_nos").alias("_no"))
-    drops = cut(drops.groupBy("_doc").agg(F.collect_set("_no").alias("__line_drop")), "line-drops")
-    discard(leaves, lines, known, found)
+    drops = cut(drops.unionAll(copies).groupBy("_doc").agg(F.collect_set("_no").alias("__line_drop")), "line-drops")
+    discard(places, exact, leaves, lines, known, found)
     drops = broadcast_if_small(drops, 1 << 18).select(F.col("_doc.id").alias("__line_i"), F.col("_doc.h").alias("__line_h"), "__line_drop")
     kept = docs.join(drops, F.col(id_col).eqNullSafe(F.col("__line_i")) & (F.xxhash64(F.col(text_col).cast("string")) == F.col("__line_h")), "left").drop("__line_i", "__line_h")
     split = F.split(F.col(text_col).cast("string"), "\n")

@@ -241,6 +241,30 @@ def test_line_templates(spark, empty):
     assert drop_recurring(empty).count() == 0
 
 
+def test_line_copies(spark):
+    """Recall on planted long lines by copy count, with one token, too; short lines
+    of few documents stay."""
+    from tessera.llm.line_templates import drop_recurring
+
+    rng = random.Random(7)
+    words = lambda n: " ".join("".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(n))
+    texts = [[words(30)] for _ in range(40)]
+    planted = {}
+    for copies in range(2, 13):
+        for line in (words(20), words(60), words(30).replace(" ", "")):
+            where = planted[line] = sorted(rng.sample(range(40), copies))
+            for k in where:
+                texts[k].insert(rng.randrange(len(texts[k]) + 1), line)
+    short = words(5)
+    texts[3].append(short), texts[9].append(short)
+    rows = [(k, "\n".join(t)) for k, t in enumerate(texts)]
+    rows += [rows[5]]  # one document twice
+    out = drop_recurring(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), min_docs=10).collect()
+    assert len(out) == len(rows)
+    for r in out:
+        assert r.text.split("\n") == [x for x in texts[r.doc_id] if x not in planted or planted[x][0] == r.doc_id]
+
+
 def test_line_drift(spark):
     """Short lines that share their first tokens or their numbers alone are no template."""
     from tessera.llm.line_templates import drop_recurring
