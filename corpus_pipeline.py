@@ -7,15 +7,16 @@ return the columns of documents; the last returns (doc_id, n_tokens, ids,
 decoded_sha256), one row for each copy of a document that the mix takes.
 
 Defined results: every stage takes null texts, ids, languages and sources and
-repeated rows as its operator says; rows with equal ids stay or go together in
-the Jaccard stage; a document that the line stage leaves empty goes.
+repeated rows as its operator says; the Jaccard stage keeps one row of each
+group, whether ids are null, repeated or neither, and every row without words; a
+document that the line stage leaves empty goes.
 """
 
 from __future__ import annotations
 
 from functools import wraps
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.llm._common import broadcast_if_small, cut, remove, written
@@ -66,10 +67,17 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 @_stage
 def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates, the document with the least id."""
-    found = jaccard_components(docs, width=5, threshold=(3, 4))
-    gone = cut(found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_gone")).distinct(), "near-duplicates")
-    return docs.join(broadcast_if_small(gone), F.col("doc_id").eqNullSafe(F.col("_gone")), "left_anti").select(COLUMNS)
+    """Of each group of near-duplicates, one row: the one with the least id (null ids
+    last), then text hash, then other columns."""
+    # a string in that order, which tells all rows apart but those equal in id and text
+    number = F.lpad((F.col("doc_id").cast("decimal(20,0)") + F.expr("9223372036854775808BD")).cast("decimal(20,0)").cast("string"), 20, "0")
+    keyed = docs.select(*COLUMNS, F.concat(F.coalesce(number, F.lit("null")), F.lit("|"), F.lpad(F.hex(F.xxhash64("text")), 16, "0")).alias("_key"))
+    found = jaccard_components(keyed.select("_key", "text"), width=5, threshold=(3, 4), id_col="_key").where("n_shingles > 0")
+    marks = found.groupBy("_key").agg(F.min(F.col("_key") != F.col("component_id")).alias("_gone"), F.count(F.lit(1)).alias("_n")).where("_gone or _n > 1")
+    marks = broadcast_if_small(cut(marks.select("_key", "_gone"), "near-duplicates"), 1 << 18)
+    nth = F.row_number().over(Window.partitionBy("_key").orderBy("lang", "source", "n_chars"))
+    repeated = keyed.join(marks.where("not _gone"), "_key").withColumn("_nth", nth).where("_nth = 1")
+    return keyed.join(marks, "_key", "left_anti").select(COLUMNS).unionAll(repeated.select(COLUMNS))
 
 
 @_stage

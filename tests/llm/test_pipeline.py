@@ -40,6 +40,28 @@ def test_odd_input(spark, tmp_path, n):
     assert c.run(spark, str(tmp_path)).count() >= 0
 
 
+def test_jaccard_rows(spark):
+    """Null and repeated ids: one row of each group and every clean one stays."""
+    from pyspark.sql import functions as F
+    from test_duplicates import near_copies, reach, shingles
+
+    import corpus_pipeline as c
+
+    texts = near_copies(3)
+    rows = [((None, -7, k, k // 4)[k % 4], t, "en", "a", len(t)) for k, t in enumerate(texts)]
+    rows += [(None, f"clean text {k} without an id and without any copy", "en", "a", 1) for k in "abcde"] + [(1, "another text of that id that nothing else is like", "en", "a", 1)]
+    rows += rows[::5] + rows[:2] + [(None, texts[0], "fr", "b", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    h = {r.text: r.h for r in docs.select("text", F.lpad(F.hex(F.xxhash64("text")), 16, "0").alias("h")).collect()}
+    sets = [shingles(r[1]) for r in rows]
+    links = [(a, b) for a in range(len(rows)) for b in range(a + 1, len(rows)) if sets[a] and sets[b] and 4 * len(sets[a] & sets[b]) >= 3 * len(sets[a] | sets[b])]
+    top = reach(range(len(rows)), links)
+    groups = {t: [rows[k] for k in top if top[k] == t] for t in set(top.values())}
+    want = [min(g, key=lambda r: (r[0] is None, r[0] or 0, h[r[1]], r[2:])) for g in groups.values()]
+    got = [tuple(r) for r in c.jaccard_join(spark, docs, "").collect()]
+    assert sorted(map(str, got)) == sorted(map(str, want))
+
+
 def test_oracles(spark):
     from tessera.llm.queries import ORACLE, QUERIES
 
