@@ -8,12 +8,15 @@ import tempfile
 import uuid
 import zipfile
 from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, DataType, StringType, StructType
 
 #: The separators of words: space and \t \n \v \f \r, as Java and RE2 write them.
 WORD_GAP = r"[\x20\x09-\x0D]+"
@@ -28,21 +31,34 @@ STEP_BYTES = 1 << 19
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share. It is the session's
-    ``spark.checkpoint.dir``; only where that is unset (tests on one machine) is
-    a temporary folder made and set."""
+    """The folder that driver and executors share: the session's
+    ``spark.checkpoint.dir``, or what setCheckpointDir() was given. Where both are
+    unset, a local master gets a temporary folder; a cluster has no such folder,
+    so it is an error there."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        found = getattr(spark.sparkContext, "_tessera_dir", None)
-        if found is None:
-            found = tempfile.mkdtemp(prefix="tessera-")
-            spark.sparkContext._tessera_dir = found
-            spark.sparkContext.setCheckpointDir(found)
+        given = spark._jsc.sc().getCheckpointDir()
+        found = given.get() if given.isDefined() else getattr(spark.sparkContext, "_tessera_dir", None)
+    if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        found = spark.sparkContext._tessera_dir = tempfile.mkdtemp(prefix="tessera-")
     return found.rstrip("/")
 
 
-#: Folders that cut() has written and discard() has not deleted, in order.
-written: list[str] = []
+#: Lists that collect what cut() writes, innermost last; one stack a thread.
+_scopes: ContextVar[tuple[list[str], ...]] = ContextVar("scopes", default=())
+
+
+@contextmanager
+def scratch() -> Iterator[list[str]]:
+    """Collects the folders that cut() writes inside, for remove()."""
+    made: list[str] = []
+    token = _scopes.set((*_scopes.get(), made))
+    try:
+        yield made
+    finally:
+        _scopes.reset(token)
 
 
 def _path(spark: SparkSession, path: str):
@@ -50,18 +66,24 @@ def _path(spark: SparkSession, path: str):
     return where, where.getFileSystem(spark._jsc.hadoopConfiguration())
 
 
+def new_path(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder that goes when the JVM ends."""
+    path = f"{shared_dir(spark)}/tessera-{name}-{uuid.uuid4().hex}"
+    where, files = _path(spark, path)
+    files.deleteOnExit(where)
+    for made in _scopes.get():
+        made.append(path)
+    return path
+
+
 def cut(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder as Parquet and read it again. Lineage
     ends there, so that a lost executor costs no recomputation, and the rows are
     the same for every later reader. The files go by discard(), or when the JVM
     ends."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tessera-{name}-{uuid.uuid4().hex}"
+    path = new_path(df.sparkSession, name)
     df.write.parquet(path)
-    where, files = _path(spark, path)
-    files.deleteOnExit(where)
-    written.append(path)
-    out = spark.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._tessera_path = path
     return out
 
@@ -76,10 +98,8 @@ def discard(*tables: DataFrame | None) -> None:
 
 def remove(spark: SparkSession, paths: list[str]) -> None:
     for path in paths:
-        if path in written:
-            written.remove(path)
-            where, files = _path(spark, path)
-            files.delete(where, True)
+        where, files = _path(spark, path)
+        files.delete(where, True)
 
 
 def partitions(spark: SparkSession) -> int:
@@ -228,10 +248,34 @@ class Recent:
         return self.now
 
 
-def broadcast_if_small(df: DataFrame, rows: int = 1 << 20) -> DataFrame:
-    """``df`` (slim rows, already written by cut) with a broadcast hint if it has at
-    most ``rows`` rows; beyond that, Spark joins it by shuffle."""
-    return F.broadcast(df) if df.count() <= rows else df
+#: Most bytes of a table that broadcast_if_small() hands out.
+BROADCAST_BYTES = 16 << 20
+
+
+def _width(value: Column, kind: DataType) -> Column:
+    """The bytes that a value takes, about."""
+    if isinstance(kind, (StringType, BinaryType)):
+        return F.coalesce(F.octet_length(value), F.lit(0)) + 16
+    if isinstance(kind, ArrayType):
+        inner = kind.elementType
+        if isinstance(inner, (StringType, BinaryType, ArrayType, StructType)):
+            return F.coalesce(F.aggregate(value, F.lit(0).cast("long"), lambda a, x: a + _width(x, inner)), F.lit(0)) + 16
+        return F.greatest(F.size(value), F.lit(0)) * 8 + 16
+    if isinstance(kind, StructType):
+        return sum((_width(value[f.name], f.dataType) for f in kind), F.lit(16))
+    return F.lit(8)
+
+
+def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """``df`` (already written by cut) with a broadcast hint if its values take
+    ``limit`` bytes at most, which is measured; beyond, Spark joins it by shuffle."""
+    return F.broadcast(df) if is_small(df, limit) else df
+
+
+def is_small(df: DataFrame, limit: int = BROADCAST_BYTES) -> bool:
+    """Whether the values of ``df`` take ``limit`` bytes at most, by a sum over them."""
+    row = sum((_width(F.col(f"`{f.name}`"), f.dataType) for f in df.schema), F.lit(16))
+    return (df.agg(F.sum(row.cast("long"))).first()[0] or 0) <= limit
 
 
 def grouped(batches: Iterator[pa.RecordBatch], keys: int = 1) -> Iterator[tuple[tuple, list[tuple]]]:
@@ -248,19 +292,17 @@ def grouped(batches: Iterator[pa.RecordBatch], keys: int = 1) -> Iterator[tuple[
         yield key, rows
 
 
-def components(edges: DataFrame, a: str, b: str, one_task: int = 1 << 20) -> DataFrame:
+def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     """(node, component) for the nodes of ``edges`` (64-bit numbers); component is the
-    least node that links reach. Up to ``one_task`` distinct edges are solved by one
-    task that holds them; beyond, large-star and small-star steps in turn, each a
-    grouping of edges, in which a hub's edges are folded by minima before the
-    shuffle. Every round is written to the shared folder; it ends when the edges
-    stand still."""
+    least node that links reach. Every partition first folds its edges into a
+    forest of stars, which it holds; then large-star and small-star steps in turn,
+    each a grouping of edges, in which a hub's edges are folded by minima before
+    the shuffle (AQE splits a hub's part of the join). Every round is written to
+    the shared folder; it ends when the edges stand still."""
     pairs = edges.select(F.least(a, b).alias("v"), F.greatest(a, b).alias("u")).where("u <> v").distinct()
-    pairs = cut(pairs, "links")
-    if pairs.count() <= one_task:
-        return cut(map_arrow(pairs.select("u", "v").coalesce(1), _union, "node long, component long"), "components")
-    seen = None
-    while True:
+    pairs = cut(map_arrow(pairs.select("u", "v"), _forest, "u long, v long"), "links")
+    seen = _print_of(pairs)
+    while seen[0]:
         # large star: every larger neighbour of u links to the least one of u and its neighbours
         both = pairs.select("u", "v").unionAll(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
@@ -270,15 +312,20 @@ def components(edges: DataFrame, a: str, b: str, one_task: int = 1 << 20) -> Dat
         small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         last, pairs = pairs, cut(small.unionAll(least.select("u", F.col("m").alias("v"))).distinct(), "links")
         discard(last)
-        now = tuple(pairs.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.hash("u", "v").cast("long")), F.lit(0)), F.coalesce(F.bit_xor(F.xxhash64("u", "v")), F.lit(0))).first())
+        now = _print_of(pairs)
         if now == seen:
             break
         seen = now
     return pairs.select(F.col("u").alias("node"), F.col("v").alias("component")).unionAll(pairs.select(F.col("v"), F.col("v")).distinct())
 
 
-def _union(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Components of the edges of one task."""
+def _print_of(pairs: DataFrame) -> tuple:
+    """Count and two order-free digests of (u, v) rows."""
+    return tuple(pairs.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.hash("u", "v").cast("long")), F.lit(0)), F.coalesce(F.bit_xor(F.xxhash64("u", "v")), F.lit(0))).first())
+
+
+def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A partition's edges as stars: each node and the least one it reaches."""
     above: dict[int, int] = {}
 
     def top(x: int) -> int:
@@ -292,9 +339,9 @@ def _union(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             x, y = top(x), top(y)
             if x != y:
                 above[max(x, y)] = min(x, y)
-    nodes = list(above)
-    if nodes:
-        yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([top(x) for x in nodes], pa.int64())], names=["node", "component"])
+    leaves = [x for x in above if top(x) != x]
+    if leaves:
+        yield pa.RecordBatch.from_arrays([pa.array(leaves, pa.int64()), pa.array([top(x) for x in leaves], pa.int64())], names=["u", "v"])
 
 
 def map_arrow(df: DataFrame, run, schema: str) -> DataFrame:

@@ -343,7 +343,7 @@ def link_classes(docs: DataFrame, width: int = 5, threshold: tuple[int, int] = (
         else:
             last, entries = entries, cut(_live(entries, comps), "live-lists")
             discard(last)
-            pairs = _neighbours(entries, num, den, k) if k < rounds else _all_pairs(entries.join(broadcast_if_small(owners.select("set", "sign"), 1 << 18), "set"), num, den)
+            pairs = _neighbours(entries, num, den, k) if k < rounds else _all_pairs(entries.join(broadcast_if_small(owners.select("set", "sign")), "set"), num, den)
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
         pairs = cut(pairs, "pairs")
         tried = pairs if tried is None else tried.unionAll(pairs)

@@ -1,159 +1,119 @@
 """Line dedup with a log-template tree.
 
 The tree has fixed depth: a line goes down by its number of tokens and its first
-``DEPTH`` tokens (tokens with digits count as variable) to a leaf. In a leaf,
-each line joins the template whose founding line agrees best with it, in at least
-``similarity`` of all tokens and of those that are no numbers, and positions that
-differ become variable, or it founds a new template. A template that occurs in ``min_docs`` documents or more recurs: its
-lines are dropped from every document but the first (in id order) that has one.
-A line of ``exact_bytes`` bytes or more that is exactly repeated needs no template:
-it recurs from two documents on, whatever its number of tokens.
-
-Leaves with too few lines to hold a recurring template are set aside by counts
-alone, before any text moves. Lines of a leaf are parsed as distinct lines in
-the order of their text, so results don't depend on partitions; leaves of more
-than ``leaf_rows`` distinct lines are parsed in hashed parts, whose founding lines
-are then parsed together.
-
-Defined results: null text stays null and has no lines; lines of fewer than
-``min_tokens`` tokens and ``exact_bytes`` bytes stay; a document whose lines all go has the empty text;
-rows with equal id and text are one document and keep or lose the same lines;
-null ids come before all others; other columns are passed on as they are.
+``DEPTH`` tokens to a leaf; tokens with digits are variable fields from the
+start. In a leaf, variable fields are told by how rare they are: of a line's
+other tokens, the ``similarity`` share that is most frequent at its place in the
+leaf (on a tie, the one further left) makes up the line's template, and the rest
+becomes variable. Lines with one template thus agree in at least that share. A
+template that occurs in ``min_docs`` documents or more recurs: its lines are
+dropped from every document but the first (in id order) that has one. A line of
+``exact_bytes`` bytes or more that is exactly repeated needs no template: it
+recurs from two documents on.
+
+The texts are parsed once. Templates come from counts over the whole corpus, so
+they depend neither on the order of lines nor on partitions, and no leaf is
+gathered: counts are taken by (leaf, place, token), over distinct lines of those
+leaves alone that have lines enough for a recurring template.
+
+Defined results: null text stays null and has no lines; a line without a token
+that has a letter and no digit has no template (rules, brackets and rows of
+numbers stay unless they are long and exactly repeated); a document whose lines
+all go has the empty text; rows with equal id and text are one document and keep
+or lose the same lines; null ids come before all others, and texts of one id in
+the order of their hashes; other columns are passed on as they are, and where
+the input has a column n_lines or n_dropped, the count's name gets underscores.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm._common import WORD_GAP, broadcast_if_small, cut, discard, grouped, map_arrow, partitions
+from tessera.llm._common import WORD_GAP, broadcast_if_small, cut, discard
 
 DEPTH = 3
 VARIABLE = "<*>"
 
 
-def parse(lines: list[tuple[int, list[str]]], similarity: float) -> list[tuple[list[str], list[int]]]:
-    """Templates of (key, tokens) lines of equal length, in the given order: each
-    template's tokens and the keys of its lines."""
-    codes: dict[str, int] = {VARIABLE: 0}
-    table = np.array([[codes.setdefault(t, len(codes)) for t in tokens] for _, tokens in lines], np.int32)
-    words = list(codes)
-    n, width = table.shape
-    fixed = (table != 0).sum(1)
-    # founding lines: positions that became variable are no agreement
-    found = np.zeros((min(n, 64), width), np.int32)
-    size = np.zeros(len(found), np.int64)
-    shown: list[np.ndarray] = []
-    members: list[list[int]] = []
-    for k in range(n):
-        t = len(members)
-        best = -1
-        if t:
-            same = found[:t] == table[k]
-            agree = same.sum(1)
-            agree[(same & (table[k] != 0)).sum(1) < similarity * np.maximum(size[:t], fixed[k])] = 0
-            best = int(agree.argmax())
-            if agree[best] < similarity * width:
-                best = -1
-        if best < 0:
-            if t == len(found):
-                found, size = np.concatenate([found, np.zeros_like(found)]), np.concatenate([size, np.zeros_like(size)])
-            found[t], size[t] = table[k], fixed[k]
-            shown.append(table[k].copy())
-            members.append([lines[k][0]])
-        else:
-            shown[best][found[best] != table[k]] = 0
-            members[best].append(lines[k][0])
-    return [([words[c] for c in shown[i]], keys) for i, keys in enumerate(members)]
-
-
-def _masked(tokens):
-    return F.transform(tokens, lambda t: F.when(t.rlike("[0-9]"), VARIABLE).otherwise(t))
-
-
-def document_lines(docs: DataFrame, id_col: str, text_col: str, min_tokens: int, exact_bytes: int) -> DataFrame:
-    """(_doc, _line_no, _line, _leaf, _exact) of all lines that can be dropped; _leaf is
-    null for lines of too few tokens, _exact (a hash) for short ones. _doc orders
-    documents by id, null first, then by text hash."""
-    line = F.col("_line")
-    df = docs.select(_doc(id_col, text_col).alias("_doc"), F.posexplode(F.split(F.col(text_col).cast("string"), "\n")).alias("_line_no", "_line"))
-    tokens = F.filter(F.split(line, WORD_GAP), lambda t: t != "")
-    df = df.withColumn("_t", F.transform(F.array(tokens), lambda t: F.struct(F.size(t).alias("n"), F.array_join(_masked(F.slice(t, 1, DEPTH)), " ").alias("lead")))[0])
-    df = df.select("_doc", "_line_no", "_line", F.when(F.col("_t.n") >= min_tokens, F.xxhash64("_t.n", "_t.lead")).alias("_leaf"), F.when((F.col("_t.n") > 0) & (F.octet_length(line) >= exact_bytes), F.xxhash64(line)).alias("_exact"))
-    return df.where("_leaf is not null or _exact is not null")
-
-
-def _doc(id_col: str, text_col: str):
-    return F.struct(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col).cast("string")).alias("h"))
-
-
-def templates(lines: DataFrame, similarity: float, leaf_rows: int) -> DataFrame:
-    """(_leaf, _line_hash, _template) of distinct lines (_leaf, _line)."""
-    spark = lines.sparkSession
-    sizes = lines.groupBy("_leaf").agg(F.count(F.lit(1)).alias("_rows"))
-    parted = lines.join(sizes, "_leaf").select("_leaf", F.pmod(F.xxhash64(F.lit(1), "_line"), F.ceil(F.col("_rows") / leaf_rows)).alias("_part"), "_line", F.xxhash64("_line").alias("_line_hash"))
-
-    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        leaf, part, head, text, hashes = [], [], [], [], []
-        for (a, b), rows in grouped(batches, 2):
-            split = [(r[3], [VARIABLE if any(c.isdigit() for c in t) else t for t in r[2].encode().translate(_SPACES).decode().split(" ") if t]) for r in rows]
-            tokens = dict(split)
-            for _, keys in parse(split, similarity):
-                leaf.append(a), part.append(b), head.append(min(keys)), text.append(" ".join(tokens[keys[0]])), hashes.append(keys)
-            if len(leaf) > 4096:
-                yield _batch(leaf, part, head, text, hashes)
-                leaf, part, head, text, hashes = [], [], [], [], []
-        yield _batch(leaf, part, head, text, hashes)
-
-    schema = "_leaf long, _part long, _head long, _text string, _hashes array<long>"
-    made = cut(map_arrow(parted.repartition(partitions(spark), "_leaf", "_part").sortWithinPartitions("_leaf", "_part", "_line"), first, schema), "templates")
-
-    def second(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (a,), rows in grouped(batches, 1):
-            for _, heads in parse([(r[2], r[1].split(" ")) for r in rows], similarity):
-                yield pa.RecordBatch.from_pydict({"_leaf": [a] * len(heads), "_head": heads, "_template": [min(heads)] * len(heads)}, schema=pa.schema([("_leaf", pa.int64()), ("_head", pa.int64()), ("_template", pa.int64())]))
-
-    parts = made.groupBy("_leaf").agg(F.max("_part").alias("_parts"))
-    made = made.join(parts, "_leaf")
-    merged = map_arrow(made.where("_parts > 0").select("_leaf", "_text", "_head").repartition(partitions(spark), "_leaf").sortWithinPartitions("_leaf", "_text", "_head"), second, "_leaf long, _head long, _template long")
-    whole = made.where("_parts = 0").select("_leaf", F.col("_head").alias("_template"), "_hashes")
-    joined = made.where("_parts > 0").join(merged, ["_leaf", "_head"]).select("_leaf", "_template", "_hashes")
-    return whole.unionAll(joined).select("_leaf", "_template", F.explode("_hashes").alias("_line_hash"))
-
-
-#: Other separators of words to spaces.
-_SPACES = bytes.maketrans(b"\t\x0b\x0c\r\n", b"     ")
-
-
-def _batch(leaf, part, head, text, hashes) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(leaf, pa.int64()), pa.array(part, pa.int64()), pa.array(head, pa.int64()), pa.array(text, pa.string()), pa.array(hashes, pa.list_(pa.int64()))], names=["_leaf", "_part", "_head", "_text", "_hashes"])
-
-
-def drop_recurring(docs: DataFrame, min_docs: int = 10, min_tokens: int = 5, similarity: float = 0.7, leaf_rows: int = 2000, exact_bytes: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _doc(id_col: str, text_col: str) -> Column:
+    """Orders documents by id, null first, then by text hashes."""
+    text = F.col(text_col).cast("string")
+    return F.struct(F.col(id_col).alias("id"), F.xxhash64(text).alias("h"), F.xxhash64(F.lit(1), text).alias("g"))
+
+
+def document_lines(docs: DataFrame, id_col: str, text_col: str, exact_bytes: int) -> DataFrame:
+    """(_doc, _no, _leaf, _masked, _exact) of all lines that can be dropped: the
+    line's leaf (null without a word), its tokens with variable fields, and a hash of
+    the line, null for short ones."""
+
+    def parsed(line: Column, no: Column) -> Column:
+        tokens = F.filter(F.split(line, WORD_GAP), lambda t: t != "")
+        tokens = F.when(line.rlike("[0-9]"), F.transform(tokens, lambda t: F.when(t.rlike("[0-9]"), VARIABLE).otherwise(t))).otherwise(tokens)
+
+        def made(t: Column) -> Column:
+            word = F.exists(t, lambda x: x.rlike(r"\p{L}"))
+            leaf = F.when(word, F.xxhash64(F.size(t), F.array_join(F.slice(t, 1, DEPTH), " ")))
+            exact = F.when((F.size(t) > 0) & (F.octet_length(line) >= exact_bytes), F.xxhash64(line))
+            return F.struct(no.alias("_no"), leaf.alias("_leaf"), F.array_join(t, " ").alias("_masked"), exact.alias("_exact"))
+
+        return F.transform(F.array(tokens), made)[0]
+
+    # a generator's fields are made once, however often they are used
+    df = docs.select(_doc(id_col, text_col).alias("_doc"), F.explode(F.transform(F.split(F.col(text_col).cast("string"), "\n"), parsed)).alias("_l"))
+    return df.select("_doc", "_l.*").where("_leaf is not null or _exact is not null")
+
+
+def templates(lines: DataFrame, similarity: float, min_lines: int = 1) -> DataFrame:
+    """(_leaf, _line, _template) of the distinct lines of ``lines`` (_leaf, _masked),
+    _line being a hash, as far as the template has ``min_lines`` lines or more."""
+    distinct = lines.groupBy("_leaf", "_masked").agg(F.count(F.lit(1)).alias("_n"))
+    distinct = cut(distinct.select("_leaf", F.xxhash64("_masked").alias("_line"), "_masked", "_n"), "distinct-lines")
+    tokens = distinct.select("_leaf", "_line", "_n", F.posexplode(F.split("_masked", " ")).alias("_place", "_token")).where(F.col("_token") != VARIABLE)
+    counts = cut(tokens.groupBy("_leaf", "_place", "_token").agg(F.sum("_n").alias("_count")), "token-counts")
+    ranked = tokens.join(broadcast_if_small(counts), ["_leaf", "_place", "_token"]).groupBy("_leaf", "_line").agg(F.sort_array(F.collect_list(F.struct((-F.col("_count")).alias("c"), F.col("_place").alias("p"), F.col("_token").alias("t")))).alias("_ranked"), F.first("_n").alias("_n"))
+    kept = F.slice("_ranked", F.lit(1), F.ceil(F.lit(similarity) * F.size("_ranked") - 1e-9).cast("int"))
+    known = ranked.select("_leaf", "_line", "_n", F.xxhash64("_leaf", F.sort_array(F.transform(kept, lambda x: F.struct(x["p"], x["t"])))).alias("_template"))
+    known = cut(known, "line-templates")
+    enough = known.groupBy("_template").agg(F.sum("_n").alias("_lines")).where(F.col("_lines") >= min_lines).select("_template")
+    out = cut(known.join(broadcast_if_small(cut(enough, "templates")), "_template").select("_leaf", "_line", "_template"), "known-lines")
+    discard(distinct, counts, known)
+    return out
+
+
+def _free_name(name: str, taken: list[str]) -> str:
+    while name.lower() in {c.lower() for c in taken}:
+        name += "_"
+    return name
+
+
+def drop_recurring(docs: DataFrame, min_docs: int = 10, similarity: float = 0.7, exact_bytes: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with the lines of recurring templates and long repeated lines taken out
     of the text, and n_lines and n_dropped."""
-    lines = document_lines(docs, id_col, text_col, min_tokens, exact_bytes)
-    places = cut(lines.select("_doc", "_line_no", "_leaf", "_exact"), "all-line-places")
-    exact = places.where("_exact is not null").groupBy("_exact").agg(F.min("_doc").alias("_keep"), F.max("_doc").alias("_last")).where(F.col("_keep") != F.col("_last"))
+    lines = cut(document_lines(docs, id_col, text_col, exact_bytes), "all-lines")
+    places = lines.where("_exact is not null").select("_doc", "_no", "_exact")
+    exact = places.groupBy("_exact").agg(F.min("_doc").alias("_keep"), F.max("_doc").alias("_last")).where(F.col("_keep") != F.col("_last"))
     exact = cut(exact.select("_exact", "_keep"), "repeated-lines")
-    copies = places.where("_exact is not null").join(broadcast_if_small(exact, 1 << 18), "_exact").where(F.col("_doc") != F.col("_keep")).select("_doc", F.col("_line_no").alias("_no"))
-    leaves = cut(places.where("_leaf is not null").groupBy("_leaf").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= min_docs).select("_leaf"), "leaves")
-    # only lines of these leaves move
-    lines = cut(lines.drop("_exact").join(broadcast_if_small(leaves), "_leaf").withColumn("_line_hash", F.xxhash64("_line")), "lines")
-    known = cut(templates(lines.select("_leaf", "_line").distinct(), similarity, leaf_rows), "line-templates")
-    placed = lines.select("_doc", "_line_no", "_leaf", "_line_hash").join(known, ["_leaf", "_line_hash"])
-    found = placed.groupBy("_leaf", "_template", "_doc").agg(F.collect_list("_line_no").alias("_nos"))
-    found = cut(found, "line-places")
-    recur = found.groupBy("_leaf", "_template").agg(F.count(F.lit(1)).alias("_docs"), F.min("_doc").alias("_keep")).where(F.col("_docs") >= min_docs)
-    drops = found.join(recur, ["_leaf", "_template"]).where(F.col("_doc") != F.col("_keep")).select("_doc", F.explode("_nos").alias("_no"))
-    drops = cut(drops.unionAll(copies).groupBy("_doc").agg(F.collect_set("_no").alias("__line_drop")), "line-drops")
-    discard(places, exact, leaves, lines, known, found)
-    drops = broadcast_if_small(drops, 1 << 18).select(F.col("_doc.id").alias("__line_i"), F.col("_doc.h").alias("__line_h"), "__line_drop")
-    kept = docs.join(drops, F.col(id_col).eqNullSafe(F.col("__line_i")) & (F.xxhash64(F.col(text_col).cast("string")) == F.col("__line_h")), "left").drop("__line_i", "__line_h")
+    copies = places.join(broadcast_if_small(exact), "_exact").where(F.col("_doc") != F.col("_keep")).select("_doc", "_no")
+    leaves = cut(lines.where("_leaf is not null").groupBy("_leaf").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= min_docs).select("_leaf"), "leaves")
+    some = lines.where("_leaf is not null").join(broadcast_if_small(leaves), "_leaf").select("_doc", "_no", "_leaf", "_masked")
+    known = templates(some, similarity, min_docs)
+    placed = some.select("_doc", "_no", "_leaf", F.xxhash64("_masked").alias("_line")).join(broadcast_if_small(known), ["_leaf", "_line"])
+    found = cut(placed.groupBy("_template", "_doc").agg(F.collect_list("_no").alias("_nos")), "line-places")
+    recur = found.groupBy("_template").agg(F.count(F.lit(1)).alias("_docs"), F.min("_doc").alias("_keep")).where(F.col("_docs") >= min_docs)
+    recur = cut(recur.select("_template", "_keep"), "recurring")
+    gone = found.join(broadcast_if_small(recur), "_template").where(F.col("_doc") != F.col("_keep")).select("_doc", F.explode("_nos").alias("_no"))
+    drops = cut(gone.unionAll(copies).groupBy("_doc").agg(F.collect_set("_no").alias("_nos")), "line-drops")
+    discard(lines, exact, leaves, known, found, recur)
+    names = docs.columns
+    i, h, g, nos = (_free_name(f"_drop_{x}", names) for x in "ihgn")
+    drops = broadcast_if_small(drops).select(F.col("_doc.id").alias(i), F.col("_doc.h").alias(h), F.col("_doc.g").alias(g), F.col("_nos").alias(nos))
+    doc = _doc(id_col, text_col)
+    kept = docs.join(drops, doc["id"].eqNullSafe(F.col(i)) & (doc["h"] == F.col(h)) & (doc["g"] == F.col(g)), "left")
     split = F.split(F.col(text_col).cast("string"), "\n")
-    text = F.when(F.col("__line_drop").isNull(), F.col(text_col)).otherwise(F.array_join(F.transform(F.filter(F.transform(split, lambda x, i: F.struct(x.alias("x"), i.alias("i"))), lambda s: ~F.array_contains(F.col("__line_drop"), s["i"])), lambda s: s["x"]), "\n"))
-    return kept.withColumn("n_lines", F.coalesce(F.when(F.col(text_col).isNotNull(), F.size(split)), F.lit(0)).cast("long")).withColumn("n_dropped", F.coalesce(F.when(F.col("__line_drop").isNotNull(), F.size("__line_drop")), F.lit(0)).cast("long")).withColumn(text_col, text).drop("__line_drop")
+    left = F.filter(F.transform(split, lambda x, k: F.struct(x.alias("x"), k.alias("k"))), lambda s: ~F.array_contains(F.col(nos), s["k"]))
+    text = F.when(F.col(nos).isNull(), F.col(text_col)).otherwise(F.array_join(F.transform(left, lambda s: s["x"]), "\n"))
+    n_lines = F.when(F.col(text_col).isNotNull(), F.size(split)).otherwise(0).cast("long")
+    n_dropped = F.when(F.col(nos).isNotNull(), F.size(nos)).otherwise(0).cast("long")
+    same = [text.alias(c) if c == text_col else F.col(f"`{c}`") for c in names]
+    return kept.select(*same, n_lines.alias(_free_name("n_lines", names)), n_dropped.alias(_free_name("n_dropped", names)))

@@ -3,35 +3,45 @@
 Each source gets a target in words; a source whose share is over ``cap`` times
 its words is held there and the excess goes to the others by weight. A target of
 r times a source's words (0 <= r <= cap) gives every document floor(r) certain
-whole copies. The remaining fraction is an unequal-probability sample of whole
-documents: inclusion odds fall slowly with length (``length_power``), so that a
-few very long documents don't use up a source's share; a document whose
-inclusion probability reaches 1 gets a certain copy too. The others are ranked
-by random odds over inclusion odds, (u / (1-u)) / (p / (1-p)), and taken in that
-order until the next would pass the target; the sample's size in words is thus
-fixed. Of the following ``fit_window`` in the ranking, the one that comes
-nearest to what is missing closes the gap, if that comes nearer.
-
-u is a hash of id, text hash and seed, so reruns agree. The ranking is cut by
-sums over 4,096 bins of the rank for each source; only the few bins around the
-cut are ordered row by row, so no source is gathered in one task.
+whole copies. The remaining words are an unequal-probability sample of whole
+documents: inclusion probabilities fall slowly with length (``length_power``), so
+that a few very long documents don't use up a source's share, and add up to these
+words. Where one would pass 1, the document is certain and the others'
+probabilities are set anew from what is left; as they fall with length, a source's
+certain documents are those below one length, which a sum over its lengths finds.
+
+The others are ranked by random odds over inclusion odds, (u / (1-u)) / (p /
+(1-p)), and taken in that order until the next would pass the target: the sample's
+size in words is fixed. Documents that don't fit what is missing are then skipped,
+and the ranking goes on with the others, ``passes`` times in all: each pass takes,
+in the order of ranks, those documents not yet taken that are no longer than the
+gap, and the gap that it leaves is shorter than a document that it met.
+
+u is a hash of id, text hash and seed, so reruns agree. Where a pass ends is found by
+sums over 65,536 ranges of the rank, then over the ranks of the range at the end, so no
+source is gathered. Rows of equal rank (equal in id and text) are taken by 4,096ths,
+which a hash of their place in the input deals. What a source takes is then a few
+numbers, and copies are a projection: texts are written once and never shuffled.
 
 Defined results: null text has no words; documents without words are never
 taken; null sources are one source and come last; repeated rows count as
-documents of their own; an empty input gives an empty result.
+documents of their own; an empty input gives an empty result; other columns are
+not read by mix() and passed on as they are by mixed_documents().
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm._common import WORD, broadcast_if_small, cut, discard
+from tessera.llm._common import WORD, cut, discard, is_small
 
-BINS = 4096
+#: Ranges that a ranking is cut into, and parts of equal rows.
+BINS = 1 << 16
+PARTS = 1 << 12
 
 
-def targets(sources: DataFrame, weights: tuple[float, ...], share: float, cap: float) -> DataFrame:
+def targets(sources: DataFrame, weights: tuple[float, ...], share: float, cap: float, *carry: str) -> DataFrame:
     """``sources`` (one row a source: source, source_size) with its target.
 
     Sources are held at their cap in the order of cap over weight: the water level
@@ -47,7 +57,7 @@ def targets(sources: DataFrame, weights: tuple[float, ...], share: float, cap: f
     free = F.min(F.when(F.col("_top") * F.col("_wleft") >= F.col("_left") * F.col("_w"), F.col("_nth"))).over(everything)
     df = df.withColumn("_free", free).withColumn("_held", F.coalesce(F.col("_nth") < F.col("_free"), F.lit(True)))
     level = F.max(F.when(F.col("_nth") == F.col("_free"), F.col("_left") / F.col("_wleft"))).over(everything)
-    return df.select("source", "source_size", F.when(F.col("_held"), F.col("_top")).otherwise(level * F.col("_w")).alias("target"))
+    return df.select(*carry, "source", "source_size", F.when(F.col("_held"), F.col("_top")).otherwise(level * F.col("_w")).alias("target"))
 
 
 def _row_hash(seed: int, row_id, text):
@@ -55,66 +65,100 @@ def _row_hash(seed: int, row_id, text):
     return F.md5(F.concat_ws("|", F.lit(str(seed)), F.coalesce(row_id.cast("string"), F.lit("")), F.md5(text)))
 
 
-def mix(docs: DataFrame, weights: tuple[float, ...] = (3.0, 1.0, 2.0), share: float = 1.5, cap: float = 2.0, seed: int = 1, length_power: float = -0.25, fit_window: int = 64, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+def _rank(length_power: float) -> Column:
+    """The random odds over the inclusion odds of a document that may be sampled, as
+    a / (1 + a), which keeps their order and lies in [0, 1); null for the others."""
+    u = (F.conv(F.substring("h", 1, 13), 16, 10).cast("long").cast("double") + 0.5) / float(2**52)
+    p = F.least(F.lit(1.0), F.col("level") * F.pow(F.col("size").cast("double"), F.lit(length_power)))
+    return F.when((F.col("gap") > 0) & (F.col("size") >= F.col("free_size")) & (p > 0), u * (1 - p) / (u * (1 - p) + p * (1 - u)))
+
+
+#: What orders the ranking: equal ranks by a hash of all columns, and rows equal in
+#: that by parts that a hash of their place in the input deals them to.
+_KEY = ["rank", "w", "part"]
+
+
+def _odds(base: DataFrame, known: DataFrame, length_power: float, hint) -> DataFrame:
+    """``known`` with sure (copies of every document), gap (words to be sampled after
+    certain documents), free_size (documents below it are certain) and level (an
+    inclusion probability is level times size to the length_power)."""
+    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
+    known = known.withColumn("sure", F.floor(rate + 1e-12)).withColumn("need", F.when(rate - F.col("sure") > 1e-12, F.col("target") - F.col("sure") * F.col("source_size")).otherwise(0.0))
+    sizes = base.where("size > 0").groupBy("k", "size").agg(F.count(F.lit(1)).alias("n"))
+    by_size = Window.partitionBy("k").orderBy("size")
+    words = F.col("n") * F.col("size")
+    weighed = F.col("n") * F.pow(F.col("size").cast("double"), F.lit(1.0 + length_power))
+    sizes = sizes.withColumn("below", F.sum(words).over(by_size) - words).withColumn("rest", F.sum(weighed).over(by_size.rowsBetween(0, Window.unboundedFollowing)))
+    sizes = sizes.join(hint(known.select("k", "need")), "k").withColumn("level", (F.col("need") - F.col("below")) / F.col("rest"))
+    first = sizes.where(F.col("level") * F.pow(F.col("size").cast("double"), F.lit(length_power)) <= 1 + 1e-12).groupBy("k").agg(F.min(F.struct("size", "below", "level")).alias("f"))
+    known = known.join(hint(first), "k", "left")
+    return known.select("k", "source_size", "target", "sure", F.coalesce(F.col("need") - F.col("f.below"), F.lit(0.0)).alias("gap"), F.coalesce("f.size", F.lit(0)).alias("free_size"), F.coalesce("f.level", F.lit(0.0)).alias("level"))
+
+
+def _end(rows: DataFrame, state: DataFrame, hint) -> DataFrame:
+    """(k, rest, end): of each source's ranked rows, the first key whose rows
+    don't fit the gap in the order of the ranking, and what is left of the gap
+    before it; no row for a source whose rows all fit. Every table that ``hint`` is
+    given has one row a source at most."""
+    left = state.select("k", "gap")
+    keys = [F.floor(F.col("rank") * BINS), F.struct(*_KEY)]
+    for level, key in enumerate(keys):
+        some = rows.withColumn("key", key).join(hint(left), "k")
+        if level:
+            some = some.where(keys[level - 1] == F.col("at"))
+        groups = some.groupBy("k", "key").agg(F.sum("size").alias("n"), F.max("gap").alias("gap"))
+        groups = groups.withColumn("before", F.sum("n").over(Window.partitionBy("k").orderBy("key")) - F.col("n"))
+        over = groups.where("before + n > gap").groupBy("k").agg(F.min(F.struct("key", "before", "gap")).alias("e"))
+        left = over.select("k", F.col("e.key").alias("at"), (F.col("e.gap") - F.col("e.before")).alias("gap"))
+    return left.select("k", F.col("gap").alias("rest"), F.col("at").alias("end"))
+
+
+def _mixed(docs: DataFrame, weights, share, cap, seed, length_power, passes, id_col, text_col, source_col, carry: bool) -> DataFrame:
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    k = F.coalesce(F.concat(F.lit("="), F.col(source_col).cast("string")), F.lit(""))
+    w = F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]) if carry else F.lit(0).cast("long")
+    more = [F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)]).alias("doc")] if carry else []
+    base = docs.select(F.col(id_col).alias("id"), k.alias("k"), F.col(source_col).cast("string").alias("source"), F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"), _row_hash(seed, F.col(id_col), text).alias("h"), w.alias("w"), F.monotonically_increasing_id().alias("row"), *more)
+    base = cut(base, "mix").withColumn("part", F.pmod(F.xxhash64("row"), F.lit(PARTS)))
+    known = base.groupBy("k", "source").agg(F.sum("size").alias("source_size"))
+    known = cut(targets(known, weights, share, cap, "k"), "mix-targets")
+    hint = F.broadcast if is_small(known) else lambda df: df
+    known = cut(_odds(base, known, length_power, hint), "mix-sources")
+    ranked = base.join(hint(known.select("k", "gap", "free_size", "level")), "k").select("k", "size", _rank(length_power).alias("rank"), "w", "part")
+    ranked = cut(ranked.where("rank is not null"), "mix-ranked")
+    state = known.select("k", "gap", F.array().cast("array<struct<most: double, end: struct<rank: double, w: bigint, part: bigint>>>").alias("taken"))
+    for n in range(passes):
+        open_rows = ranked.join(hint(state.withColumnRenamed("gap", "most")), "k").where(~_is_taken() & (F.col("size") <= F.col("most"))).select("k", "size", *_KEY)
+        # a source without an end takes all its rows, and nothing is left to fit
+        this = F.struct(F.col("gap").alias("most"), F.col("end").alias("end"))
+        ended = state.join(hint(_end(open_rows, state, hint)), "k", "left")
+        last, state = state, cut(ended.select("k", F.when(F.col("end").isNotNull(), F.col("rest")).otherwise(0.0).alias("gap"), F.when(F.col("gap") > 0, F.concat("taken", F.array(this))).otherwise(F.col("taken")).alias("taken")), f"mix-pass{n}")
+        discard(last)
+    known = cut(known.join(hint(state.select("k", "taken")), "k"), "mix-taken")
+    discard(ranked, state)
+    out = base.join(hint(known), "k").withColumn("rank", _rank(length_power))
+    sampled = F.col("rank").isNotNull() & _is_taken()
+    certain = F.col("size") < F.col("free_size")
+    copies = F.when(F.col("size") == 0, F.lit(0)).otherwise(F.col("sure") + (certain | sampled).cast("long")).cast("long")
+    return out.withColumn("copies", copies)
+
+
+def _is_taken() -> Column:
+    """Whether some pass took the row: it is no longer than the pass's gap, and ranks
+    before the pass's end, if it has one."""
+    key = F.struct(*_KEY)
+    return F.exists("taken", lambda x: (F.col("size") <= x["most"]) & (x["end"].isNull() | (key < x["end"])))
+
+
+def mix(docs: DataFrame, weights: tuple[float, ...] = (3.0, 1.0, 2.0), share: float = 1.5, cap: float = 2.0, seed: int = 1, length_power: float = -0.25, passes: int = 3, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """(id_col, size, source_size, target, copies, taken, row_hash) of every row;
     taken is copies times size, row_hash is equal for rows equal in id and text."""
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    df = docs.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"), _row_hash(seed, F.col(id_col), text).alias("h"))
-    base = df = cut(df, "mix")
-    weighed = F.when(F.col("size") > 0, F.pow(F.col("size").cast("double"), F.lit(1.0 + length_power))).otherwise(0.0)
-    # one row a source; null-safe joins on the source follow
-    sources = df.groupBy("source").agg(F.sum("size").alias("source_size"), F.sum(weighed).alias("_weighed"))
-    known = targets(sources.select("source", "source_size"), weights, share, cap)
-    known = known.join(sources.select(F.col("source").alias("_s"), "_weighed"), F.col("source").eqNullSafe(F.col("_s"))).drop("_s").withColumnRenamed("source", "_source")
-    known = cut(known, "mix-sources")
-    df = df.join(broadcast_if_small(known), F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
-    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    df = df.withColumn("_sure", F.floor(rate + 1e-12)).withColumn("_part", F.greatest(rate - F.col("_sure"), F.lit(0.0)))
-    p = F.col("_part") * F.pow(F.col("size").cast("double"), F.lit(length_power)) * F.col("source_size") / F.col("_weighed")
-    df = df.withColumn("_p", F.when((F.col("size") > 0) & (F.col("_part") > 1e-12), p).otherwise(0.0))
-    df = df.withColumn("copies", F.when(F.col("size") == 0, 0).otherwise(F.col("_sure") + (F.col("_p") >= 1).cast("long")).cast("long"))
-    u = (F.conv(F.substring("h", 1, 13), 16, 10).cast("long").cast("double") + 0.5) / float(2**52)
-    # a / (1 + a) keeps the order of the odds ratio a and lies in (0, 1)
-    rank = F.when((F.col("_p") > 0) & (F.col("_p") < 1), u * (1 - F.col("_p")) / (u * (1 - F.col("_p")) + F.col("_p") * (1 - u)))
-    df = df.withColumn("_rank", rank).withColumn("_bin", F.floor(F.col("_rank") * BINS).cast("int"))
-    df = df.withColumn("_source", F.coalesce(F.concat(F.lit("="), "source"), F.lit(""))).select("id", "size", "source_size", "target", "copies", "_source", "_rank", "_bin", "h")
-    # words that the ranking has to bring, and the bins where it is cut
-    bins = df.groupBy("_source", "_bin").agg(F.sum(F.when(F.col("_bin").isNotNull(), F.col("size")).otherwise(0)).alias("_words"), F.count(F.lit(1)).alias("_rows"), F.sum(F.col("copies") * F.col("size")).alias("_fixed"), F.max("target").alias("target"))
-    whole, upto = Window.partitionBy("_source"), Window.partitionBy("_source").orderBy(F.col("_bin").asc_nulls_first())
-    bins = bins.withColumn("_need", F.col("target") - F.sum("_fixed").over(whole)).where(F.col("_bin").isNotNull())
-    bins = bins.withColumn("_before", F.sum("_words").over(upto) - F.col("_words"))
-    # the bin of the cut and the following ones with fit_window rows before them at most
-    bins = bins.withColumn("_past", F.when(F.col("_before") + F.col("_words") > F.col("_need"), F.col("_rows")).otherwise(0))
-    bins = bins.withColumn("_seen", F.sum("_past").over(upto) - F.col("_past")).withColumn("_cutrows", F.min_by("_past", F.when(F.col("_past") > 0, F.col("_bin"))).over(whole))
-    bins = bins.select("_source", "_bin", "_need", "_before", F.when(F.col("_before") + F.col("_words") <= F.col("_need"), "all").when(F.col("_seen") < F.col("_cutrows") + fit_window, "edge").otherwise("none").alias("_how"))
-    bins = cut(bins, "mix-bins")
-    df = df.join(broadcast_if_small(bins), ["_source", "_bin"], "left")
-    df = cut(df.withColumn("copies", F.col("copies") + (F.coalesce(F.col("_how"), F.lit("none")) == "all").cast("long")), "mix-ranked")
-    discard(base, known, bins)
-    edge = df.where(F.col("_how") == "edge")
-    ranked = Window.partitionBy("_source").orderBy("_rank", "h", "size", F.col("id").asc_nulls_first())
-    line = ranked.rowsBetween(Window.unboundedPreceding, 0)
-    first = F.min("_before").over(Window.partitionBy("_source"))
-    edge = edge.withColumn("_sum", first + F.sum("size").over(line)).withColumn("_nth", F.row_number().over(ranked))
-    edge = edge.withColumn("_in", F.col("_sum") <= F.col("_need"))
-    all_edge = Window.partitionBy("_source")
-    edge = edge.withColumn("_gap", F.col("_need") - F.coalesce(F.max(F.when(F.col("_in"), F.col("_sum"))).over(all_edge), first))
-    edge = edge.withColumn("_stop", F.coalesce(F.max(F.when(F.col("_in"), F.col("_nth"))).over(all_edge), F.lit(0)) + fit_window)
-    fits = F.when(~F.col("_in") & (F.col("_nth") <= F.col("_stop")) & (F.abs(F.col("size") - F.col("_gap")) < F.col("_gap")), F.struct(F.abs(F.col("size") - F.col("_gap")).alias("_off"), F.col("_nth")))
-    edge = edge.withColumn("_fit", F.min(fits).over(all_edge)["_nth"])
-    edge = edge.withColumn("copies", F.col("copies") + (F.col("_in") | (F.col("_nth") == F.coalesce(F.col("_fit"), F.lit(0)))).cast("long"))
-    keep = ["id", "h", "size", "source_size", "target", "copies"]
-    out = df.where(F.coalesce(F.col("_how"), F.lit("none")) != "edge").select(keep).unionByName(edge.select(keep))
+    out = _mixed(docs, weights, share, cap, seed, length_power, passes, id_col, text_col, source_col, False)
     return out.select(F.col("id").alias(id_col), "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"), F.col("h").alias("row_hash"))
 
 
-def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 1, **options) -> DataFrame:
-    """The rows of ``docs``, each as often as the mix takes it. Rows that are equal
-    in id and text are one key; each of them takes its own entry of the key's list."""
-    taken = mix(docs, id_col=id_col, text_col=text_col, source_col=source_col, seed=seed, **options).where("copies > 0")
-    lists = taken.groupBy(F.col("row_hash").alias("__mix_key")).agg(F.sort_array(F.collect_list("copies"), asc=False).alias("__mix_copies"))
-    keyed = docs.withColumn("__mix_key", _row_hash(seed, F.col(id_col), F.coalesce(F.col(text_col).cast("string"), F.lit("")))).join(lists, "__mix_key")
-    keyed = keyed.withColumn("__mix_nth", F.row_number().over(Window.partitionBy("__mix_key").orderBy(F.col(source_col).asc_nulls_last())))
-    copies = F.coalesce(F.get("__mix_copies", F.col("__mix_nth") - 1), F.lit(0))
-    keyed = keyed.withColumn("__mix_nth", F.explode(F.when(copies > 0, F.sequence(F.lit(1).cast("long"), copies))))
-    return keyed.select(*[F.col(c) for c in docs.columns])
+def mixed_documents(docs: DataFrame, weights: tuple[float, ...] = (3.0, 1.0, 2.0), share: float = 1.5, cap: float = 2.0, seed: int = 1, length_power: float = -0.25, passes: int = 3, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """The rows of ``docs``, each as often as the mix takes it."""
+    out = _mixed(docs, weights, share, cap, seed, length_power, passes, id_col, text_col, source_col, True).where("copies > 0")
+    out = out.select("doc", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
+    return out.select(*[F.col(f"doc.c{i}").alias(c) for i, c in enumerate(docs.columns)])

@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm._common import shared_dir
+from tessera.llm._common import new_path
 
 
 def tokenizer(name: str) -> str:
@@ -72,11 +72,9 @@ def op7_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_orc_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    import uuid
-
     from tessera.llm.token_files import ids_crc32, read_tokens, write_tokens
 
-    path = f"{shared_dir(spark)}/tokens-{uuid.uuid4().hex}"
+    path = new_path(spark, "tokens")
     write_tokens(table(spark, sf_dir, "documents"), path, tokenizer("byte_bpe_50k.json"), end_id=2)
     return ids_crc32(read_tokens(spark, path))
 
@@ -84,7 +82,7 @@ def op8_orc_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm.line_templates import drop_recurring
 
-    out = drop_recurring(table(spark, sf_dir, "documents"), min_docs=10, min_tokens=5, similarity=0.7)
+    out = drop_recurring(table(spark, sf_dir, "documents"), min_docs=10, similarity=0.7)
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
@@ -135,14 +133,25 @@ FROM embeddings d LEFT JOIN (SELECT x, count(*) AS n FROM links GROUP BY x) n ON
 LEFT JOIN (SELECT node, min(other) AS c FROM reach GROUP BY node) m ON m.node = d.vec_id
 """
 
-#: Water-filled targets, digests as random numbers, the ranking by random odds over
-#: inclusion odds, its longest prefix within the target, and the best next fit.
+
+
+def _pass_sql(n: int) -> str:
+    """One pass over the ranking: what is no longer than the gap, as far as it fits."""
+    return f"""
+), a{n} AS MATERIALIZED (
+  SELECT *, CASE WHEN place IS NOT NULL AND NOT took AND size <= gap THEN sum(CASE WHEN place IS NOT NULL AND NOT took AND size <= gap THEN size END) OVER (PARTITION BY source ORDER BY place NULLS LAST, h, size, doc_id NULLS FIRST ROWS UNBOUNDED PRECEDING) END AS upto FROM s{n}
+), s{n + 1} AS (
+  SELECT * EXCLUDE (upto, gap, took), took OR coalesce(upto <= gap, FALSE) AS took, gap - coalesce(max(CASE WHEN upto <= gap THEN upto END) OVER (PARTITION BY source), 0) AS gap FROM a{n}"""
+
+
+#: Water-filled targets, digests as random numbers, probabilities held at 1 from the
+#: shortest texts on, the ranking by random odds over inclusion odds, and its passes.
 ORACLE["op7_pareto_mix"] = r"""
 WITH d AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
          md5('1|' || coalesce(doc_id::VARCHAR, '') || '|' || md5(coalesce(text, ''))) AS h FROM documents
 ), s AS (
-  SELECT source, sum(size)::BIGINT AS source_size, sum(CASE WHEN size > 0 THEN pow(size, 0.75::DOUBLE) ELSE 0 END) AS weighed FROM d GROUP BY source
+  SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source
 ), w AS (
   SELECT *, [3.0::DOUBLE, 1.0, 2.0][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS w, source_size * 2.0::DOUBLE AS top FROM s
 ), f AS (
@@ -152,25 +161,26 @@ WITH d AS (
 ), free AS (
   SELECT nth, l / wl AS level FROM f WHERE top * wl >= l * w ORDER BY nth LIMIT 1
 ), t AS (
-  SELECT source, source_size, weighed, CASE WHEN coalesce(nth < (SELECT nth FROM free), TRUE) THEN top ELSE (SELECT level FROM free) * w END AS target FROM f
+  SELECT source, source_size, CASE WHEN coalesce(nth < (SELECT nth FROM free), TRUE) THEN top ELSE (SELECT level FROM free) * w END AS target FROM f
 ), r AS (
-  SELECT d.*, source_size, target, floor(CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END + 1e-12::DOUBLE) AS sure, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS rate, weighed
-  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
-), p AS (
-  SELECT *, CASE WHEN size > 0 AND rate - sure > 1e-12::DOUBLE THEN (rate - sure) * pow(size, -0.25::DOUBLE) * source_size / weighed ELSE 0 END AS p,
-         (('0x' || substr(h, 1, 13))::BIGINT + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE AS u FROM r
-), c AS (
-  SELECT *, CASE WHEN size = 0 THEN 0 ELSE sure::BIGINT + (p >= 1)::BIGINT END AS sure_copies, CASE WHEN p > 0 AND p < 1 THEN u * (1 - p) / (u * (1 - p) + p * (1 - u)) END AS place FROM p
+  SELECT *, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS rate, floor(CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END + 1e-12::DOUBLE) AS sure FROM t
 ), n AS (
-  SELECT *, target - sum(sure_copies * size) OVER (PARTITION BY source) AS need,
-         CASE WHEN place IS NOT NULL THEN sum(CASE WHEN place IS NOT NULL THEN size END) OVER (q ROWS UNBOUNDED PRECEDING) END AS upto,
-         row_number() OVER q AS nth FROM c WINDOW q AS (PARTITION BY source ORDER BY place NULLS LAST, h, size, doc_id NULLS FIRST)
-), e AS (
-  SELECT *, coalesce(max(CASE WHEN upto <= need THEN upto END) OVER (PARTITION BY source), 0) AS have, coalesce(max(CASE WHEN upto <= need THEN nth END) OVER (PARTITION BY source), 0) AS cut FROM n
+  SELECT *, CASE WHEN rate - sure > 1e-12::DOUBLE THEN target - sure * source_size ELSE 0 END AS need FROM r
+), z AS (
+  SELECT source, size, sum(n * size) OVER (PARTITION BY source ORDER BY size) - n * size AS below, sum(n * pow(size, 0.75::DOUBLE)) OVER (PARTITION BY source ORDER BY size ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS rest
+  FROM (SELECT source, size, count(*) AS n FROM d WHERE size > 0 GROUP BY ALL)
+), y AS (
+  SELECT z.source, min({'size': size, 'below': below, 'level': (need - below) / rest}) AS y FROM z JOIN n ON z.source IS NOT DISTINCT FROM n.source
+  WHERE (need - below) / rest * pow(size, -0.25::DOUBLE) <= 1 + 1e-12::DOUBLE GROUP BY z.source
 ), g AS (
-  SELECT *, min(CASE WHEN upto > need AND nth <= cut + 64 AND abs(size - (need - have)) < need - have THEN {'off': abs(size - (need - have)), 'nth': nth} END) OVER (PARTITION BY source) AS fit FROM e
+  SELECT n.*, coalesce(need - y.below, 0) AS gap, coalesce(y.size, 0) AS free_size, coalesce(y.level, 0) AS level FROM n LEFT JOIN y ON n.source IS NOT DISTINCT FROM y.source
+), p AS (
+  SELECT d.*, source_size, target, sure, gap, free_size, least(1.0::DOUBLE, level * pow(greatest(size, 1), -0.25::DOUBLE)) AS p, (('0x' || substr(h, 1, 13))::BIGINT + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE AS u
+  FROM d JOIN g ON d.source IS NOT DISTINCT FROM g.source
+), s0 AS (
+  SELECT *, FALSE AS took, CASE WHEN gap > 0 AND size > 0 AND size >= free_size AND p > 0 THEN u * (1 - p) / (u * (1 - p) + p * (1 - u)) END AS place FROM p""" + "".join(map(_pass_sql, range(3))) + """
 )
-SELECT doc_id, size, source_size, target, sure_copies + coalesce((upto <= need OR nth = fit.nth)::BIGINT, 0) AS copies, (sure_copies + coalesce((upto <= need OR nth = fit.nth)::BIGINT, 0)) * size AS taken FROM g
+SELECT doc_id, size, source_size, target, CASE WHEN size = 0 THEN 0 ELSE sure::BIGINT + (size < free_size OR took)::BIGINT END AS copies, CASE WHEN size = 0 THEN 0 ELSE sure::BIGINT + (size < free_size OR took)::BIGINT END * size AS taken FROM s3
 """
 
 #: All windows of 100 bytes, those with an earlier equal one, and their union.
@@ -198,6 +208,44 @@ SELECT d.doc_id, octet_length(b) AS n_bytes, coalesce(n_removed, 0) AS n_removed
 FROM d LEFT JOIN t USING (doc_id) LEFT JOIN c USING (doc_id)
 """
 
+#: Counts of tokens by leaf and place, the most frequent 0.7 of each line's, templates
+#: in ten documents, and long lines in two.
+ORACLE["op9_line_templates"] = r"""
+WITH l AS (
+  SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS no FROM documents WHERE text IS NOT NULL
+), w AS (
+  SELECT *, list_transform(regexp_extract_all(line, '[^ 	-
+]+'), lambda x: CASE WHEN regexp_matches(x, '[0-9]') THEN '<*>' ELSE x END) AS w FROM l
+), k AS (
+  SELECT doc_id, no, len(w) || ' ' || array_to_string(w[1:3], ' ') AS leaf, array_to_string(w, ' ') AS m, w FROM w WHERE len(list_filter(w, lambda x: regexp_matches(x, '\pL'))) > 0
+), d AS (
+  SELECT leaf, m, w, count(*) AS n FROM k GROUP BY ALL
+), x AS (
+  SELECT * FROM (SELECT leaf, m, n, unnest(w) AS t, generate_subscripts(w, 1) AS p FROM d) WHERE t <> '<*>'
+), c AS (
+  SELECT leaf, p, t, sum(n) AS c FROM x GROUP BY ALL
+), r AS (
+  SELECT leaf, m, p, t, row_number() OVER (PARTITION BY leaf, m ORDER BY c DESC, p) AS k, count(*) OVER (PARTITION BY leaf, m) AS s FROM x JOIN c USING (leaf, p, t)
+), q AS (
+  SELECT leaf, m, string_agg(p || ':' || t, ' ' ORDER BY p) AS q FROM r WHERE k <= ceil(0.7::DOUBLE * s - 1e-9::DOUBLE) GROUP BY ALL
+), f AS (
+  SELECT leaf, q, doc_id, no FROM k JOIN q USING (leaf, m)
+), g AS (
+  SELECT leaf, q, min(doc_id) AS keep FROM f GROUP BY ALL HAVING count(DISTINCT doc_id) >= 10
+), e AS (
+  SELECT line, min(doc_id) AS keep FROM l WHERE octet_length(encode(line)) >= 100 AND regexp_matches(line, '[^ 	-
+]') GROUP BY line HAVING count(DISTINCT doc_id) > 1
+), gone AS (
+  SELECT doc_id, no FROM f JOIN g USING (leaf, q) WHERE doc_id <> keep UNION SELECT doc_id, no FROM l JOIN e USING (line) WHERE doc_id <> keep
+), kept AS (
+  SELECT doc_id, string_agg(line, chr(10) ORDER BY no) AS t FROM l ANTI JOIN gone USING (doc_id, no) GROUP BY doc_id
+), s AS (
+  SELECT doc_id, count(*) AS n_dropped FROM gone GROUP BY doc_id
+)
+SELECT d.doc_id, coalesce(len(string_split(d.text, chr(10))), 0)::BIGINT AS n_lines, coalesce(n_dropped, 0)::BIGINT AS n_dropped, sha256(coalesce(t, '')) AS kept_sha256
+FROM documents d LEFT JOIN s USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""
+
 
 def _draw(name: str, weight: int) -> str:
     return f"-ln((('0x' || substr(md5(key || '|{name}'), 1, 12))::BIGINT + 0.5::DOUBLE) / 281474976710656.0::DOUBLE) / {weight}.0::DOUBLE"

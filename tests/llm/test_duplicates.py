@@ -1,6 +1,7 @@
 """Line templates, suffix arrays, Jaccard join, embeddings, components: small inputs
 against brute force, and the defined results of odd rows."""
 
+import math
 import random
 import re
 from collections import defaultdict
@@ -31,16 +32,19 @@ def reach(nodes, links):
     return {n: find(n) for n in nodes}
 
 
-@pytest.mark.parametrize("one_task", [1 << 20, 0])
-def test_components(spark, one_task):
+@pytest.mark.parametrize("parts", [1, 7])
+def test_components(spark, parts):
+    """One partition's forest, and star contractions over several."""
     from tessera.llm._common import components
 
     rng = random.Random(3)
     links = [(rng.randrange(300), rng.randrange(300)) for _ in range(180)] + [(k, k + 1) for k in range(1000, 1040)] + [(2000, k) for k in range(2001, 2060)]
     want = reach({x for e in links for x in e if e[0] != e[1]}, [e for e in links if e[0] != e[1]])
-    got = components(spark.createDataFrame(links, "a long, b long"), "a", "b", one_task)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", str(parts == 1).lower())
+    got = components(spark.createDataFrame(links, "a long, b long").repartition(parts), "a", "b")
     assert {r.node: r.component for r in got.collect()} == want
-    assert components(spark.createDataFrame([], "a long, b long"), "a", "b", one_task).count() == 0
+    assert components(spark.createDataFrame([], "a long, b long"), "a", "b").count() == 0
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
 
 
 def shingles(text):
@@ -231,9 +235,6 @@ def test_line_templates(spark, empty):
         kept = [x for x in lines if not ((x.startswith("Posted") or x.startswith("Subscribe")) and k > 0)]
         assert out[k].text.split("\n") == kept
         assert (out[k].n_lines, out[k].n_dropped) == (len(lines), len(lines) - len(kept))
-    # leaves parsed in parts give the same templates
-    again = {r.doc_id: r.text for r in drop_recurring(docs, min_docs=10, leaf_rows=7).collect()}
-    assert again == {k: r.text for k, r in out.items()}
     odd = odd_rows(40, 8)
     back = drop_recurring(spark.createDataFrame(odd, SCHEMA), min_docs=10)
     assert back.count() == len(odd) and [c for c in back.columns if c not in ("n_lines", "n_dropped")] == [c.split()[0] for c in SCHEMA.split(", ")]
@@ -274,16 +275,77 @@ def test_line_drift(spark):
     said = ["He was a big cat", "He was a big dog", "He was a good boy"] + [f"He was a {word()} {word()}" for _ in range(20)]
     rows = ["1 2 3 apples sold", "4 5 6 pears sold"] + [f"{k} {k + 1} {k + 2} {word()} {word()}" for k in range(20)]
     texts = list(enumerate(said + rows))
-    for leaf_rows in (2000, 5):
-        out = drop_recurring(spark.createDataFrame(texts, "doc_id long, text string"), min_docs=10, leaf_rows=leaf_rows).collect()
-        assert sorted((r.doc_id, r.text) for r in out) == texts
+    out = drop_recurring(spark.createDataFrame(texts, "doc_id long, text string"), min_docs=10).collect()
+    assert sorted((r.doc_id, r.text) for r in out) == texts
+
+
+def brute_lines(rows, min_docs, similarity, exact_bytes):
+    """Line numbers that go, for (order, text) rows in the order of precedence."""
+    masked, leaves = {}, defaultdict(lambda: defaultdict(int))
+    for d, text in rows:
+        for no, line in enumerate(text.split("\n")):
+            tokens = ["<*>" if re.search("[0-9]", t) else t for t in WORD.findall(line)]
+            if any(c.isalpha() for t in tokens if t != "<*>" for c in t):
+                masked[d, no] = tokens
+                for p, t in enumerate(tokens):
+                    leaves[len(tokens), *tokens[:3]][p, t] += 1
+    groups, exact = defaultdict(set), defaultdict(set)
+    for (d, no), tokens in masked.items():
+        leaf = (len(tokens), *tokens[:3])
+        words = sorted(((-leaves[leaf][p, t], p, t) for p, t in enumerate(tokens) if t != "<*>"))
+        keep = words[: math.ceil(similarity * len(words) - 1e-9)]
+        groups[leaf, frozenset((p, t) for _, p, t in keep)].add((d, no))
+    for d, text in rows:
+        for no, line in enumerate(text.split("\n")):
+            if WORD.search(line) and len(line.encode()) >= exact_bytes:
+                exact[line].add((d, no))
+    out = set()
+    for least, found in [*((min_docs, g) for g in groups.values()), *((2, g) for g in exact.values())]:
+        if len({d for d, _ in found}) >= least:
+            out |= {(d, no) for d, no in found if d != min(found)[0]}
+    return out
+
 
+def test_line_brute(spark):
+    """Random lines against a brute-force parser, whatever the partitions."""
+    from tessera.llm.line_templates import drop_recurring
 
-def test_parse():
-    from tessera.llm.line_templates import VARIABLE, parse
+    rng = random.Random(12)
+    word = lambda: rng.choice(["one", "two", "Three", "é", "x-y", "7", "a1", "--", "four", "five"])
+    fixed = [[word() for _ in range(rng.randrange(1, 9))] for _ in range(8)]
+    rows = []
+    for k in range(120):
+        lines = []
+        for _ in range(rng.randrange(0, 6)):
+            line = list(rng.choice(fixed)) if rng.random() < 0.7 else [word() for _ in range(rng.randrange(0, 7))]
+            if line and rng.random() < 0.5:
+                line[rng.randrange(len(line))] = rng.choice(["zzz", "42", "w" + str(k), "qq"])
+            lines.append(rng.choice([" ", "  ", "\t"]).join(line) + rng.choice(["", " ", ""]))
+        rows.append((k, "\n".join(lines)))
+    for min_docs, exact in ((3, 20), (8, 10**6)):
+        gone = brute_lines(rows, min_docs, 0.7, exact)
+        want = [(k, "\n".join(x for no, x in enumerate(t.split("\n")) if (k, no) not in gone)) for k, t in rows]
+        assert len(gone) > 20
+        for parts in (1, 5):
+            out = drop_recurring(spark.createDataFrame(rows, "doc_id long, text string").repartition(parts), min_docs=min_docs, exact_bytes=exact).collect()
+            assert sorted((r.doc_id, r.text) for r in out) == want
+
+
+def test_line_columns(spark):
+    """Columns with the operator's own names pass; null and repeated ids; short lines."""
+    from tessera.llm.line_templates import drop_recurring
 
-    lines = [(1, "a b c d".split()), (2, "a b c e".split()), (3, "x y z d".split()), (4, "a b q e".split())]
-    assert parse(lines, 0.7) == [(["a", "b", "c", VARIABLE], [1, 2, 4]), (["x", "y", "z", "d"], [3])] or parse(lines, 0.7)[1] == (["x", "y", "z", "d"], [3])
+    rows = [(None if k % 3 == 0 else k // 2, f"All rights reserved.\nunlike {chr(97 + k) * 9}\n}}\n{k}", k, -k, "i", [k]) for k in range(12)]
+    rows += [rows[4], rows[3], (99, None, 1, 2, None, None), (100, "", 3, 4, None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, n_lines long, n_dropped long, _drop_i string, __line_drop array<long>")
+    out = drop_recurring(df, min_docs=10)
+    assert out.columns == [*df.columns, "n_lines_", "n_dropped_"]
+    out = out.collect()
+    assert sorted(map(str, [(r.n_lines, r.n_dropped, r["_drop_i"], r["__line_drop"]) for r in out])) == sorted(map(str, [tuple(r[2:]) for r in rows]))
+    first = [r for r in out if r.text and "rights" in r.text]
+    assert len({r.text for r in first}) == 1 and first[0].doc_id is None  # the first document, with its repeated rows
+    assert all("}" in r.text and r.text.split("\n")[-1].isdigit() for r in out if r.text)
+    assert {(r.doc_id, r.text, r["n_lines_"]) for r in out if r.doc_id in (99, 100)} == {(99, None, 0), (100, "", 1)}
 
 
 def test_embeddings(spark, empty):
