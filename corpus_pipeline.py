@@ -1,8 +1,7 @@
 """The corpus pipeline: quality classifier, line dedup, n-gram Jaccard join, mixing
 sources to target weights, SentencePiece ids.
 
-Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which has to be
-written before the next stage begins (run() does so). All but the last
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame. All but the last
 return the columns of documents; the last returns (doc_id, n_tokens, ids,
 decoded_sha256), one row for each copy of a document that the mix takes.
 
@@ -19,7 +18,7 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.llm._common import broadcast_if_small, cut, remove, written
+from tessera.llm._common import broadcast_if_small, cut, discard, remove, scratch
 from tessera.llm.jaccard_join import jaccard_components
 from tessera.llm.line_templates import drop_recurring
 from tessera.llm.mixing import mixed_documents
@@ -31,24 +30,21 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def _stage(f):
-    """A stage whose scratch tables go when the next stage begins: by then, its
-    result has been written."""
+    """A stage that writes tables of its own gives its result as a written table, and
+    deletes the others."""
 
     @wraps(f)
     def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        remove(spark, _left)
-        mark = set(written)
-        out = f(spark, docs, sf_dir)
-        _left[:] = [p for p in written if p not in mark]
+        with scratch() as made:
+            out = f(spark, docs, sf_dir)
+            if made:
+                out = cut(out, f.__name__)
+        remove(spark, [p for p in made if p != getattr(out, "_tessera_path", None)])
         return out
 
     return run_stage
 
 
-#: Scratch tables of the last stage.
-_left: list[str] = []
-
-
 @_stage
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier does not reject. It learns from the labels of
@@ -60,7 +56,7 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 @_stage
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without lines of recurring templates; emptied ones go."""
-    kept = drop_recurring(docs.select(COLUMNS), min_docs=10, min_tokens=5, similarity=0.7)
+    kept = drop_recurring(docs.select(COLUMNS), min_docs=10, similarity=0.7)
     kept = kept.where((F.col("n_dropped") == 0) | (F.length("text") > 0))
     return kept.withColumn("n_chars", F.when(F.col("n_dropped") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars"))).select(COLUMNS)
 
@@ -74,7 +70,7 @@ def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     keyed = docs.select(*COLUMNS, F.concat(F.coalesce(number, F.lit("null")), F.lit("|"), F.lpad(F.hex(F.xxhash64("text")), 16, "0")).alias("_key"))
     found = jaccard_components(keyed.select("_key", "text"), width=5, threshold=(3, 4), id_col="_key").where("n_shingles > 0")
     marks = found.groupBy("_key").agg(F.min(F.col("_key") != F.col("component_id")).alias("_gone"), F.count(F.lit(1)).alias("_n")).where("_gone or _n > 1")
-    marks = broadcast_if_small(cut(marks.select("_key", "_gone"), "near-duplicates"), 1 << 18)
+    marks = broadcast_if_small(cut(marks.select("_key", "_gone"), "near-duplicates"))
     nth = F.row_number().over(Window.partitionBy("_key").orderBy("lang", "source", "n_chars"))
     repeated = keyed.join(marks.where("not _gone"), "_key").withColumn("_nth", nth).where("_nth = 1")
     return keyed.join(marks, "_key", "left_anti").select(COLUMNS).unionAll(repeated.select(COLUMNS))
@@ -105,7 +101,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     to the shared folder and read by the next."""
     docs = table(spark, sf_dir, "documents")
     for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
+        last, docs = docs, stage(spark, docs, sf_dir)
         if k + 1 < len(STAGES):
-            docs = cut(docs, f"stage{k + 1}")
+            docs = docs if hasattr(docs, "_tessera_path") else cut(docs, f"stage{k + 1}")
+            discard(last)
     return docs
