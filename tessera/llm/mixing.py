@@ -15,7 +15,11 @@ The others are ranked by random odds over inclusion odds, (u / (1-u)) / (p /
 size in words is fixed. Documents that don't fit what is missing are then skipped,
 and the ranking goes on with the others, ``passes`` times in all: each pass takes,
 in the order of ranks, those documents not yet taken that are no longer than the
-gap, and the gap that it leaves is shorter than a document that it met.
+gap, and the gap that it leaves is shorter than a document that it met. A source
+that then misses its target by more than ``slack`` (all short documents are certain
+and the long ones don't fit beside them) is drawn again with the shortest document
+that was left out in front and the certain ones in the ranking, and keeps what comes
+nearer.
 
 u is a hash of id, text hash and seed, so reruns agree. Where a pass ends is found by
 sums over 65,536 ranges of the rank, then over the ranks of the range at the end, so no
@@ -67,10 +71,15 @@ def _row_hash(seed: int, row_id, text):
 
 def _rank(length_power: float) -> Column:
     """The random odds over the inclusion odds of a document that may be sampled, as
-    a / (1 + a), which keeps their order and lies in [0, 1); null for the others."""
+    a / (1 + a), which keeps their order and lies in [0, 1); null for the others.
+    In a second draw (forced is not null), documents of the forced length come
+    first, and the certain ones next, in random order."""
     u = (F.conv(F.substring("h", 1, 13), 16, 10).cast("long").cast("double") + 0.5) / float(2**52)
-    p = F.least(F.lit(1.0), F.col("level") * F.pow(F.col("size").cast("double"), F.lit(length_power)))
-    return F.when((F.col("gap") > 0) & (F.col("size") >= F.col("free_size")) & (p > 0), u * (1 - p) / (u * (1 - p) + p * (1 - u)))
+    size = F.col("size").cast("double")
+    p = F.least(F.lit(1.0), F.col("level") * F.pow(size, F.lit(length_power)))
+    odds = u * (1 - p) / (u * (1 - p) + p * (1 - u))
+    again = F.when(F.col("size") == F.col("forced"), u / 2 - 1 - size).when(p >= 1, u - 1).otherwise(odds)
+    return F.when((F.col("gap") > 0) & (F.col("size") > 0) & (p > 0), F.when(F.col("forced").isNotNull(), again).when(F.col("size") >= F.col("free_size"), odds))
 
 
 #: What orders the ranking: equal ranks by a hash of all columns, and rows equal in
@@ -92,7 +101,7 @@ def _odds(base: DataFrame, known: DataFrame, length_power: float, hint) -> DataF
     sizes = sizes.join(hint(known.select("k", "need")), "k").withColumn("level", (F.col("need") - F.col("below")) / F.col("rest"))
     first = sizes.where(F.col("level") * F.pow(F.col("size").cast("double"), F.lit(length_power)) <= 1 + 1e-12).groupBy("k").agg(F.min(F.struct("size", "below", "level")).alias("f"))
     known = known.join(hint(first), "k", "left")
-    return known.select("k", "source_size", "target", "sure", F.coalesce(F.col("need") - F.col("f.below"), F.lit(0.0)).alias("gap"), F.coalesce("f.size", F.lit(0)).alias("free_size"), F.coalesce("f.level", F.lit(0.0)).alias("level"))
+    return known.select("k", "source_size", "target", "sure", "need", F.coalesce(F.col("need") - F.col("f.below"), F.lit(0.0)).alias("gap"), F.coalesce("f.size", F.lit(0)).alias("free_size"), F.coalesce("f.level", F.lit(0.0)).alias("level"), F.lit(None).cast("long").alias("forced"))
 
 
 def _end(rows: DataFrame, state: DataFrame, hint) -> DataFrame:
@@ -113,7 +122,7 @@ def _end(rows: DataFrame, state: DataFrame, hint) -> DataFrame:
     return left.select("k", F.col("gap").alias("rest"), F.col("at").alias("end"))
 
 
-def _mixed(docs: DataFrame, weights, share, cap, seed, length_power, passes, id_col, text_col, source_col, carry: bool) -> DataFrame:
+def _mixed(docs: DataFrame, weights, share, cap, seed, length_power, passes, slack, id_col, text_col, source_col, carry: bool) -> DataFrame:
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     k = F.coalesce(F.concat(F.lit("="), F.col(source_col).cast("string")), F.lit(""))
     w = F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]) if carry else F.lit(0).cast("long")
@@ -124,25 +133,51 @@ def _mixed(docs: DataFrame, weights, share, cap, seed, length_power, passes, id_
     known = cut(targets(known, weights, share, cap, "k"), "mix-targets")
     hint = F.broadcast if is_small(known) else lambda df: df
     known = cut(_odds(base, known, length_power, hint), "mix-sources")
-    ranked = base.join(hint(known.select("k", "gap", "free_size", "level")), "k").select("k", "size", _rank(length_power).alias("rank"), "w", "part")
-    ranked = cut(ranked.where("rank is not null"), "mix-ranked")
-    state = known.select("k", "gap", F.array().cast("array<struct<most: double, end: struct<rank: double, w: bigint, part: bigint>>>").alias("taken"))
-    for n in range(passes):
-        open_rows = ranked.join(hint(state.withColumnRenamed("gap", "most")), "k").where(~_is_taken() & (F.col("size") <= F.col("most"))).select("k", "size", *_KEY)
-        # a source without an end takes all its rows, and nothing is left to fit
-        this = F.struct(F.col("gap").alias("most"), F.col("end").alias("end"))
-        ended = state.join(hint(_end(open_rows, state, hint)), "k", "left")
-        last, state = state, cut(ended.select("k", F.when(F.col("end").isNotNull(), F.col("rest")).otherwise(0.0).alias("gap"), F.when(F.col("gap") > 0, F.concat("taken", F.array(this))).otherwise(F.col("taken")).alias("taken")), f"mix-pass{n}")
-        discard(last)
-    known = cut(known.join(hint(state.select("k", "taken")), "k"), "mix-taken")
-    discard(ranked, state)
+    ranked = _ranked(base, known, length_power, hint, "mix-ranked")
+    first = _passes(ranked, known.select("k", "gap"), passes, hint, "mix-pass")
+    # sources that miss their targets by more than slack: the shortest document that was left
+    far = known.join(hint(first.select("k", "taken", F.col("gap").alias("short"))), "k").where(F.col("short") > slack * F.col("target"))
+    left = ranked.join(hint(far.select("k", "need", "taken")), "k").where(~_is_taken() & (F.col("size") <= F.col("need")))
+    forced = left.groupBy("k").agg(F.min("size").alias("forced"))
+    again = cut(known.drop("forced").join(hint(forced), "k").withColumn("gap", F.col("need")), "mix-again")
+    taken = first.select("k", "taken", F.lit(None).cast("long").alias("forced"))
+    if again.head(1):
+        second = _passes(_ranked(base, again, length_power, hint, "mix-ranked2"), again.select("k", "gap"), passes, hint, "mix-again")
+        second = second.join(hint(again.select("k", "forced")), "k").select("k", F.col("gap").alias("gap2"), F.col("taken").alias("taken2"), "forced")
+        nearer = F.coalesce(F.col("gap2") < F.col("gap"), F.lit(False))
+        taken = first.join(hint(second), "k", "left").select("k", F.when(nearer, F.col("taken2")).otherwise(F.col("taken")).alias("taken"), F.when(nearer, F.col("forced")).alias("forced"))
+    known = known.drop("forced").join(hint(taken), "k")
+    known = cut(known, "mix-taken")
+    discard(ranked, first, again)
     out = base.join(hint(known), "k").withColumn("rank", _rank(length_power))
     sampled = F.col("rank").isNotNull() & _is_taken()
-    certain = F.col("size") < F.col("free_size")
+    certain = F.col("forced").isNull() & (F.col("size") < F.col("free_size"))
     copies = F.when(F.col("size") == 0, F.lit(0)).otherwise(F.col("sure") + (certain | sampled).cast("long")).cast("long")
     return out.withColumn("copies", copies)
 
 
+def _ranked(base: DataFrame, known: DataFrame, length_power: float, hint, name: str) -> DataFrame:
+    """(k, size, rank..) of the documents that may be sampled."""
+    df = base.join(hint(known.select("k", "gap", "free_size", "level", "forced")), "k").select("k", "size", _rank(length_power).alias("rank"), "w", "part")
+    return cut(df.where("rank is not null"), name)
+
+
+def _passes(ranked: DataFrame, state: DataFrame, passes: int, hint, name: str) -> DataFrame:
+    """(k, gap, taken) after so many passes: what is missing, and for each pass the
+    gap that it began with and where it ended."""
+    state = state.withColumn("taken", F.array().cast("array<struct<most: double, end: struct<rank: double, w: bigint, part: bigint>>>"))
+    for n in range(passes):
+        open_rows = ranked.join(hint(state.withColumnRenamed("gap", "most")), "k").where(~_is_taken() & (F.col("size") <= F.col("most"))).select("k", "size", *_KEY)
+        had = open_rows.groupBy("k").agg(F.sum("size").alias("had"))
+        # a source without an end takes all its rows
+        ended = state.join(hint(_end(open_rows, state, hint)), "k", "left").join(hint(had), "k", "left")
+        rest = F.when(F.col("end").isNotNull(), F.col("rest")).otherwise(F.col("gap") - F.coalesce("had", F.lit(0)))
+        this = F.struct(F.col("gap").alias("most"), F.col("end").alias("end"))
+        last, state = state, cut(ended.select("k", rest.alias("gap"), F.when(F.col("gap") > 0, F.concat("taken", F.array(this))).otherwise(F.col("taken")).alias("taken")), f"{name}{n}")
+        discard(last)
+    return state
+
+
 def _is_taken() -> Column:
     """Whether some pass took the row: it is no longer than the pass's gap, and ranks
     before the pass's end, if it has one."""
@@ -150,15 +185,15 @@ def _is_taken() -> Column:
     return F.exists("taken", lambda x: (F.col("size") <= x["most"]) & (x["end"].isNull() | (key < x["end"])))
 
 
-def mix(docs: DataFrame, weights: tuple[float, ...] = (3.0, 1.0, 2.0), share: float = 1.5, cap: float = 2.0, seed: int = 1, length_power: float = -0.25, passes: int = 3, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+def mix(docs: DataFrame, weights: tuple[float, ...] = (3.0, 1.0, 2.0), share: float = 1.5, cap: float = 2.0, seed: int = 1, length_power: float = -0.25, passes: int = 2, slack: float = 0.01, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """(id_col, size, source_size, target, copies, taken, row_hash) of every row;
     taken is copies times size, row_hash is equal for rows equal in id and text."""
-    out = _mixed(docs, weights, share, cap, seed, length_power, passes, id_col, text_col, source_col, False)
+    out = _mixed(docs, weights, share, cap, seed, length_power, passes, slack, id_col, text_col, source_col, False)
     return out.select(F.col("id").alias(id_col), "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"), F.col("h").alias("row_hash"))
 
 
-def mixed_documents(docs: DataFrame, weights: tuple[float, ...] = (3.0, 1.0, 2.0), share: float = 1.5, cap: float = 2.0, seed: int = 1, length_power: float = -0.25, passes: int = 3, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+def mixed_documents(docs: DataFrame, weights: tuple[float, ...] = (3.0, 1.0, 2.0), share: float = 1.5, cap: float = 2.0, seed: int = 1, length_power: float = -0.25, passes: int = 2, slack: float = 0.01, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """The rows of ``docs``, each as often as the mix takes it."""
-    out = _mixed(docs, weights, share, cap, seed, length_power, passes, id_col, text_col, source_col, True).where("copies > 0")
+    out = _mixed(docs, weights, share, cap, seed, length_power, passes, slack, id_col, text_col, source_col, True).where("copies > 0")
     out = out.select("doc", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
     return out.select(*[F.col(f"doc.c{i}").alias(c) for i, c in enumerate(docs.columns)])

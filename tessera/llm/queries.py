@@ -135,13 +135,13 @@ LEFT JOIN (SELECT node, min(other) AS c FROM reach GROUP BY node) m ON m.node =
 
 
 
-def _pass_sql(n: int) -> str:
+def _pass_sql(n: int, s: str = "s") -> str:
     """One pass over the ranking: what is no longer than the gap, as far as it fits."""
     return f"""
-), a{n} AS MATERIALIZED (
-  SELECT *, CASE WHEN place IS NOT NULL AND NOT took AND size <= gap THEN sum(CASE WHEN place IS NOT NULL AND NOT took AND size <= gap THEN size END) OVER (PARTITION BY source ORDER BY place NULLS LAST, h, size, doc_id NULLS FIRST ROWS UNBOUNDED PRECEDING) END AS upto FROM s{n}
-), s{n + 1} AS (
-  SELECT * EXCLUDE (upto, gap, took), took OR coalesce(upto <= gap, FALSE) AS took, gap - coalesce(max(CASE WHEN upto <= gap THEN upto END) OVER (PARTITION BY source), 0) AS gap FROM a{n}"""
+), {s}a{n} AS MATERIALIZED (
+  SELECT *, CASE WHEN place IS NOT NULL AND NOT took AND size <= gap THEN sum(CASE WHEN place IS NOT NULL AND NOT took AND size <= gap THEN size END) OVER (PARTITION BY source ORDER BY place NULLS LAST, h, size, doc_id NULLS FIRST ROWS UNBOUNDED PRECEDING) END AS upto FROM {s}{n}
+), {s}{n + 1} AS (
+  SELECT * EXCLUDE (upto, gap, took), took OR coalesce(upto <= gap, FALSE) AS took, gap - coalesce(max(CASE WHEN upto <= gap THEN upto END) OVER (PARTITION BY source), 0) AS gap FROM {s}a{n}"""
 
 
 #: Water-filled targets, digests as random numbers, probabilities held at 1 from the
@@ -175,12 +175,19 @@ WITH d AS (
 ), g AS (
   SELECT n.*, coalesce(need - y.below, 0) AS gap, coalesce(y.size, 0) AS free_size, coalesce(y.level, 0) AS level FROM n LEFT JOIN y ON n.source IS NOT DISTINCT FROM y.source
 ), p AS (
-  SELECT d.*, source_size, target, sure, gap, free_size, least(1.0::DOUBLE, level * pow(greatest(size, 1), -0.25::DOUBLE)) AS p, (('0x' || substr(h, 1, 13))::BIGINT + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE AS u
+  SELECT d.*, source_size, target, sure, need, gap, free_size, least(1.0::DOUBLE, level * pow(greatest(size, 1), -0.25::DOUBLE)) AS p, (('0x' || substr(h, 1, 13))::BIGINT + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE AS u
   FROM d JOIN g ON d.source IS NOT DISTINCT FROM g.source
 ), s0 AS (
-  SELECT *, FALSE AS took, CASE WHEN gap > 0 AND size > 0 AND size >= free_size AND p > 0 THEN u * (1 - p) / (u * (1 - p) + p * (1 - u)) END AS place FROM p""" + "".join(map(_pass_sql, range(3))) + """
+  SELECT *, FALSE AS took, CASE WHEN gap > 0 AND size > 0 AND size >= free_size AND p > 0 THEN u * (1 - p) / (u * (1 - p) + p * (1 - u)) END AS place FROM p""" + "".join(map(_pass_sql, range(2))) + """
+), b AS MATERIALIZED (
+  SELECT *, min(CASE WHEN place IS NOT NULL AND NOT took AND size <= need AND gap > 0.01::DOUBLE * target THEN size END) OVER (PARTITION BY source) AS forced FROM s2
+), t0 AS (
+  SELECT * EXCLUDE (gap, took, place), FALSE AS took, took AS took1, gap AS gap1, CASE WHEN forced IS NULL THEN 0 ELSE need END AS gap,
+         CASE WHEN need > 0 AND size > 0 AND p > 0 AND forced IS NOT NULL THEN CASE WHEN size = forced THEN u / 2 - 1 - size WHEN p >= 1 THEN u - 1 ELSE u * (1 - p) / (u * (1 - p) + p * (1 - u)) END END AS place FROM b""" + "".join(_pass_sql(n, "t") for n in range(2)) + """
+), o AS (
+  SELECT *, CASE WHEN size = 0 THEN 0 ELSE sure::BIGINT + (CASE WHEN forced IS NOT NULL AND gap < gap1 THEN took ELSE took1 OR size < free_size END)::BIGINT END AS copies FROM t2
 )
-SELECT doc_id, size, source_size, target, CASE WHEN size = 0 THEN 0 ELSE sure::BIGINT + (size < free_size OR took)::BIGINT END AS copies, CASE WHEN size = 0 THEN 0 ELSE sure::BIGINT + (size < free_size OR took)::BIGINT END * size AS taken FROM s3
+SELECT doc_id, size, source_size, target, copies, copies * size AS taken FROM o
 """
 
 #: All windows of 100 bytes, those with an earlier equal one, and their union.
