@@ -15,16 +15,20 @@ block of text at once:
 3. Suffix arrays. Blocks of these segments are suffix-sorted by the linear
    grouping construction. Windows that agree in ``length`` bytes are neighbours
    in the array; all but the earliest repeat it. Keys with more text than one
-   block are spread over blocks, whose first windows are then compared by hash.
+   block are spread over blocks; the first windows of these are dealt out anew by a
+   hash of the window, and suffix-sorted in their turn. The result does not depend
+   on the size of a block.
 4. The removed runs of each document are merged and cut out of its bytes.
 
-Shuffles carry packed entries of 37 bytes for each run, then texts of documents
-with shared segments, and removed runs.
+Shuffles carry packed entries of 49 bytes for each run (a task folds equal segments
+of ``BUFFER`` bytes of entries first, so a passage that is in very many documents
+sends a few), then texts of documents with shared segments, and removed runs.
+Documents are told apart by their id and 127 bits of hashes of their text.
 
 Defined results: a null text is empty; rows with equal id and text are one
 document and get equal results; of different texts with equal ids, the one with
-the smaller hash is earlier; null ids are earlier than all others; other columns
-are not read.
+the smaller hash is earlier; null ids are earlier than all others, every real id
+among them in its place; other columns are not read.
 """
 
 from __future__ import annotations
@@ -42,7 +46,9 @@ from tessera.llm.suffix_array import suffix_array
 
 #: Most bytes in a block that is suffix-sorted (a longer single segment is one block).
 BLOCK = 1 << 18
-_RUN = np.dtype([("key", "<u8"), ("content", "<u8"), ("id", "<i8"), ("h", "<i4"), ("start", "<i4"), ("windows", "<i4"), ("loop", "?")])
+#: Bytes of entries that a task folds at a time before they are shuffled.
+BUFFER = 1 << 24
+_RUN = np.dtype([("key", "<u8"), ("content", "<u8"), ("id", "<i8"), ("h", "<i8"), ("g", "<i8"), ("start", "<i4"), ("windows", "<i4"), ("loop", "?")])
 _CUT = np.dtype([("start", "<i4"), ("bytes", "<i4")])
 
 
@@ -163,40 +169,58 @@ def _spans(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
 
 
+#: What tells documents apart.
+DOC = ["id", "h", "g"]
+
+
 def _numbered(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, h, text): h tells texts of one id apart; a null id is the least number."""
+    """(id, h, g, text): two hashes tell texts of one id apart; the last bit of g tells
+    whether there is an id."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))).alias("id"), F.shiftright(F.xxhash64(text), 32).cast("int").alias("h"), text.alias("text"))
+    known = F.col(id_col).isNotNull().cast("long")
+    other = F.shiftleft(F.shiftrightunsigned(F.xxhash64(F.lit(1), text), 1), 1)
+    return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(0)).cast("long").alias("id"), F.xxhash64(text).alias("h"), other.bitwiseOR(known).alias("g"), text.alias("text"))
 
 
 def _runs_of(docs: DataFrame, length: int, gram: int, parts: int) -> DataFrame:
     """Kind 0: packed runs for part ``to``. Kind 1: packed (start, bytes) of runs
-    that another one of the same step precedes."""
-    schema = pa.schema([("kind", pa.int32()), ("to", pa.int32()), ("id", pa.int64()), ("h", pa.int32()), ("data", pa.binary())])
+    that another one of the same buffer precedes."""
+    schema = pa.schema([("kind", pa.int32()), ("to", pa.int32()), ("id", pa.int64()), ("h", pa.int64()), ("g", pa.int64()), ("data", pa.binary())])
+
+    def flush(held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        e = np.concatenate(held)
+        keep, late = _leaders(e)
+        docs = list(_by_document(e[late], length))
+        for a in range(0, len(docs), 1 << 14):
+            some = docs[a : a + (1 << 14)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(some)), pa.int32()), pa.array([x[1] % parts for x in some], pa.int32()), *(pa.array([x[c] for x in some], t) for c, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.binary())))], schema=schema)
+        e = e[keep]
+        to = (e["key"] >> np.uint64(8)) % np.uint64(parts)
+        e = e[np.argsort(to, kind="stable")]
+        ends = np.concatenate([[0], np.cumsum(np.bincount(to.astype(np.int64), minlength=parts))])
+        for p in np.flatnonzero(np.diff(ends)):
+            yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([p], pa.int32()), *(pa.nulls(1, pa.int64()) for _ in DOC), pa.array([e[ends[p] : ends[p + 1]].tobytes()], pa.binary())], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
         for batch in batches:
-            for part in steps(batch, 2):
-                ids, hs = np.asarray(part.column(0)), np.asarray(part.column(1))
-                row, start, windows, key, content, loop = runs(*text_buffer(part.column(2)), length, gram)
+            for part in steps(batch, 3):
+                row, start, windows, key, content, loop = runs(*text_buffer(part.column(3)), length, gram)
                 if not len(row):
                     continue
                 e = np.empty(len(row), _RUN)
-                e["key"], e["content"], e["id"], e["h"], e["start"], e["windows"], e["loop"] = key, content, ids[row], hs[row], start, windows, loop
-                keep, late = _leaders(e)
-                docs = list(_by_document(e[late], length))
-                if docs:
-                    n = len(docs)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.ones(n), pa.int32()), pa.array([x[0] % parts for x in docs], pa.int32()), *(pa.array([x[c] for x in docs], t) for c, t in enumerate((pa.int64(), pa.int32(), pa.binary())))], schema=schema)
-                e = e[keep]
-                to = (e["key"] >> np.uint64(8)) % np.uint64(parts)
-                e = e[np.argsort(to, kind="stable")]
-                ends = np.concatenate([[0], np.cumsum(np.bincount(to.astype(np.int64), minlength=parts))])
-                full = np.flatnonzero(np.diff(ends))
-                k = len(full)
-                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(k), pa.int32()), pa.array(full, pa.int32()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int32()), pa.array([e[ends[p] : ends[p + 1]].tobytes() for p in full], pa.binary())], schema=schema)
-
-    return map_arrow(docs, run, "kind int, to int, id long, h int, data binary")
+                e["key"], e["content"], e["start"], e["windows"], e["loop"] = key, content, start, windows, loop
+                for c, name in enumerate(DOC):
+                    e[name] = np.asarray(part.column(c))[row]
+                held.append(e)
+                size += e.nbytes
+                if size >= BUFFER:
+                    yield from flush(held)
+                    held, size = [], 0
+        if held:
+            yield from flush(held)
+
+    return map_arrow(docs, run, "kind int, to int, id long, h long, g long, data binary")
 
 
 def _leaders(e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -210,49 +234,59 @@ def _leaders(e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     twice[:-1] |= same
     some, alone = by[twice], by[~twice]
     x = e[some]
-    some = some[np.lexsort((x["start"], x["h"], x["id"], x["windows"], x["key"], x["content"]))]
+    some = some[np.lexsort((x["start"], *_order(x), x["windows"], x["key"], x["content"]))]
     x = e[some]
     first = np.ones(len(some), bool)
     first[1:] = (x["content"][1:] != x["content"][:-1]) | (x["key"][1:] != x["key"][:-1]) | (x["windows"][1:] != x["windows"][:-1])
     again = np.zeros(len(some), bool)
-    again[1:] = ~first[1:] & (x["id"][1:] == x["id"][:-1]) & (x["h"][1:] == x["h"][:-1]) & (x["start"][1:] == x["start"][:-1])
+    again[1:] = ~first[1:] & ~_new_document(x) & (x["start"][1:] == x["start"][:-1])
     return np.concatenate([alone, some[first]]), some[~first & ~again]
 
 
-def _by_document(e: np.ndarray, length: int) -> Iterator[tuple[int, int, bytes]]:
-    """(id, h, packed cuts) of whole runs; touching ones are joined."""
+def _order(e: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Keys of the order of documents for lexsort: null ids first, ids, hashes."""
+    return e["g"], e["h"], e["id"], e["g"] & 1
+
+
+def _new_document(e: np.ndarray) -> np.ndarray:
+    """Whether each entry but the first is of another document than the one before."""
+    return (e["id"][1:] != e["id"][:-1]) | (e["h"][1:] != e["h"][:-1]) | (e["g"][1:] != e["g"][:-1])
+
+
+def _by_document(e: np.ndarray, length: int) -> Iterator[tuple[int, int, int, bytes]]:
+    """(id, h, g, packed cuts) of whole runs; touching ones are joined."""
     if not len(e):
         return
-    e = e[np.lexsort((e["start"], e["h"], e["id"]))]
+    e = e[np.lexsort((e["start"], *_order(e)))]
     new = np.ones(len(e), bool)
-    new[1:] = (e["id"][1:] != e["id"][:-1]) | (e["h"][1:] != e["h"][:-1]) | (e["start"][1:] > e["start"][:-1] + e["windows"][:-1])
+    new[1:] = _new_document(e) | (e["start"][1:] > e["start"][:-1] + e["windows"][:-1])
     a = np.flatnonzero(new)
     z = np.append(a[1:], len(e)) - 1
     cuts = np.empty(len(a), _CUT)
     cuts["start"], cuts["bytes"] = e["start"][a], e["start"][z] + e["windows"][z] + length - 1 - e["start"][a]
     head = e[a]
     doc = np.ones(len(a), bool)
-    doc[1:] = (head["id"][1:] != head["id"][:-1]) | (head["h"][1:] != head["h"][:-1])
+    doc[1:] = _new_document(head)
     at = np.append(np.flatnonzero(doc), len(a))
     for x, y in zip(at[:-1], at[1:], strict=True):
-        yield int(head["id"][x]), int(head["h"][x]), cuts[x:y].tobytes()
+        yield int(head["id"][x]), int(head["h"][x]), int(head["g"][x]), cuts[x:y].tobytes()
 
 
 def _shared(rows: DataFrame, length: int, gram: int, parts: int) -> DataFrame:
     """From packed runs. Kind 0: segments that have to be compared (key, block and
     whether the key has several blocks). Kind 1: packed cuts of later copies, those
     of the step before included."""
-    names = ["kind", "id", "h", "start", "windows", "key", "block", "split", "data"]
-    types = [pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.bool_(), pa.binary()]
+    names = ["kind", *DOC, "start", "windows", "key", "block", "split", "data"]
+    types = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.bool_(), pa.binary()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packed: list[bytes] = []
         for batch in batches:
             cuts = batch.filter(pc.equal(batch.column(0), 1))
-            packed += batch.filter(pc.equal(batch.column(0), 0)).column(4).to_pylist()
+            packed += batch.filter(pc.equal(batch.column(0), 0)).column(5).to_pylist()
             n = cuts.num_rows
             if n:
-                yield pa.RecordBatch.from_arrays([cuts.column(0), cuts.column(2), cuts.column(3), *(pa.nulls(n, t) for t in types[3:8]), cuts.column(4)], names=names)
+                yield pa.RecordBatch.from_arrays([cuts.column(0), *cuts.columns[2:5], *(pa.nulls(n, t) for t in types[4:9]), cuts.column(5)], names=names)
         e = np.frombuffer(b"".join(packed), _RUN)
         del packed
         if not len(e):
@@ -269,9 +303,9 @@ def _shared(rows: DataFrame, length: int, gram: int, parts: int) -> DataFrame:
         for a in range(0, len(docs), 1 << 14):
             some = docs[a : a + (1 << 14)]
             n = len(some)
-            yield pa.RecordBatch.from_arrays([pa.array(np.ones(n), pa.int32()), pa.array([x[0] for x in some], pa.int64()), pa.array([x[1] for x in some], pa.int32()), *(pa.nulls(n, t) for t in types[3:8]), pa.array([x[2] for x in some], pa.binary())], names=names)
+            yield pa.RecordBatch.from_arrays([pa.array(np.ones(n), pa.int32()), *(pa.array([x[c] for x in some], pa.int64()) for c in range(3)), *(pa.nulls(n, t) for t in types[4:9]), pa.array([x[3] for x in some], pa.binary())], names=names)
         e = e[keep]
-        e = e[np.lexsort((e["start"], e["h"], e["id"], e["key"]))]
+        e = e[np.lexsort((e["start"], *_order(e), e["key"]))]
         if not len(e):
             return
         new = np.ones(len(e), bool)
@@ -288,21 +322,21 @@ def _shared(rows: DataFrame, length: int, gram: int, parts: int) -> DataFrame:
         for a in range(0, len(e), 1 << 16):
             x = e[a : a + (1 << 16)]
             n = len(x)
-            cols = [np.ascontiguousarray(x[c]) for c in ("id", "h", "start", "windows")]
-            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(n), pa.int32()), *map(pa.array, cols), pa.array(np.ascontiguousarray(x["key"]).view(np.int64)), pa.array(block[a : a + n], pa.int32()), pa.array(split[a : a + n]), pa.nulls(n, pa.binary())], names=names)
+            cols = [np.ascontiguousarray(x[c]) for c in (*DOC, "start", "windows")]
+            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(n), pa.int32()), *map(pa.array, cols), pa.array(np.ascontiguousarray(x["key"]).view(np.int64)), pa.array(block[a : a + n], pa.int64()), pa.array(split[a : a + n]), pa.nulls(n, pa.binary())], names=names)
 
-    return map_arrow(rows.repartition(parts, "to"), run, "kind int, id long, h int, start int, windows int, key long, block int, split boolean, data binary")
+    return map_arrow(rows.repartition(parts, "to"), run, "kind int, id long, h long, g long, start int, windows int, key long, block long, split boolean, data binary")
 
 
 def _segments(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
-    """``wanted`` (id, h, start, windows, key, block, split) with their bytes, once
+    """``wanted`` (id, h, g, start, windows, key, block, split) with their bytes, once
     for all rows of equal id and text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in steps(batch, 2):
-                raw, offsets = text_buffer(part.column(2))
-                lists = part.column(3)
+            for part in steps(batch, 3):
+                raw, offsets = text_buffer(part.column(3))
+                lists = part.column(4)
                 n = np.diff(np.asarray(lists.offsets))
                 flat = lists.flatten()
                 start, windows = (np.asarray(flat.field(c)) for c in ("start", "windows"))
@@ -311,41 +345,37 @@ def _segments(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
                 data = memoryview(raw).cast("B") if len(raw) else b""
                 texts = [bytes(data[x:y]) for x, y in zip(a.tolist(), (a + windows + length - 1).tolist(), strict=True)]
                 pick = pa.array(row)
-                yield pa.RecordBatch.from_arrays([flat.field("key"), flat.field("block"), part.column(0).take(pick), part.column(1).take(pick), flat.field("start"), flat.field("split"), pa.array(texts, pa.binary())], names=["key", "block", "id", "h", "start", "split", "bytes"])
+                yield pa.RecordBatch.from_arrays([flat.field("key"), flat.field("block"), *(part.column(c).take(pick) for c in range(3)), flat.field("start"), flat.field("split"), pa.array(texts, pa.binary())], names=["key", "block", *DOC, "start", "split", "bytes"])
 
-    asked = wanted.groupBy("id", "h").agg(F.collect_list(F.struct("start", "windows", "key", "block", "split")).alias("asked"))
-    once = docs.join(asked, ["id", "h"]).groupBy("id", "h").agg(F.first("text").alias("text"), F.first("asked").alias("asked"))
-    return map_arrow(once, run, "key long, block int, id long, h int, start int, split boolean, bytes binary")
+    asked = wanted.groupBy(DOC).agg(F.collect_list(F.struct("start", "windows", "key", "block", "split")).alias("asked"))
+    once = docs.join(asked, DOC).groupBy(DOC).agg(F.first("text").alias("text"), F.first("asked").alias("asked"))
+    return map_arrow(once, run, "key long, block long, id long, h long, g long, start int, split boolean, bytes binary")
 
 
 def _repeats(segments: DataFrame, length: int, parts: int) -> DataFrame:
-    """Kind 0: cuts of windows that are repeated within a block. Kind 1: hashes of
-    the first windows in blocks of split keys."""
-    names = ["kind", "id", "h", "start", "bytes", "key", "hash"]
+    """Kind 0: cuts (start, n) of windows that are repeated within a block. Kind 1: the
+    first windows in blocks of split keys, with their hashes for blocks."""
+    names = ["kind", *DOC, "start", "n", "key", "block", "bytes"]
+    schema = "kind int, id long, h long, g long, start int, n int, key long, block long, bytes binary"
+    types = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary()]
 
     def solve(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
-        rows.sort(key=lambda r: r[2:5])
-        repeated, whole = repeated_windows([r[6] for r in rows], length)
-        out: list[list] = [[], [], [], []]
-        more: list[list] = [[], [], [], [], []]
+        rows.sort(key=lambda r: (r[4] & 1, *r[2:6]))
+        repeated, whole = repeated_windows([r[7] for r in rows], length)
+        out: list[tuple] = []
         at = 0
-        for key, _, i, h, start, split, text in rows:
+        for key, _, i, h, g, start, split, text in rows:
             n = len(text) - length + 1
             mask = repeated[at : at + n]
-            for a, z in zip(*_spans(mask), strict=True):
-                for x, v in zip(out, (i, h, start + a, z - a + length - 1), strict=True):
-                    x.append(v)
+            out += [(0, i, h, g, start + int(a), int(z - a) + length - 1, None, None, None) for a, z in zip(*_spans(mask), strict=True)]
             if split:
-                for w in np.flatnonzero(~mask).tolist():
-                    for x, v in zip(more, (i, h, start + w, key, int(whole[at + w].view(np.int64))), strict=True):
-                        x.append(v)
+                out += [(1, i, h, g, start + w, None, key, int(whole[at + w].view(np.int64)), text[w : w + length]) for w in np.flatnonzero(~mask).tolist()]
             at += n
-        if out[0]:
-            n = len(out[0])
-            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(n), pa.int32()), pa.array(out[0], pa.int64()), *(pa.array(x, pa.int32()) for x in out[1:]), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64())], names=names)
-        if more[0]:
-            n = len(more[0])
-            yield pa.RecordBatch.from_arrays([pa.array(np.ones(n), pa.int32()), pa.array(more[0], pa.int64()), pa.array(more[1], pa.int32()), pa.array(more[2], pa.int32()), pa.nulls(n, pa.int32()), pa.array(more[3], pa.int64()), pa.array(more[4], pa.int64())], names=names)
+            if len(out) >= 1 << 13:
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), types, strict=True)], names=names)
+                out = []
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), types, strict=True)], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows, size, last = [], 0, None
@@ -355,12 +385,12 @@ def _repeats(segments: DataFrame, length: int, parts: int) -> DataFrame:
                     yield from solve(rows)
                     rows, size = [], 0
                 rows.append(row)
-                size, last = size + len(row[6]), row[:2]
+                size, last = size + len(row[7]), row[:2]
         if rows:
             yield from solve(rows)
 
     ordered = segments.repartition(parts, "key", "block").sortWithinPartitions("key", "block")
-    return map_arrow(ordered, run, "kind int, id long, h int, start int, bytes int, key long, hash long")
+    return map_arrow(ordered, run, schema)
 
 
 def remove_repeats(docs: DataFrame, length: int = 100, gram: int = 32, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -371,16 +401,15 @@ def remove_repeats(docs: DataFrame, length: int = 100, gram: int = 32, id_col: s
     numbered = _numbered(docs, id_col, text_col)
     shared = cut(_shared(_runs_of(numbered, length, gram, parts), length, gram, parts), "shared")
     release(spark)
-    wanted = shared.where("kind = 0").select("id", "h", "start", "windows", "key", "block", "split")
+    wanted = shared.where("kind = 0").select(*DOC, "start", "windows", "key", "block", "split")
     found = cut(_repeats(_segments(numbered, wanted, length), length, parts), "repeats")
     release(spark)
-    later = found.where("kind = 1").select("key", "hash", F.struct("id", "h", "start").alias("at"))
-    least = later.groupBy("key", "hash").agg(F.min("at").alias("least"))
-    later = later.join(least, ["key", "hash"]).where("at <> least").select("at.id", "at.h", F.struct(F.col("at.start").alias("start"), F.lit(length).alias("bytes")).alias("cut"))
-    inner = found.where("kind = 0").select("id", "h", F.struct("start", "bytes").alias("cut"))
-    loose = inner.unionAll(later).groupBy("id", "h").agg(F.collect_list("cut").alias("cuts"))
-    packed = shared.where("kind = 1").groupBy("id", "h").agg(F.collect_list("data").alias("packed"))
-    cuts = packed.join(loose, ["id", "h"], "full_outer")
+    # first windows of the blocks of one key, dealt out by the windows themselves
+    again = found.where("kind = 1").select("key", "block", *DOC, "start", F.lit(False).alias("split"), "bytes")
+    loose = found.where("kind = 0").select(*DOC, "start", "n").unionAll(_repeats(again, length, parts).select(*DOC, "start", "n"))
+    loose = loose.groupBy(DOC).agg(F.collect_list(F.struct("start", F.col("n").alias("bytes"))).alias("cuts"))
+    packed = shared.where("kind = 1").groupBy(DOC).agg(F.collect_list("data").alias("packed"))
+    cuts = packed.join(loose, DOC, "full_outer")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -402,6 +431,6 @@ def remove_repeats(docs: DataFrame, length: int = 100, gram: int = 32, id_col: s
                     removed.append([{"start": int(a), "bytes": int(z - a)} for a, z in zip(*_spans(gone), strict=True)])
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.diff(offsets), pa.int64()), pa.array(kept, pa.binary()), pa.array(removed, pa.list_(pa.struct([("start", pa.int64()), ("bytes", pa.int64())])))], names=["id", "n_bytes", "kept", "removed"])
 
-    rows = numbered.join(cuts, ["id", "h"], "left").select("id", "text", "packed", "cuts")
+    rows = numbered.join(cuts, DOC, "left").select(F.when(F.col("g").bitwiseAND(1) == 1, F.col("id")).alias("id"), "text", "packed", "cuts")
     out = map_arrow(rows, run, "id long, n_bytes long, kept binary, removed array<struct<start: bigint, bytes: bigint>>")
-    return out.select(F.when(F.col("id") != -(2**63), F.col("id")).alias(id_col), "n_bytes", "kept", "removed")
+    return out.select(F.col("id").alias(id_col), "n_bytes", "kept", "removed")

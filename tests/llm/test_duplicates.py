@@ -189,9 +189,10 @@ def test_suffix_dedup_rows(spark, monkeypatch, block):
     texts = repeats(2)
     rows = [(None if k % 3 == 0 else k // 2, t) for k, t in enumerate(texts)]
     rows += rows[:20] + rows[5:12] + [(None, "once " * 3 + "only in rows that are repeated as a whole, with a null id")] * 3 + [(500, " ".join(map(str, range(90))))] * 4
+    rows += [(-(2**63), texts[1]), (-(2**63), "least id " * 20), (0, texts[2])]
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
     # the hash that tells the texts of an id apart
-    order = {(r.doc_id, r.t): r.h for r in df.select("doc_id", F.coalesce("text", F.lit("")).alias("t")).select("doc_id", "t", F.shiftright(F.xxhash64("t"), 32).cast("int").alias("h")).collect()}
+    order = {(r.doc_id, r.t): r.h for r in df.select("doc_id", F.coalesce("text", F.lit("")).alias("t")).select("doc_id", "t", F.xxhash64("t").alias("h")).collect()}
     ranked = sorted(order, key=lambda r: (r[0] is not None, r[0] or 0, order[r]))
     want = {ranked[k]: b for k, b in brute_cut([(k, t) for k, (_, t) in enumerate(ranked)], 40)}
     out = suffix_dedup.remove_repeats(df, length=40, gram=12).collect()
