@@ -8,8 +8,11 @@ The weighted passage representation z = sum_k a_k h_k is scored by a logistic
 unit. All weights are learnt from document labels alone.
 
 Training: at most ``max_docs`` labelled documents, those with the least hash of
-their id, of at most ``max_doc_bytes`` bytes each; both bounds are parameters.
-That sample is encoded on the executors and fitted on the driver with Adam.
+their id, of at most ``max_doc_bytes`` bytes each; both bounds are parameters, and
+an id's text is the one with the least hash that is not longer. The sample is
+encoded on the executors (276 bytes for each passage, and a passage has 127 bytes
+at least, so max_docs * max_doc_bytes * 2.2 at the very most) and fitted on the
+driver with Adam.
 Scoring covers every whole text, however long, in one pass without a shuffle.
 Labels, language, source and ids are never inputs of a score.
 
@@ -192,7 +195,9 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str, id_col: str = "doc_i
 
     kind = docs.schema[id_col].dataType.simpleString()
     texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).where(F.octet_length("text") <= max_doc_bytes)
-    rows = map_arrow(texts.join(F.broadcast(known), "id").select("id", "text", "y"), run, f"id {kind}, x binary, y int").orderBy("id").limit(2 * max_docs).collect()
+    # one text an id, folded before the shuffle: max_docs rows at most
+    one = texts.join(F.broadcast(known), "id").groupBy("id").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text", "y")).alias("r"))
+    rows = map_arrow(one.select("id", "r.text", "r.y"), run, f"id {kind}, x binary, y int").orderBy("id").collect()
     bags = [np.frombuffer(r.x, np.float32).reshape(-1, N_FEATURES) for r in rows]
     if not bags:
         return fit_bags(np.zeros(0, np.int64), np.zeros((0, N_FEATURES), np.float32), np.zeros(0))

@@ -193,7 +193,7 @@ def _runs_of(docs: DataFrame, length: int, gram: int, parts: int) -> DataFrame:
         docs = list(_by_document(e[late], length))
         for a in range(0, len(docs), 1 << 14):
             some = docs[a : a + (1 << 14)]
-            yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(some)), pa.int32()), pa.array([x[1] % parts for x in some], pa.int32()), *(pa.array([x[c] for x in some], t) for c, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.binary())))], schema=schema)
+            yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(some)), pa.int32()), pa.array([(x[0] + x[1]) % parts for x in some], pa.int32()), *(pa.array([x[c] for x in some], t) for c, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.binary())))], schema=schema)
         e = e[keep]
         to = (e["key"] >> np.uint64(8)) % np.uint64(parts)
         e = e[np.argsort(to, kind="stable")]

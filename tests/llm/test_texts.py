@@ -262,6 +262,49 @@ def test_classifier(spark, docs, rows, empty):
     assert one.constant == 1.0 and fit(df, df.where("q > 5"), "q").constant == 0.5
 
 
+def test_repeated_ids(spark):
+    """An id with many rows is one document of the sample, whatever their order."""
+    from tessera.llm.quality_classifier import fit
+
+    rows = [(k % 5, f"text {k} " * 20, k % 2) for k in range(200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, q int")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(5)], "doc_id long, q int")
+    a, b = (fit(x, labels, "q", max_docs=5) for x in (df, df.orderBy("text").repartition(4)))
+    once = df.groupBy("doc_id").agg({"text": "min"}).count()
+    assert once == 5 and all(np.array_equal(a.w[n], b.w[n]) for n in a.w)
+
+
+def brute_score(model, text):
+    """The bag's score, passage by passage, by the formulas of the docstring."""
+    from tessera.llm.quality_classifier import N_FEATURES, encode_passages
+
+    raw = np.frombuffer(text.encode(), np.uint8)
+    words = [m.span() for m in re.finditer(rb"[^\x20\x09-\x0D]+", text.encode())]
+    cuts = [words[k][0] for k in range(64, len(words), 64)]
+    parts = [raw[a:b] for a, b in zip([0, *cuts], [*cuts, len(raw)])]
+    h, e = [], []
+    for p in parts:
+        x = encode_passages(p, np.array([0, len(p)]))[1]
+        assert x.shape == (1, N_FEATURES)
+        v = np.tanh((x[0] - model.mean) * model.scale @ model.w["W"] + model.w["Wb"])
+        h.append(v)
+        e.append(sum(np.tanh(v @ model.w["V"]) / (1 + np.exp(-v @ model.w["U"])) * model.w["a"]))
+    a = np.exp(e) / sum(np.exp(e))
+    return 1 / (1 + np.exp(-(sum(w * v for w, v in zip(a, h)) @ model.w["c"] + model.w["b"][0])))
+
+
+def test_bag_scores(spark):
+    """Scores against a scorer that goes passage by passage."""
+    from tessera.llm.quality_classifier import fit, score
+
+    rng = random.Random(8)
+    rows = [(k, " ".join(rng.choice(["good", "bad", "BAD!", "é", "x1", "the"]) for _ in range(rng.randrange(1, 400))), k % 2) for k in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, q int")
+    model = fit(df, df.select("doc_id", "q"), "q")
+    for r in score(df, model).collect():
+        assert r.score == pytest.approx(brute_score(model, rows[r.doc_id][1]), abs=1e-4)
+
+
 def test_gradients():
     from tessera.llm.quality_classifier import N_FEATURES, _forward, _gradients
 
