@@ -383,6 +383,38 @@ def test_embeddings(spark, empty):
     assert near_links(none).count() == 0
 
 
+def test_large_numbers(spark):
+    """Double precision: what float would make infinite or zero."""
+    from tessera.llm.embedding_dedup import near_links
+
+    rows = [(0, [1e300, 1.0], 0), (1, [1e300, 2.0], 0), (2, [1e-60, 0.0], 1), (3, [2e-60, 0.0], 1), (4, [1.0, -1.0], 0), (5, [1e-300, 1e-300], 1)]
+    for kind in ("array<double>", "array<decimal(38,10)>"):
+        if "decimal" in kind:
+            from decimal import Decimal
+
+            rows = [(k, [Decimal(str(float(c)))for c in v], n) for k, v, n in ((0, [1, 2], 0), (1, [2, 4], 0), (4, [-1, 0], 0))]
+        out = {r[0]: r.n_links for r in near_links(spark.createDataFrame(rows, f"vec_id long, embedding {kind}, label int")).collect()}
+        assert out == ({0: 1, 1: 1, 2: 1, 3: 1, 4: 0, 5: 0} if kind == "array<double>" else {0: 1, 1: 1, 4: 0})
+
+
+def test_many_vectors(spark):
+    """One label, pairs at many angles: recall, and unrelated pairs that no code lets pass."""
+    from tessera.llm.embedding_dedup import near_links, plan_tables
+
+    rng = np.random.default_rng(5)
+    n, d = 12000, 64
+    x = rng.normal(size=(n, d))
+    x[6000:9000] = x[:3000] + rng.normal(size=(3000, d)) * rng.uniform(0.02, 0.25, 3000)[:, None]
+    df = spark.createDataFrame([(k, v.tolist(), 0) for k, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    out = near_links(df).toPandas().set_index("vec_id").n_links
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    want = sum(((u[a : a + 1000] @ u.T >= 0.98).sum(1) - 1).sum() for a in range(0, n, 1000))
+    assert 0.98 * want <= out.sum() <= want and want > 3000
+    for m in (10**3, 10**5, 10**7, 10**9):
+        length, tables, _ = plan_tables(m, 0.98)
+        assert tables * m / 2**length < 64  # rows that an unrelated vector meets
+
+
 def test_recall(spark):
     """Against all pairs of the test table: at least 0.9, no link below the threshold."""
     from tessera.llm.queries import op4_itq_near_dedup, table
