@@ -24,6 +24,24 @@ def measure(spark: SparkSession, make: Callable[[], DataFrame], warm_up: int = 3
     return timing_stats(spark.createDataFrame(times, "name string, ms double"), ["name"], "ms")
 
 
-def speed_up(ms: float, other_ms: float) -> float:
-    """How many times faster the first is."""
-    return other_ms / ms if ms > 0 else float("inf")
+def device_info(spark: SparkSession) -> DataFrame:
+    """(name, value): what the session has to compute with."""
+    keys = ("spark.master", "spark.sql.shuffle.partitions", "spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold", "spark.sql.files.maxPartitionBytes")
+    rows = [(k, spark.conf.get(k)) for k in keys] + [("defaultParallelism", str(spark.sparkContext.defaultParallelism)), ("version", spark.version)]
+    return spark.createDataFrame(rows, "name string, value string")
+
+
+def compare(spark: SparkSession, make: Callable[[], DataFrame], other: Callable[[], list[tuple]], name: str, warm_up: int = 1, runs: int = 3, tolerance: float = 1e-9) -> DataFrame:
+    """(name, n, avg_ms, other_ms, speed_up, same): a query timed beside another engine's
+    ``other``, which gives the rows; same tells whether the rows agree."""
+    took = measure(spark, make, warm_up, runs, name).first()
+    times = []
+    for _ in range(warm_up + runs):
+        began = time.perf_counter()
+        rows = other()
+        times.append((time.perf_counter() - began) * 1000)
+    other_ms = sum(times[warm_up:]) / runs
+    mine, rows = sorted(map(tuple, make().collect())), sorted(map(tuple, rows))
+    close = lambda x, y: x == y or (isinstance(x, float) and abs(x - y) <= tolerance * max(abs(x), abs(y)))
+    same = len(mine) == len(rows) and all(all(map(close, a, b)) for a, b in zip(mine, rows, strict=True))
+    return spark.createDataFrame([(name, took.n, took.avg_ms, other_ms, other_ms / took.avg_ms, same)], "name string, n long, avg_ms double, other_ms double, speed_up double, same boolean")

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+from operator import and_
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -32,8 +35,13 @@ def timing_stats(times: DataFrame, keys: list[str], value: str) -> DataFrame:
     """(keys, n, min_ms, max_ms, avg_ms, std_ms, median_ms): the population's standard
     deviation, and the upper median, sorted[n / 2]."""
     t = F.col(value)
-    ordered = F.sort_array(F.collect_list(t))
-    return times.groupBy(*keys).agg(F.count(t).alias("n"), F.min(t).alias("min_ms"), F.max(t).alias("max_ms"), F.avg(t).alias("avg_ms"), F.stddev_pop(t).alias("std_ms"), F.element_at(ordered, (F.floor(F.count(t) / 2) + 1).cast("int")).alias("median_ms"))
+    stats = times.groupBy(*keys).agg(F.count(t).alias("n"), F.min(t).alias("min_ms"), F.max(t).alias("max_ms"), F.avg(t).alias("avg_ms"), F.stddev_pop(t).alias("std_ms"))
+    # the median by counts of equal values, added up in their order: no key is gathered in a row
+    counts = times.where(t.isNotNull()).groupBy(*keys, t.alias("_t")).agg(F.count(F.lit(1)).alias("_c"))
+    places = counts.withColumn("_upto", F.sum("_c").over(Window.partitionBy(*keys).orderBy("_t"))).withColumn("_all", F.sum("_c").over(Window.partitionBy(*keys)))
+    medians = places.where(F.col("_upto") > F.floor(F.col("_all") / 2)).groupBy(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)]).agg(F.min("_t").alias("median_ms"))
+    same = reduce(and_, [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)])
+    return stats.join(medians, same, "left").select(*keys, "n", "min_ms", "max_ms", "avg_ms", "std_ms", "median_ms")
 
 
 def conversion_overhead(ms: Column, conversion_ms: Column) -> dict[str, Column]:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 from enum import Enum
 
@@ -9,15 +11,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-class Format(Enum):
-    CSR = 0
-    COO = 1
-    CSR2 = 2
-    BSR = 3
-    CSR5 = 4
-    UNKNOWN = -1
-
-
 class Op(Enum):
     NORMAL = "normal"
     TRANSPOSE = "transpose"
@@ -56,11 +49,16 @@ class SparseMatrix:
         """(j) of all columns."""
         return self.entries.sparkSession.range(self.num_cols).withColumnRenamed("id", "j")
 
-    def persist(self) -> SparseMatrix:
-        return SparseMatrix(self.entries.persist(), self.num_rows, self.num_cols)
-
-    def unpersist(self) -> SparseMatrix:
-        return SparseMatrix(self.entries.unpersist(), self.num_rows, self.num_cols)
+    @contextmanager
+    def placed(self) -> Iterator[SparseMatrix]:
+        """The matrix with its entries held in memory (on disk where they don't fit),
+        filled by a first pass over them, and released in the end."""
+        self.entries.persist()
+        try:
+            self.entries.count()
+            yield self
+        finally:
+            self.entries.unpersist(blocking=True)
 
 
 @dataclass(frozen=True)

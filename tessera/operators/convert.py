@@ -116,8 +116,9 @@ def bsr_to_coo(blocks: DataFrame, b: int, num_rows: int, num_cols: int) -> DataF
 
 def two_four_check(entries: DataFrame) -> DataFrame:
     """(i, g, n, ok): occupied columns of each aligned group of four; two at most
-    are allowed."""
-    counts = entries.where("v <> 0").groupBy("i", F.floor(F.col("j") / 4).alias("g")).agg(F.countDistinct("j").alias("n"))
+    are allowed. Entries of one cell add up first."""
+    cells = entries.groupBy("i", "j").agg(F.sum("v").alias("v")).where("v <> 0")
+    counts = cells.groupBy("i", F.floor(F.col("j") / 4).alias("g")).agg(F.count(F.lit(1)).alias("n"))
     return counts.select("i", "g", "n", (F.col("n") <= 2).alias("ok"))
 
 

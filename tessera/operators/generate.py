@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from tessera.model import SparseMatrix
 
-#: Draws are integers below this.
-RANGE = 1 << 28
+#: Draws are integers below this: rows and columns beyond it could not be hit.
+RANGE = 1 << 52
 
 
 @dataclass(frozen=True)
@@ -34,10 +34,10 @@ class Config:
 
 
 def draw(n: Column, seed: int) -> Column:
-    """An integer in [0, 2^28) for the number n: the first seven digits of a digest
+    """An integer in [0, 2^52) for the number n: the first 13 digits of a digest
     that any SQL engine can make."""
     digest = F.md5(F.concat(n.cast("long").cast("string"), F.lit(f":{seed}")))
-    return F.conv(F.substring(digest, 1, 7), 16, 10).cast("long")
+    return F.conv(F.substring(digest, 1, 13), 16, 10).cast("long")
 
 
 def _below(n: Column, seed: int, limit: int) -> Column:

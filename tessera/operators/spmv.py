@@ -98,6 +98,20 @@ def spmv_row_ranges(entries: DataFrame, x: DataFrame, rows: DataFrame, num_rows:
     return spmv(entries.withColumn("range", F.floor(F.col("i") / chunk)), x, rows, ("range",), scale)
 
 
+def spmv_sparse(entries: DataFrame, x: DataFrame, rows: DataFrame, num_rows: int, scale: float = 1, short: int = 4) -> DataFrame:
+    """By rows where they have ``short`` entries or fewer on average (partial sums of a
+    finer split would save nothing), else by partitions of the merge path."""
+    if entries.count() // max(num_rows, 1) <= short:
+        return spmv(entries, x, rows, scale=scale)
+    return spmv_merge(entries, x, rows, scale=scale)
+
+
+def hold(x: DataFrame, limit: int = 64 << 20, row_bytes: int = 16) -> DataFrame:
+    """x at every worker if its rows, which are counted, take ``limit`` bytes at most;
+    beyond, the join is left to Catalyst."""
+    return F.broadcast(x) if x.count() * row_bytes <= limit else x
+
+
 def multiply(a: SparseMatrix, x: DenseVector, alpha: float = 1.0, beta: float = 0.0, y0: DenseVector | None = None, op: Op = Op.NORMAL) -> DenseVector:
     """y = alpha * op(A) x + beta * y0. Values are real, so the conjugate is the
     transpose. Without entries, y is beta * y0."""

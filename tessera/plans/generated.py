@@ -12,7 +12,7 @@ NNZ = C.nnz
 
 
 def draw(n: str, seed: int) -> str:
-    return f"CAST('0x' || substr(md5(CAST({n} AS VARCHAR) || ':{seed}'), 1, 7) AS BIGINT)"
+    return f"CAST('0x' || substr(md5(CAST({n} AS VARCHAR) || ':{seed}'), 1, 13) AS BIGINT)"
 
 
 def below(n: str, seed: int, limit: int | str) -> str:
@@ -20,7 +20,7 @@ def below(n: str, seed: int, limit: int | str) -> str:
 
 
 def unit(n: str, seed: int) -> str:
-    return f"({draw(n, seed)} / 268435456.0::DOUBLE)"
+    return f"({draw(n, seed)} / 4503599627370496.0::DOUBLE)"
 
 
 def value(n: str, seed: int) -> str:

@@ -11,7 +11,7 @@ from tessera.plans.fixtures import query
 #: Fixed small blocks: (bi, bj, block of 2 by 2) of a 5 by 5 matrix.
 BLOCKS = [(0, 0, [1.0, 2.0, 0.0, 3.0]), (1, 1, [4.0, 0.0, 0.0, 5.0]), (2, 2, [6.0, 7.0, 8.0, 9.0]), (0, 2, [1.5, 9.0, 0.0, 9.0])]
 #: Entries of rows that keep and break the two-of-four rule.
-TWO_FOUR = [(0, 0, 1.0), (0, 2, 2.0), (0, 5, 3.0), (1, 0, 1.0), (1, 1, 2.0), (1, 3, 3.0), (2, 7, 4.0), (2, 7, 1.0)]
+TWO_FOUR = [(0, 0, 1.0), (0, 2, 2.0), (0, 5, 3.0), (1, 0, 1.0), (1, 1, 2.0), (1, 3, 3.0), (2, 7, 4.0), (2, 7, 1.0), (2, 4, 1.0), (2, 5, 1.0), (2, 5, -1.0), (3, 1, 2.0), (3, 1, -2.0)]
 _VALUES = ", ".join(f"({i}, {j}, {v}::DOUBLE)" for i, j, v in TWO_FOUR)
 
 ORDINAL = ", o AS (SELECT i, j, v, ROW_NUMBER() OVER (ORDER BY i, j, v) - 1 AS p FROM a)"
@@ -117,12 +117,12 @@ def _(spark, d):
     return c.bsr_to_coo(spark.createDataFrame(BLOCKS, "bi long, bj long, block array<double>"), 2, 5, 5)
 
 
-@query("csr2_check", "SELECT i, g, COUNT(DISTINCT j) AS n, COUNT(DISTINCT j) <= 2 AS ok FROM (SELECT i, j // 4 AS g, j FROM a WHERE v <> 0) GROUP BY i, g")
+@query("csr2_check", "SELECT i, g, COUNT(*) AS n, COUNT(*) <= 2 AS ok FROM (SELECT i, j // 4 AS g, j FROM a GROUP BY i, j HAVING SUM(v) <> 0) GROUP BY i, g")
 def _(spark, d):
     return c.two_four_check(f.a(spark, d))
 
 
-@query("csr2_check_small", f"SELECT i::BIGINT AS i, g::BIGINT AS g, COUNT(DISTINCT j) AS n, COUNT(DISTINCT j) <= 2 AS ok FROM (SELECT i, j // 4 AS g, j FROM (VALUES {_VALUES}) t(i, j, v)) GROUP BY i, g", tables=False)
+@query("csr2_check_small", f"SELECT i::BIGINT AS i, g::BIGINT AS g, COUNT(*) AS n, COUNT(*) <= 2 AS ok FROM (SELECT i, j // 4 AS g, j FROM (VALUES {_VALUES}) t(i, j, v) GROUP BY i, j HAVING SUM(v) <> 0) GROUP BY i, g", tables=False)
 def _(spark, d):
     return c.two_four_check(_small(spark))
 
@@ -133,12 +133,17 @@ def _(spark, d):
     return packed.select("i", "g", "meta", F.posexplode("vals").alias("slot", "v")).withColumn("slot", F.col("slot").cast("long"))
 
 
-@query("csr_memory", "SELECT COUNT(*) AS nnz, CAST(SUM(v) AS BIGINT) AS total FROM a")
+@query("csr_memory", "SELECT COUNT(*) AS nnz, CAST(SUM(v) AS BIGINT) AS total, TRUE AS held, TRUE AS released FROM a")
 def _(spark, d):
-    """The matrix held in memory and released: Spark's counterpart of placement."""
+    """The matrix placed in memory, read from there, and released: Spark's counterpart
+    of a device's copy."""
     from tessera.model import SparseMatrix
 
-    m = SparseMatrix(f.a(spark, d), f.domain(f.rows(spark, d), "i"), f.domain(f.cols(spark, d), "j")).persist()
-    out = m.entries.agg(F.count(F.lit(1)).alias("nnz"), F.sum("v").alias("total"))
-    m.unpersist()
-    return out
+    m = SparseMatrix(f.a(spark, d), f.domain(f.rows(spark, d), "i"), f.domain(f.cols(spark, d), "j"))
+    with m.placed() as held:
+        total = held.entries.agg(F.count(F.lit(1)).alias("nnz"), F.sum("v").alias("total"))
+        scanned = "InMemoryTableScan" in total._jdf.queryExecution().executedPlan().toString()
+        row = total.first()
+        kept = held.entries.storageLevel.useMemory
+    gone = not m.entries.storageLevel.useMemory
+    return spark.createDataFrame([(row.nnz, row.total, scanned and kept, gone)], "nnz long, total long, held boolean, released boolean")

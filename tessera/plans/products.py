@@ -59,8 +59,21 @@ def _(spark, d):
 
 @query("spmv_sparse_optimized", Y)
 def _(spark, d):
-    """Short rows need no finer split than their own sums."""
-    return s.spmv(f.a(spark, d), f.x(spark, d), f.rows(spark, d), scale=SCALE)
+    rows = f.rows(spark, d)
+    return s.spmv_sparse(f.a(spark, d), f.x(spark, d), rows, f.domain(rows, "i"), scale=SCALE)
+
+
+@query("spmv_sparse_optimized_long", "SELECT s_suppkey AS i, CAST(COALESCE(SUM(v * x), 0) AS DOUBLE) / 10000.0 AS y FROM supplier LEFT JOIN b ON s_suppkey = b.i LEFT JOIN x USING (j) GROUP BY s_suppkey")
+def _(spark, d):
+    """Long rows: the other side of the choice."""
+    rows = f.suppliers(spark, d)
+    return s.spmv_sparse(f.b(spark, d), f.x(spark, d), rows, f.domain(rows, "i"), scale=SCALE)
+
+
+@query("spmv_x_held", Y)
+def _(spark, d):
+    """x at every worker, behind a check of its size."""
+    return s.spmv(f.a(spark, d), s.hold(f.x(spark, d)), f.rows(spark, d), scale=SCALE)
 
 
 @query("spmv_ellpack", Y)
@@ -86,6 +99,11 @@ def _(spark, d):
     return s.spmv(f.b(spark, d), f.x(spark, d), f.suppliers(spark, d), scale=SCALE, salt=8)
 
 
+@query("select_strategy_32", "SELECT CAST(floor(COUNT(*) / (SELECT MAX(o_orderkey) + 1 FROM orders)) AS BIGINT) AS avg_nnz, CASE WHEN floor(COUNT(*) / (SELECT MAX(o_orderkey) + 1 FROM orders)) < 32 THEN 'scalar' ELSE 'vector' END AS strategy, floor(COUNT(*) / (SELECT MAX(o_orderkey) + 1 FROM orders)) > 8 AND floor(COUNT(*) / (SELECT MAX(o_orderkey) + 1 FROM orders)) < 1000 AS shared_x FROM a")
+def _(spark, d):
+    return profile.select_strategy(f.a(spark, d), f.domain(f.rows(spark, d), "i"), lanes=32)
+
+
 @query("select_strategy", "SELECT CAST(floor(COUNT(*) / (SELECT MAX(o_orderkey) + 1 FROM orders)) AS BIGINT) AS avg_nnz, CASE WHEN floor(COUNT(*) / (SELECT MAX(o_orderkey) + 1 FROM orders)) < 32 THEN 'merge' ELSE 'vector' END AS strategy, floor(COUNT(*) / (SELECT MAX(o_orderkey) + 1 FROM orders)) > 8 AND floor(COUNT(*) / (SELECT MAX(o_orderkey) + 1 FROM orders)) < 1000 AS shared_x FROM a")
 def _(spark, d):
     return profile.select_strategy(f.a(spark, d), f.domain(f.rows(spark, d), "i"), lanes=64)

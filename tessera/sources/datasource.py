@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 
 class MtxSource(DataSource):
-    """Option path; schema i long, j long, v double. Splits are byte ranges; a line
-    belongs to the range in which it begins. For files that every executor can
-    open; others are read by tessera.sources.mtx.read_mtx."""
+    """Option path, a path or URI of any file system that Arrow opens; schema i long,
+    j long, v double. Splits are byte ranges; a line belongs to the range in which it
+    begins. Entries come in Arrow batches of a block of lines."""
 
     @classmethod
     def name(cls) -> str:
@@ -22,21 +24,30 @@ class MtxSource(DataSource):
         return _Reader(self.options)
 
 
+def _open(path: str):
+    from pyarrow import fs
+
+    files, inner = fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
+    return files.open_input_file(inner)
+
+
 class _Reader(DataSourceReader):
     def __init__(self, options):
-        self.path = options["path"].removeprefix("file://")
+        self.path = options["path"]
         self.split = int(options.get("split_bytes", 32 << 20))
+        self.block = int(options.get("block_bytes", 1 << 20))
 
     def partitions(self):
-        import os
-
-        size = os.path.getsize(self.path)
+        with _open(self.path) as f:
+            size = f.size()
         return [InputPartition((a, min(a + self.split, size))) for a in range(0, size, self.split)]
 
-    def read(self, partition):
+    def read(self, partition) -> Iterator:
+        import io
+
         from tessera.sources.mtx import parse_header
 
-        with open(self.path, "rb") as f:
+        with io.BufferedReader(_open(self.path)) as f:
             lines = []
             while True:
                 lines.append(f.readline().decode())
@@ -44,16 +55,29 @@ class _Reader(DataSourceReader):
                     break
                 if not lines[-1]:
                     return
-            header, body = parse_header(lines), f.tell()
+                del lines[1:-1]  # comments
+            header, at = parse_header(lines), f.tell()
             first, last = partition.value
-            f.seek(max(first, body))
-            if first > body:
+            if first > at:
                 f.seek(first - 1)
                 f.readline()
-            while f.tell() < last:
-                t = f.readline().split()
-                if t and not t[0].startswith(b"%"):
-                    yield int(t[0]) - 1, int(t[1]) - 1, 1.0 if header.pattern else float(t[2])
+                at = f.tell()
+            while at < last:
+                f.seek(at)
+                block = f.read(min(self.block, last - at))
+                block += f.readline()  # to the end of the line that begins in the range
+                at += len(block)
+                yield _batch(block, header.pattern)
+
+
+def _batch(block: bytes, pattern: bool):
+    import numpy as np
+    import pyarrow as pa
+
+    rows = [t for t in map(bytes.split, block.split(b"\n")) if t and not t[0].startswith(b"%")]
+    i, j = (np.array([int(t[k]) for t in rows], np.int64) - 1 for k in (0, 1))
+    v = np.ones(len(rows)) if pattern else np.array([float(t[2]) for t in rows], np.float64)
+    return pa.RecordBatch.from_arrays([pa.array(i), pa.array(j), pa.array(v)], names=["i", "j", "v"])
 
 
 def register(spark: SparkSession) -> None:

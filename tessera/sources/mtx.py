@@ -8,7 +8,7 @@ makes the one file that other programs expect.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -65,8 +65,12 @@ def _paths(path: str) -> tuple[str, str]:
     return (path, path) if path.endswith(".mtx") else (f"{path}/header.mtx", f"{path}/entries")
 
 
-def read_header(spark: SparkSession, path: str, most: int = 10_000) -> Header:
-    return parse_header([r.value for r in spark.read.text(_paths(path)[0]).head(most)])
+def read_header(spark: SparkSession, path: str) -> Header:
+    """However many comment lines stand before the size line."""
+    text = spark.read.text(_paths(path)[0]).withColumn("_n", F.monotonically_increasing_id())
+    banner = text.head(1)
+    size = text.where((F.col("_n") > 0) & ~F.col("value").rlike(r"^\s*(%|$)")).head(1)
+    return replace(parse_header([r.value for r in banner + size]), lines=size[0]["_n"] + 1)
 
 
 def header_frame(spark: SparkSession, header: Header) -> DataFrame:

@@ -71,3 +71,48 @@ def test_stream(spark, tmp_path):
         assert {r.i: r.y for r in spark.table("products").collect()} == {0: -4.5, 2: 2 * (3.0 + 1e-9)}
     finally:
         q.stop()
+
+
+def test_long_comment(spark, tmp_path):
+    """Any number of comment lines before the size line, in both readers."""
+    from tessera.sources import datasource
+    from tessera.sources.mtx import read_mtx
+
+    path = tmp_path / "a.mtx"
+    path.write_text("%%MatrixMarket matrix coordinate real general\n" + "% more\n" * 25_000 + "\n3 4 2\n1 2 1.5\n% in between\n3 4 -2\n")
+    m = read_mtx(spark, f"file://{path}")
+    want = [(0, 1, 1.5), (2, 3, -2.0)]
+    assert (m.num_rows, m.num_cols) == (3, 4) and sorted(map(tuple, m.entries.collect())) == want
+    datasource.register(spark)
+    for p in (str(path), f"file://{path}"):
+        for split, block in ((1 << 20, 1 << 20), (7, 1 << 20), (64, 3)):
+            got = spark.read.format("mtx").option("path", p).option("split_bytes", max(split, 4000)).option("block_bytes", block).load().collect()
+            assert sorted(map(tuple, got)) == want
+
+
+def test_cli(spark, tmp_path, capsys):
+    from tessera.__main__ import main
+
+    main(["--type", "banded", "--rows", "50", "--cols", "50", "--bandwidth", "3", "--warmup", "0", "--runs", "1", "--route", "merge", "--save", f"file://{tmp_path}/m"])
+    main(["--load", f"file://{tmp_path}/m", "--warmup", "0", "--runs", "2"])
+    out = capsys.readouterr().out
+    assert "merge" in out and "csr" in out and out.count("true") == 2
+
+
+def test_large_draws(spark):
+    """Rows and columns beyond 2^28 are drawn."""
+    from pyspark.sql import functions as F
+
+    from tessera.operators.generate import _below
+
+    most = spark.range(2000).agg(F.max(_below(F.col("id"), 1, 1 << 40))).first()[0]
+    assert (1 << 39) < most < (1 << 40)
+
+
+def test_placed(spark):
+    from tessera.model import SparseMatrix
+
+    m = SparseMatrix(spark.range(10).selectExpr("id as i", "id as j", "1.0D as v"), 10, 10)
+    with m.placed() as held:
+        assert held.entries.storageLevel.useMemory
+    assert not m.entries.storageLevel.useMemory
