@@ -4,16 +4,21 @@ Native DataFrame operations only. Of every text come its words, the characters
 in them, symbols, repeated lines and words in repeated five-word windows; two
 base rules reject on them. For each language and source, a minimum-covariance-
 determinant estimate of location and scatter of the transformed statistics is
-made by concentration steps: from medians and quartile ranges, distances are
-taken, the ``support`` share of texts with the least distances gives new means
-and covariances, and so on for ``c_steps`` rounds. A text whose squared
-Mahalanobis distance to the last estimate is over ``cutoff`` is rejected.
-
-Quantiles are read off counts of fixed-width bins, so each step is one aggregate
-with partial sums, of a few numbers for each group: no group is gathered, and
-reruns agree. Variances have a floor (``floors``), since most texts have no
-symbols or repeats at all. Groups of under ``min_group`` texts are estimated
-together with the other small groups of their language.
+made: the subset of the ``support`` share of texts whose covariance has the least
+determinant. It is sought from three starts (medians and quartile ranges; all
+texts; the texts within two quartile scales of the medians in every statistic) by
+concentration steps: distances are taken, and the texts with the least ones give
+new means and covariances. A step counts if it lessens the log determinant by
+``tolerance``; a start ends when its step doesn't, and the start with the least
+determinant gives the estimate. A text whose squared Mahalanobis distance to it is
+over ``cutoff`` is rejected.
+
+Every group's moments, however small the group, are pooled with those of ``prior``
+texts of its language: a source of a few texts is judged by its language, one of
+many by itself, and nothing switches in between. Quantiles are read off counts of
+fixed-width bins, so each step is one aggregate with partial sums, of a few numbers
+for each group: no group is gathered, and reruns agree. Variances have a floor
+(``floors``), since most texts have no symbols or repeats at all.
 
 Defined results: null text has no words and fails the base rules; null language
 or source is a value of its own; repeated rows count as texts of their own;
@@ -27,7 +32,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm._common import WORD_GAP, broadcast_if_small, cut, discard
+from tessera.llm._common import WORD_GAP, broadcast_if_small, cut, discard, is_small
 
 #: Transformed statistics and the least standard deviation of each: log words,
 #: log characters a word, log symbols per mille of characters, log repeated lines
@@ -106,62 +111,85 @@ def _distance(names: list[str], floors: list[float]) -> tuple[list[tuple[str, Co
     return made, sum((F.col(f"_y{i}") * F.col(f"_y{i}") for i in range(1, p)), F.col("_y0") * F.col("_y0"))
 
 
+def _logdet(p: int) -> Column:
+    return sum((2 * F.log(F.col(f"_l{i}_{i}")) for i in range(1, p)), 2 * F.log(F.col("_l0_0")))
+
+
+def _scatter(estimate: DataFrame, names: list[str], floors: list[float]) -> DataFrame:
+    """``estimate`` with the columns _l.. of its decomposed scatter."""
+    for name, value in _distance(names, floors)[0]:
+        if name.startswith("_l"):
+            estimate = estimate.withColumn(name, value)
+    return estimate
+
+
 def _with_distance(df: DataFrame, estimate: DataFrame, keys: list[str], names: list[str], floors: list[float]) -> DataFrame:
     made, d2 = _distance(names, floors)
-    scatter = [x for x in made if x[0].startswith("_l")]
-    estimate = broadcast_if_small(estimate)
-    for name, value in scatter:
-        estimate = estimate.withColumn(name, value)
-    # one row a group: where they are few, a hot group's rows need no shuffle
+    # one row a group and start: where they are few, a hot group's rows need no shuffle
     out = df.join(estimate, keys)
-    for name, value in made[len(scatter) :]:
-        out = out.withColumn(name, value)
-    return out.withColumn("_d2", d2).select(*df.columns, "_d2")
+    for name, value in made:
+        if name.startswith("_y"):
+            out = out.withColumn(name, value)
+    return out.withColumn("_d2", d2)
 
 
-def _moments(df: DataFrame, keys: list[str], names: list[str]) -> DataFrame:
-    aggs = [F.avg(n).alias(f"_m{i}") for i, n in enumerate(names)]
-    aggs += [F.avg(F.col(names[i]) * F.col(names[j])).alias(f"_s{i}_{j}") for i in range(len(names)) for j in range(i + 1)]
-    return df.groupBy(*keys).agg(*aggs)
+def _pooled(df: DataFrame, keys: list[str], names: list[str], prior: float) -> DataFrame:
+    """Means _m.. and mean products _s.. by ``keys`` (the language first, the source
+    second), each group's pooled with ``prior`` texts of its language."""
+    p = range(len(names))
+    terms = {f"m{i}": F.col(names[i]) for i in p} | {f"s{i}_{j}": F.col(names[i]) * F.col(names[j]) for i in p for j in range(i + 1)}
+    sums = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), *[F.sum(x).alias(f"_g{k}") for k, x in terms.items()])
+    wide = [k for k in keys if k != "_gs"]
+    langs = sums.groupBy(*wide).agg(F.sum("_n").alias("_ln"), *[F.sum(f"_g{k}").alias(f"_h{k}") for k in terms])
+    both = sums.join(langs, wide)
+    return both.select(*keys, *[((F.col(f"_g{k}") + prior * F.col(f"_h{k}") / F.col("_ln")) / (F.col("_n") + prior)).alias(f"_{k}") for k in terms])
 
 
-def robust_verdicts(df: DataFrame, support: float = 0.75, c_steps: int = 3, cutoff: float = 40.0, min_group: int = 100, floors: dict[str, float] | None = None) -> DataFrame:
+def robust_verdicts(df: DataFrame, support: float = 0.75, cutoff: float = 40.0, prior: float = 200.0, tolerance: float = 0.001, floors: dict[str, float] | None = None) -> DataFrame:
     """``df`` (_lang, _source and the features) with _d2 and _outlier."""
     floors = floors or FEATURES
     names, least = list(floors), list(floors.values())
-    keys = ["_gl", "_gs"]
-    base = df = cut(df, "outlier-statistics")
-    counts = df.groupBy("_lang", "_source").agg(F.count(F.lit(1)).alias("_n")).withColumnsRenamed({"_lang": "_nl", "_source": "_ns"})
-    df = df.join(broadcast_if_small(cut(counts, "outlier-groups")), F.col("_lang").eqNullSafe(F.col("_nl")) & F.col("_source").eqNullSafe(F.col("_ns")))
-    # small groups of a language are estimated together; '=' marks a value, so null is one too
+    p = len(names)
+    keys, each = ["_gl", "_gs"], ["_gl", "_gs", "_st"]
+    # '=' marks a value, so null is one too
     tag = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c)), F.lit(""))
-    df = df.withColumn("_gl", tag("_lang")).withColumn("_gs", F.when(F.col("_n") >= min_group, tag("_source")).otherwise("*")).drop("_nl", "_ns", "_n")
-    df = cut(df, "outlier-features")
-    discard(base)
-    # start: medians and quartile ranges, from bins of a hundredth
-    values = df.select(*keys, F.posexplode(F.array(*[F.floor(F.col(n) * 100).cast("long") for n in names])).alias("_k", "_bin"))
+    df = cut(df.withColumn("_gl", tag("_lang")).withColumn("_gs", tag("_source")), "outlier-features")
+    slim = df.select(*keys, *names)
+    # medians and quartile ranges, from bins of a hundredth
+    values = slim.select(*keys, F.posexplode(F.array(*[F.floor(F.col(n) * 100).cast("long") for n in names])).alias("_k", "_bin"))
     bins = values.groupBy(*keys, "_k", "_bin").agg(F.count(F.lit(1)).alias("_n"))
     upto, whole = Window.partitionBy(*keys, "_k").orderBy("_bin"), Window.partitionBy(*keys, "_k")
     bins = bins.withColumn("_c", F.sum("_n").over(upto)).withColumn("_t", F.sum("_n").over(whole))
     at = lambda q: F.min(F.when(F.col("_c") >= q * F.col("_t"), F.col("_bin"))) / 100.0
-    start = bins.groupBy(*keys, "_k").agg(at(0.5).alias("_q2"), ((at(0.75) - at(0.25)) / 1.35).alias("_sd"))
-    aggs = []
-    for i, name in enumerate(names):
-        med, sd = F.max(F.when(F.col("_k") == i, F.col("_q2"))), F.max(F.when(F.col("_k") == i, F.col("_sd")))
-        aggs += [med.alias(f"_m{i}"), (sd * sd + med * med).alias(f"_s{i}_{i}")]
-    estimate = start.groupBy(*keys).agg(*aggs)
-    for i in range(len(names)):
-        for j in range(i):
-            estimate = estimate.withColumn(f"_s{i}_{j}", F.col(f"_m{i}") * F.col(f"_m{j}"))
-    estimate = cut(estimate, "outlier-start")
-    for step in range(c_steps):
-        near = _with_distance(df, estimate, keys, names, least).withColumn("_bin", F.floor(F.log(F.col("_d2") + 1e-9) * 64).cast("long"))
-        ranks = near.groupBy(*keys, "_bin").agg(F.count(F.lit(1)).alias("_n"))
-        ranks = ranks.withColumn("_c", F.sum("_n").over(Window.partitionBy(*keys).orderBy("_bin"))).withColumn("_t", F.sum("_n").over(Window.partitionBy(*keys)))
-        limit = ranks.groupBy(*keys).agg(F.min(F.when(F.col("_c") >= support * F.col("_t"), F.col("_bin"))).alias("_limit"))
-        limit = broadcast_if_small(cut(limit, "outlier-limits"))
-        estimate = cut(_moments(near.join(limit, keys).where(F.col("_bin") <= F.col("_limit")), keys, names), f"outlier-step{step}")
-    return _with_distance(df, estimate, keys, names, least).withColumn("_outlier", F.col("_d2") > cutoff)
+    ranges = bins.groupBy(*keys, "_k").agg(at(0.5).alias("_q2"), ((at(0.75) - at(0.25)) / 1.35).alias("_sd"))
+    pick = lambda i, c: F.max(F.when(F.col("_k") == i, F.col(c)))
+    ranges = cut(ranges.groupBy(*keys).agg(*[pick(i, "_q2").alias(f"_q{i}") for i in range(p)], *[pick(i, "_sd").alias(f"_d{i}") for i in range(p)]), "outlier-ranges")
+    box = slim.join(broadcast_if_small(ranges), keys)
+    for i, n in enumerate(names):
+        box = box.where(F.abs(F.col(n) - F.col(f"_q{i}")) <= 2 * F.greatest(F.col(f"_d{i}"), F.lit(least[i])))
+    moments = [f"_m{i}" for i in range(p)] + [f"_s{i}_{j}" for i in range(p) for j in range(i + 1)]
+    middle = ranges.select(*keys, F.lit(0).alias("_st"), *[F.col(f"_q{i}").alias(f"_m{i}") for i in range(p)], *[(F.col(f"_q{i}") * F.col(f"_q{j}") + (F.col(f"_d{i}") * F.col(f"_d{i}") if i == j else 0)).alias(f"_s{i}_{j}") for i in range(p) for j in range(i + 1)])
+    starts = [middle, _pooled(slim, keys, names, prior).withColumn("_st", F.lit(1)), _pooled(box, keys, names, prior).withColumn("_st", F.lit(2))]
+    starts = [x.select(*each, *moments, F.lit(None).cast("double").alias("_det"), F.lit(True).alias("_moved")) for x in starts]
+    estimate = cut(starts[0].unionAll(starts[1]).unionAll(starts[2]), "outlier-starts")
+    hint = F.broadcast if is_small(estimate) else lambda x: x
+    while estimate.where("_moved").head(1):
+        # the other starts have come to their ends
+        now = _scatter(hint(estimate.where("_moved")), names, least)
+        near = _with_distance(slim, now, keys, names, least).select(*each, *names, F.floor(F.log(F.col("_d2") + 1e-9) * 64).cast("long").alias("_bin"))
+        ranks = near.groupBy(*each, "_bin").agg(F.count(F.lit(1)).alias("_n"))
+        ranks = ranks.withColumn("_c", F.sum("_n").over(Window.partitionBy(*each).orderBy("_bin"))).withColumn("_t", F.sum("_n").over(Window.partitionBy(*each)))
+        limit = ranks.groupBy(*each).agg(F.min(F.when(F.col("_c") >= support * F.col("_t"), F.col("_bin"))).alias("_limit"))
+        made = _pooled(near.join(hint(limit), each).where(F.col("_bin") <= F.col("_limit")), each, names, prior)
+        made = _scatter(made, names, least).select(*each, *[F.col(c).alias(f"_new{c}") for c in moments], _logdet(p).alias("_newdet"))
+        both = estimate.join(hint(made), each, "left")
+        better = F.col("_moved") & (F.col("_det").isNull() | (F.col("_newdet") < F.col("_det") - tolerance))
+        last, estimate = estimate, cut(both.select(*each, *[F.when(better, F.col(f"_new{c}")).otherwise(F.col(c)).alias(c) for c in moments], F.when(better, F.col("_newdet")).otherwise(F.col("_det")).alias("_det"), better.alias("_moved")), "outlier-step")
+        discard(last)
+    best = estimate.groupBy(*keys).agg(F.min(F.struct("_det", "_st", *moments)).alias("e")).select(*keys, *[F.col(f"e.{c}").alias(c) for c in moments])
+    best = cut(best, "outlier-estimate")
+    out = _with_distance(df, _scatter(hint(best), names, least), keys, names, least)
+    return out.select(*df.columns, "_d2", (F.col("_d2") > cutoff).alias("_outlier"))
 
 
 def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", **options) -> DataFrame:

@@ -283,11 +283,17 @@ SELECT doc_id, size, text_crc32, 'key' AS law, shard, row_number() OVER (PARTITI
 """
 
 
-def _outlier_sql(floors: dict[str, float], support: float = 0.75, c_steps: int = 3, cutoff: float = 40.0, min_group: int = 100) -> str:
-    """The rules in SQL: statistics, then the same concentration steps."""
+def _outlier_sql(floors: dict[str, float], support: float = 0.75, cutoff: float = 40.0, prior: float = 200.0, tolerance: float = 0.001, most: int = 12) -> str:
+    """The rules in SQL: statistics, three starts, and more concentration steps than
+    they take to stand still."""
     names, least = list(floors), list(floors.values())
     p = range(len(names))
-    scatter = ", ".join(f"avg({names[i]}) AS m{i}" for i in p) + ", " + ", ".join(f"avg({names[i]} * {names[j]}) AS s{i}_{j}" for i in p for j in range(i + 1))
+    terms = {f"m{i}": names[i] for i in p} | {f"s{i}_{j}": f"{names[i]} * {names[j]}" for i in p for j in range(i + 1)}
+
+    def pooled(rows: str, keys: str, wide: str) -> str:
+        sums = f"SELECT {keys}, count(*) AS n, {', '.join(f'sum({x}) AS g_{k}' for k, x in terms.items())} FROM ({rows}) GROUP BY ALL"
+        return f"SELECT {keys}, {', '.join(f'(g_{k} + {prior}::DOUBLE * sum(g_{k}) OVER (PARTITION BY {wide}) / sum(n) OVER (PARTITION BY {wide})) / (n + {prior}::DOUBLE) AS {k}' for k in terms)} FROM ({sums})"
+
     chol = []
     for i in p:
         for j in range(i + 1):
@@ -295,20 +301,26 @@ def _outlier_sql(floors: dict[str, float], support: float = 0.75, c_steps: int =
             chol.append((f"sqrt(greatest({cov}, {least[i] ** 2 / 100}::DOUBLE))" if i == j else f"({cov}) / l{j}_{j}") + f" AS l{i}_{j}")
     ys = [f"({names[i]} - m{i}" + "".join(f" - l{i}_{k} * y{k}" for k in range(i)) + f") / l{i}_{i} AS y{i}" for i in p]
     d2 = " + ".join(f"y{i} * y{i}" for i in p)
+    logdet = " + ".join(f"2 * ln(l{i}_{i})" for i in p)
 
     def distance(e: str) -> str:
         return f"SELECT *, {d2} AS d2 FROM (SELECT *, {', '.join(ys)} FROM f JOIN (SELECT *, {', '.join(chol)} FROM {e}) USING (gl, gs))"
 
-    start = ", ".join(f"max(CASE WHEN k = {i} THEN q2 END) AS m{i}" for i in p) + ", " + ", ".join(f"max(CASE WHEN k = {i} THEN sd * sd + q2 * q2 END) AS s{i}_{i}" for i in p)
-    off = "".join(f", m{i} * m{j} AS s{i}_{j}" for i in p for j in range(i))
+    start = ", ".join(f"max(CASE WHEN k = {i} THEN q2 END) AS q{i}, max(CASE WHEN k = {i} THEN sd END) AS d{i}" for i in p)
+    middle = ", ".join(f"q{i} AS m{i}" for i in p) + ", " + ", ".join(f"q{i} * q{j}" + (f" + d{i} * d{i}" if i == j else "") + f" AS s{i}_{j}" for i in p for j in range(i + 1))
+    box = " AND ".join(f"abs({names[i]} - q{i}) <= 2 * greatest(d{i}, {least[i]}::DOUBLE)" for i in p)
+    some = ", ".join(terms)
     steps = "".join(
-        f""", near{t} AS (SELECT *, floor(ln(d2 + 1e-9::DOUBLE) * 64)::BIGINT AS bin FROM ({distance(f"e{t}")})
+        f""", near{t} AS MATERIALIZED (SELECT gl, gs, st, {", ".join(names)}, floor(ln(d2 + 1e-9::DOUBLE) * 64)::BIGINT AS bin FROM ({distance(f"e{t}")})
 ), rank{t} AS (
-  SELECT gl, gs, bin, sum(n) OVER (PARTITION BY gl, gs ORDER BY bin) AS c, sum(n) OVER (PARTITION BY gl, gs) AS t FROM (SELECT gl, gs, bin, count(*) AS n FROM near{t} GROUP BY ALL)
-), e{t + 1} AS (
-  SELECT gl, gs, {scatter} FROM near{t} JOIN (SELECT gl, gs, min(bin) AS most FROM rank{t} WHERE c >= {support}::DOUBLE * t GROUP BY ALL) USING (gl, gs) WHERE bin <= most GROUP BY gl, gs
+  SELECT gl, gs, st, bin, sum(n) OVER (PARTITION BY gl, gs, st ORDER BY bin) AS c, sum(n) OVER (PARTITION BY gl, gs, st) AS t FROM (SELECT gl, gs, st, bin, count(*) AS n FROM near{t} GROUP BY ALL)
+), new{t} AS (
+  SELECT *, {logdet} AS det FROM (SELECT *, {", ".join(chol)} FROM ({pooled(f"SELECT * FROM near{t} JOIN (SELECT gl, gs, st, min(bin) AS most FROM rank{t} WHERE c >= {support}::DOUBLE * t GROUP BY ALL) USING (gl, gs, st) WHERE bin <= most", "gl, gs, st", "gl, st")}))
+), e{t + 1} AS MATERIALIZED (
+  SELECT gl, gs, st, {", ".join(f"CASE WHEN better THEN {k}_1 ELSE {k} END AS {k}" for k in terms)}, CASE WHEN better THEN det_1 ELSE det END AS det
+  FROM (SELECT o.*, {", ".join(f"n.{k} AS {k}_1" for k in terms)}, n.det AS det_1, o.det IS NULL OR n.det < o.det - {tolerance}::DOUBLE AS better FROM e{t} o JOIN new{t} n USING (gl, gs, st))
 )"""
-        for t in range(c_steps)
+        for t in range(most)
     )
     return f"""
 WITH t AS (
@@ -322,8 +334,8 @@ WITH t AS (
 ), b AS (
   SELECT doc_id, lang, source, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars, (length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
          (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, coalesce(n, 0)::BIGINT AS n_repeat_words FROM u LEFT JOIN v USING (id)
-), f AS (
-  SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed, coalesce('=' || lang, '') AS gl, CASE WHEN count(*) OVER (PARTITION BY lang, source) >= {min_group} THEN coalesce('=' || source, '') ELSE '*' END AS gs,
+), f AS MATERIALIZED (
+  SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed, coalesce('=' || lang, '') AS gl, coalesce('=' || source, '') AS gs,
          ln(greatest(n_words, 1)::DOUBLE) AS _f0, ln(greatest(word_chars, 1) / greatest(n_words, 1)::DOUBLE) AS _f1, ln(1 + 1000.0::DOUBLE * n_symbols / greatest(word_chars, 1)) AS _f2,
          ln(1 + 1000.0::DOUBLE * n_dup_lines / greatest(n_words, 1)::DOUBLE) AS _f3, ln(1 + 1000.0::DOUBLE * n_repeat_words / greatest(n_words, 1)::DOUBLE) AS _f4 FROM b
 ), h AS (
@@ -331,10 +343,18 @@ WITH t AS (
   FROM (SELECT gl, gs, unnest([{", ".join(map(str, p))}]) AS k, unnest([{", ".join(f"floor({n} * 100)::BIGINT" for n in names)}]) AS bin, 1 AS n FROM f)
 ), q AS (
   SELECT gl, gs, k, min(CASE WHEN c >= 0.5::DOUBLE * t THEN bin END) / 100.0::DOUBLE AS q2, (min(CASE WHEN c >= 0.75::DOUBLE * t THEN bin END) / 100.0::DOUBLE - min(CASE WHEN c >= 0.25::DOUBLE * t THEN bin END) / 100.0::DOUBLE) / 1.35::DOUBLE AS sd FROM h GROUP BY gl, gs, k
-), e0 AS (
-  SELECT *{off} FROM (SELECT gl, gs, {start} FROM q GROUP BY gl, gs)
-){steps}
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND d2 <= {cutoff}::DOUBLE AS kept FROM ({distance(f"e{c_steps}")})
+), r AS MATERIALIZED (
+  SELECT gl, gs, {start} FROM q GROUP BY gl, gs
+), e0 AS MATERIALIZED (
+  SELECT gl, gs, 0 AS st, {some}, NULL::DOUBLE AS det FROM (SELECT gl, gs, {middle} FROM r)
+  UNION ALL SELECT gl, gs, 1, {some}, NULL FROM ({pooled("SELECT * FROM f", "gl, gs", "gl")})
+  UNION ALL SELECT gl, gs, 2, {some}, NULL FROM ({pooled(f"SELECT * FROM f JOIN r USING (gl, gs) WHERE {box}", "gl, gs", "gl")})
+){steps}, best AS (
+  SELECT gl, gs, min({{'det': det, 'st': st, {", ".join(f"'{k}': {k}" for k in terms)}}}) AS e FROM e{most} GROUP BY gl, gs
+), estimate AS (
+  SELECT gl, gs, {", ".join(f"e.{k} AS {k}" for k in terms)} FROM best
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND d2 <= {cutoff}::DOUBLE AS kept FROM ({distance("estimate")})
 """
 
 

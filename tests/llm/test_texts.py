@@ -196,7 +196,7 @@ def statistics(text):
 def test_outlier_rules(spark, docs, rows, empty):
     from tessera.llm.outlier_rules import quality_rules
 
-    out = quality_rules(docs, min_group=10)
+    out = quality_rules(docs)
     want = bag((r[0], *statistics(r[1])) for r in rows)
     got = out.collect()
     assert bag((r.doc_id, r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) for r in got) == want
@@ -220,25 +220,50 @@ def test_outliers_found(spark):
     assert sum(out[k] for k in range(300)) >= 298 and not any(out[1000 + k] for k in range(20))
 
 
-def test_covariance_steps(spark):
-    """The last distances agree with concentration steps in numpy."""
+def test_covariance_determinant(spark):
+    """On contaminated data, the determinant is as small as the best of many random
+    starts of an exact search, and the contamination is far off. One group of any
+    size: the language's moments alone pool with it."""
     from tessera.llm.outlier_rules import FEATURES, _features, robust_verdicts
 
     rng = np.random.default_rng(1)
     x = rng.lognormal(5, 0.5, (400, 5)).astype(int)
     x[:, 2:] //= 20
-    df = _features(spark.createDataFrame([(int(k), "en", "s", *map(int, r)) for k, r in enumerate(x)], "_id long, _lang string, _source string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long"))
+    x[:60] = rng.lognormal(7, 0.1, (60, 5)).astype(int)  # a tight cluster elsewhere
+    columns = "_id long, _lang string, _source string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long"
+    df = _features(spark.createDataFrame([(int(k), "en", "s", *map(int, r)) for k, r in enumerate(x)], columns))
     got = robust_verdicts(df).orderBy("_id").toPandas()
     f, least = got[list(FEATURES)].to_numpy(), np.diag(np.array(list(FEATURES.values())) ** 2)
-    bins = np.floor(f * 100)
-    q = lambda p: np.sort(bins, axis=0)[int(np.ceil(p * len(f))) - 1] / 100
-    mean, cov = q(0.5), np.diag(((q(0.75) - q(0.25)) / 1.35) ** 2)
-    distance = lambda m, c: np.einsum("ij,jk,ik->i", f - m, np.linalg.inv(c + least), f - m)
-    for _ in range(3):
-        b = np.floor(np.log(distance(mean, cov) + 1e-9) * 64)
-        near = f[b <= np.sort(b)[int(np.ceil(0.75 * len(f))) - 1]]
-        mean, cov = near.mean(0), np.cov(near.T, bias=True)
-    assert np.allclose(distance(mean, cov), got["_d2"], rtol=1e-6)
+    h = int(np.ceil(0.75 * len(f)))
+
+    def concentrate(subset):
+        while True:
+            mean, cov = f[subset].mean(0), np.cov(f[subset].T, bias=True) + least
+            d = np.einsum("ij,jk,ik->i", f - mean, np.linalg.inv(cov), f - mean)
+            new = np.sort(np.argsort(d, kind="stable")[:h])
+            if np.array_equal(new, subset):
+                return np.linalg.slogdet(cov)[1], d
+            subset = new
+
+    best, d = min((concentrate(np.sort(rng.choice(400, h, replace=False))) for _ in range(40)), key=lambda r: r[0])
+    mine = np.argsort(got["_d2"].to_numpy(), kind="stable")[:h]
+    assert np.linalg.slogdet(np.cov(f[mine].T, bias=True) + least)[1] <= best + 0.05
+    assert np.median(got["_d2"][:60]) > 3 * np.quantile(got["_d2"][60:], 0.95)
+    assert np.allclose(np.sort(d), np.sort(got["_d2"]), rtol=0.15)
+
+
+def test_small_groups(spark):
+    """Sources of 1, 2, 49, 50, 51, 99, 100 and 101 texts: verdicts don't jump with size."""
+    from tessera.llm.outlier_rules import quality_rules
+
+    rng = random.Random(3)
+    text = lambda: " ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randrange(2, 9))) for _ in range(rng.randrange(60, 200)))
+    rows = []
+    for n in (1, 2, 49, 50, 51, 99, 100, 101, 400):
+        rows += [(1000 * n + k, text(), "en", f"s{n}") for k in range(n)] + [(-n, " ".join(f"w{k}#$%|<>&" for k in range(90)), "en", f"s{n}")]
+    out = {r.doc_id: r.kept for r in quality_rules(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert not any(out[-n] for n in (1, 2, 49, 50, 51, 99, 100, 101, 400))
+    assert sum(v for k, v in out.items() if k >= 0) >= 0.99 * sum(k >= 0 for k in out)
 
 
 def test_classifier(spark, docs, rows, empty):
