@@ -208,7 +208,8 @@ def lower_bytes(raw: np.ndarray) -> np.ndarray:
 
 class Lookup(dict):
     """A table of results by word, made when first asked for. Two generations of
-    ``rows`` words bound it, as in Recent."""
+    ``rows`` words bound it: when it is full, its words become the old generation,
+    from which words in use come back, and the old generation before it goes."""
 
     def __init__(self, make, rows: int):
         super().__init__()
@@ -225,29 +226,6 @@ class Lookup(dict):
         return found
 
 
-class Recent:
-    """A table of results by word that keeps what was used of late: when it holds
-    ``rows`` words, they become the old generation, from which words in use come
-    back, and the old generation before it goes. Memory is bounded by two
-    generations; results don't depend on it."""
-
-    def __init__(self, make, rows: int):
-        self.make, self.rows, self.now, self.old = make, rows, {}, {}
-
-    def cover(self, words: set) -> dict:
-        """A table that has all of ``words``; ``make`` gets each new one once."""
-        new = words - self.now.keys()
-        if new:
-            if self.now and len(self.now) + len(new) > self.rows:
-                self.old, self.now, new = self.now, {}, words
-            back = new & self.old.keys()
-            self.now.update((w, self.old[w]) for w in back)
-            rest = list(new - back)
-            if rest:
-                self.now.update(zip(rest, self.make(rest), strict=True))
-        return self.now
-
-
 #: Most bytes of a table that broadcast_if_small() hands out.
 BROADCAST_BYTES = 16 << 20
 

@@ -3,39 +3,50 @@
 No piece of the supported models holds a whitespace marker after another
 character, and none holds a line feed. Merges therefore never cross the start
 of a marked word or a line feed, and a text's ids are the ids of its marked
-words, one after the other. Each task keeps a table of the distinct marked
-words it has met, gives the library each of them once, and joins the ids back
-by position. The property is verified on the model when it is loaded; a model
-without it is refused.
+words, one after the other. The property is verified on the model when it is
+loaded; a model without it is refused.
+
+The corpus has one table of its distinct marked words, in two parts. The words
+that are most frequent in a sample of about ``SAMPLE_BYTES`` of text, up to
+``frequent_bytes``, are segmented once each and broadcast. Every other word goes
+through a shuffle: the rows' words that the first part lacks are brought together
+by word, segmented once each, and brought back to their rows by a 64-bit row key
+(rows of one key share their words, which changes no result). Ids are then joined
+by position. The sample decides which way a word goes, and never a result.
 
 Defined results: a null or empty text has no ids and decodes to the empty text;
-rows are handled one by one, so repeated rows and null ids are kept as they
-are; other columns of the input play no part. A worker's table is bounded
-by ``table_rows`` words in use and as many of late, and changes no result.
+repeated rows and null ids are kept as they are; other columns of the input play
+no part. ``docs`` is read several times, so it has to give the same rows each
+time (a stored table does).
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm._common import Recent, map_arrow, steps
+from tessera.llm._common import cut, discard, map_arrow, partitions, release, steps
 
 MARK = "▁"
-#: Most words in a task's table.
-TABLE_ROWS = 100_000
+#: Bytes of text, about, on which the frequent words are chosen.
+SAMPLE_BYTES = 32 << 20
+#: Most bytes of words and ids that are broadcast.
+FREQUENT_BYTES = 32 << 20
 
 
-class ChunkTable:
-    """ids of marked words; a word starts with a space (the marker) or a line feed."""
+class Pieces:
+    """The library, and the marked words of a text; a word starts with a space (the
+    marker) or a line feed."""
 
-    def __init__(self, model_path: str, table_rows: int = TABLE_ROWS):
+    def __init__(self, model_path: str):
         import sentencepiece
 
         self.library = sentencepiece.SentencePieceProcessor(model_file=model_path)
@@ -47,7 +58,6 @@ class ChunkTable:
         if self.library.encode(probe) != [*self.library.encode("a"), *self.library.encode("\n")[1:], *self.library.encode("b")]:
             raise ValueError("the model's normalizer changes white space")
         self.mark = self.library.piece_to_id(MARK)
-        self.table = Recent(self.segment, table_rows)
 
     @staticmethod
     def words(text: str) -> list[str]:
@@ -67,41 +77,131 @@ class ChunkTable:
             out.append(np.array(ids[1:] if word[0] == "\n" else ids or [self.mark], np.int32).tobytes())
         return out
 
-    def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        """Offsets of the texts into the ids, and all ids."""
-        split = [self.words(t or "") for t in texts]
-        get = self.table.cover(set().union(*split)).__getitem__
-        out = [b"".join(map(get, words)) for words in split]
-        ends = np.zeros(len(out) + 1, np.int64)
-        np.cumsum([len(x) // 4 for x in out], out=ends[1:])
-        return ends, np.frombuffer(b"".join(out), np.int32)
-
 
 @lru_cache(2)
-def _table(model_path: str, table_rows: int) -> ChunkTable:
-    return ChunkTable(model_path, table_rows)
+def _pieces(model_path: str) -> Pieces:
+    return Pieces(model_path)
+
+
+class _Table(dict):
+    """The broadcast part of the table; what it lacks is looked up in ``rest``."""
+
+    rest: dict[str, bytes] = {}
+
+    def __missing__(self, word: str) -> bytes:
+        return self.rest[word]
 
 
-def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", table_rows: int = TABLE_ROWS) -> DataFrame:
-    """(id_col, ids array<int>) of every row of ``docs``; no shuffle."""
+def _frequent(docs: DataFrame, model_path: str, limit: int) -> dict[str, bytes]:
+    """ids of the words that are most frequent in a sample of ``docs``, by powers of
+    two of their counts, ``limit`` bytes at most: a word of n bytes has n + 1 ids of
+    four bytes at most, which bounds what comes to the driver."""
+    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    sampled = docs.select("text").sample(min(1.0, SAMPLE_BYTES / max(total, 1)), seed=7)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: Counter[str] = Counter()
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                found.update(Pieces.words(text or ""))
+        if found:
+            yield pa.RecordBatch.from_arrays([pa.array(found.keys(), pa.string()), pa.array(found.values(), pa.int64())], names=["word", "n"])
+
+    def segment(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = _pieces(model_path).segment(batch.column(0).to_pylist())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary())], names=["word", "ids"])
+
+    counts = map_arrow(sampled, count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    counts = cut(counts.select("word", F.floor(F.log2("n")).cast("int").alias("level")), "word-counts")
+    least, left = None, limit
+    for level, size in counts.groupBy("level").agg(F.sum(5 * F.octet_length("word") + 36).alias("size")).orderBy(F.desc("level")).collect():
+        left -= size
+        if left < 0:
+            break
+        least = level
+    out: dict[str, bytes] = {}
+    if least is not None:
+        chosen = counts.where(F.col("level") >= least).select("word").repartition(partitions(docs.sparkSession))
+        got = map_arrow(chosen, segment, "word string, ids binary").toArrow()
+        out = dict(zip(got.column(0).to_pylist(), got.column(1).to_pylist(), strict=True))
+    discard(counts)
+    return out
+
+
+def _rest(docs: DataFrame, model_path: str, frequent) -> DataFrame:
+    """(key, rest array of (word, ids)): the words of the rows of one key that the
+    broadcast part lacks, each segmented once."""
+
+    def missing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = frequent.value
+        for batch in batches:
+            for part in steps(batch, 1):
+                found = [set(Pieces.words(t or "")).difference(known) for t in part.column(1).to_pylist()]
+                keys = np.repeat(part.column(0).to_numpy(), [len(x) for x in found])
+                if len(keys):
+                    yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(chain.from_iterable(found), pa.string())], names=["key", "word"])
+
+    def segment(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come sorted by word and key: a word that runs over the end of a batch
+        is carried on, a repeated row's words are passed once."""
+        last_word, last_ids, last_key = None, b"", 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            keys, coded = batch.column(0).to_numpy(), batch.column(1).dictionary_encode()
+            words, at = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+            carried = words[0] == last_word
+            ids = [last_ids] * carried + _pieces(model_path).segment(words[carried:])
+            new = np.ones(len(keys), bool)
+            new[1:] = (at[1:] != at[:-1]) | (keys[1:] != keys[:-1])
+            new[0] = not carried or keys[0] != last_key
+            last_word, last_ids, last_key = words[-1], ids[-1], keys[-1]
+            if new.any():
+                at = pa.array(at[new])
+                yield pa.RecordBatch.from_arrays([pa.array(keys[new]), coded.dictionary.take(at), pa.array(ids, pa.binary()).take(at)], names=["key", "word", "ids"])
+
+    pairs = map_arrow(docs.select("key", "text"), missing, "key long, word string")
+    pairs = pairs.repartition("word").sortWithinPartitions("word", "key")
+    found = map_arrow(pairs, segment, "key long, word string, ids binary")
+    out = cut(found.groupBy("key").agg(F.collect_list(F.struct("word", "ids")).alias("rest")), "rare-words")
+    release(docs.sparkSession)
+    return out
+
+
+def _encoded(docs: DataFrame, model_path: str, id_col: str, text_col: str, frequent_bytes: int, decoded: bool) -> DataFrame:
+    kind = docs.schema[id_col].dataType.simpleString()
+    docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    frequent = docs.sparkSession.sparkContext.broadcast(_frequent(docs, model_path, frequent_bytes))
+    docs = docs.withColumn("key", F.xxhash64("id", "text"))
+    rest = _rest(docs, model_path, frequent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = _table(model_path, table_rows)
+        table, library = _Table(frequent.value), _pieces(model_path).library
         for batch in batches:
             for part in steps(batch, 1):
-                ends, ids = table.encode(part.column(1).to_pylist())
-                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids, pa.int32()))
-                yield pa.RecordBatch.from_arrays([part.column(0), lists], names=["id", "ids"])
+                own = part.column(2).flatten()
+                table.rest = dict(zip(own.field(0).to_pylist(), own.field(1).to_pylist(), strict=True))
+                parts = [np.frombuffer(b"".join(map(table.__getitem__, Pieces.words(t or ""))), np.int32) for t in part.column(1).to_pylist()]
+                ends = np.cumsum([0, *map(len, parts)])
+                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(parts), pa.int32()))
+                texts = [pa.array(library.decode([x.tolist() for x in parts], num_threads=1), pa.string())] if decoded else []
+                yield pa.RecordBatch.from_arrays([part.column(0), lists, *texts], names=["id", "ids", "decoded"][: 2 + decoded])
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    return map_arrow(docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")), run, f"id {kind}, ids array<int>").withColumnRenamed("id", id_col)
+    rows = docs.join(rest, "key", "left").select("id", "text", "rest")
+    return map_arrow(rows, run, f"id {kind}, ids array<int>" + ", decoded string" * decoded).withColumnRenamed("id", id_col)
+
+
+def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", frequent_bytes: int = FREQUENT_BYTES) -> DataFrame:
+    """(id_col, ids array<int>) of every row of ``docs``."""
+    return _encoded(docs, model_path, id_col, text_col, frequent_bytes, decoded=False)
 
 
 def decode(encoded: DataFrame, model_path: str, id_col: str = "doc_id", ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
     """``encoded`` with the library's decode(ids) in ``out_col``. Null ids decode to ''."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        library = _table(model_path, TABLE_ROWS).library
+        library = _pieces(model_path).library
         for batch in batches:
             for first in range(0, batch.num_rows, 256):
                 part = batch.slice(first, 256)
@@ -113,19 +213,7 @@ def decode(encoded: DataFrame, model_path: str, id_col: str = "doc_id", ids_col:
     return out.select(F.col("id").alias(id_col), F.col("ids").alias(ids_col), F.col("decoded").alias(out_col))
 
 
-def encode_decode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", table_rows: int = TABLE_ROWS) -> DataFrame:
-    """(id_col, ids, decoded): encode, then the library's decode, in one pass
-    over the texts."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = _table(model_path, table_rows)
-        for batch in batches:
-            for part in steps(batch, 1):
-                ends, ids = table.encode(part.column(1).to_pylist())
-                values = ids.tolist()
-                texts = table.library.decode([values[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)], num_threads=1)
-                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids, pa.int32()))
-                yield pa.RecordBatch.from_arrays([part.column(0), lists, pa.array(texts, pa.string())], names=["id", "ids", "decoded"])
-
-    kind = docs.schema[id_col].dataType.simpleString()
-    return map_arrow(docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")), run, f"id {kind}, ids array<int>, decoded string").withColumnRenamed("id", id_col)
+def encode_decode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", frequent_bytes: int = FREQUENT_BYTES) -> DataFrame:
+    """(id_col, ids, decoded): encode, then the library's decode of the ids, in one
+    pass."""
+    return _encoded(docs, model_path, id_col, text_col, frequent_bytes, decoded=True)

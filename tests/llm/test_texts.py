@@ -57,21 +57,39 @@ def test_sentence_pieces(docs, rows, empty):
     path = tokenizer("piece_bpe_32k.model")
     lib = sentencepiece.SentencePieceProcessor(model_file=path)
     want = bag((r[0], tuple(lib.encode(r[1] or "")), lib.decode(lib.encode(r[1] or ""))) for r in rows)
-    for out in (encode_decode(docs, path), decode(encode(docs, path, table_rows=5), path)):
+    # all words by broadcast, none, and some
+    for out in (encode_decode(docs, path), encode_decode(docs, path, frequent_bytes=0), decode(encode(docs, path, frequent_bytes=400), path)):
         assert bag((r.doc_id, tuple(r.ids), r.decoded) for r in out.collect()) == want
-    assert encode_decode(empty, path).count() == 0
+    for limit in (0, 1 << 20):
+        assert encode_decode(empty, path, frequent_bytes=limit).count() == 0
+
+
+def test_distinct_chunks(docs, rows):
+    """Every distinct word is segmented once, by one way or the other, also where its
+    rows run over several batches and where rows are repeated."""
+    from tessera.llm import sentence_pieces as s
+
+    words = {w for r in rows for w in s.Pieces.words(r[1] or "")}
+    keyed = docs.selectExpr("doc_id id", "text", "xxhash64(doc_id, text) key")
+    path = tokenizer("piece_bpe_32k.model")
+    for limit in (0, 400, 1 << 20):
+        frequent = s._frequent(keyed, path, limit)
+        held = docs.sparkSession.sparkContext.broadcast(frequent)
+        rest = {r.key: [x.word for x in r.rest] for r in s._rest(keyed, path, held).collect()}
+        assert set(frequent) | set().union(*rest.values()) == words and (limit == 400) == bool(frequent and rest)
+        assert all(len(set(x)) == len(x) and not set(x) & set(frequent) for x in rest.values())
 
 
 def test_random_chunks():
-    from tessera.llm.sentence_pieces import ChunkTable
+    from tessera.llm.sentence_pieces import Pieces
     from tessera.llm.token_files import ChunkEncoder
 
-    pieces, bytes_ = ChunkTable(tokenizer("piece_bpe_32k.model"), 50), ChunkEncoder(tokenizer("byte_bpe_50k.json"), 50)
+    pieces, bytes_ = Pieces(tokenizer("piece_bpe_32k.model")), ChunkEncoder(tokenizer("byte_bpe_50k.json"), 50)
     rng = random.Random(1)
     parts = [" ", "  ", "\n", "\n\n", "▁", "a", "the", "foo", "\t", "é", "😀", "\0", "\x85", "　", "<s>", "<|endoftext|>", ".", ",", "..", "12", "\r", "'s", "_", "\x1c", "\xa0"]
     for _ in range(1500):
         text = "".join(rng.choice(parts) for _ in range(rng.randrange(14)))
-        assert pieces.encode([text])[1].tolist() == pieces.library.encode(text)
+        assert np.frombuffer(b"".join(pieces.segment(pieces.words(text))), np.int32).tolist() == pieces.library.encode(text)
         assert bytes_.encode([text], None)[1].tolist() == bytes_.library.encode(text, add_special_tokens=False).ids
 
 
