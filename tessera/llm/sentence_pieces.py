@@ -9,37 +9,41 @@ loaded; a model without it is refused.
 The corpus has one table of its distinct marked words, in two parts. The words
 that are most frequent in a sample of about ``SAMPLE_BYTES`` of text, up to
 ``frequent_bytes``, are segmented once each and broadcast. Every other word goes
-through a shuffle: the rows' words that the first part lacks are brought together
-by word, segmented once each, and brought back to their rows by a 64-bit row key
-(rows of one key share their words, which changes no result). Ids are then joined
-by position. The sample decides which way a word goes, and never a result.
+through a shuffle: texts are taken in steps of half a megabyte, the words of a
+step that the first part lacks are brought together by word, segmented once each,
+and brought back to the step, which goes there compressed; ids are then joined by
+position. The sample decides which way a word goes, and never a result.
 
 Defined results: a null or empty text has no ids and decodes to the empty text;
 repeated rows and null ids are kept as they are; other columns of the input play
-no part. ``docs`` is read several times, so it has to give the same rows each
-time (a stored table does).
+no part. ``docs`` is read several times and has to give the same rows in the same
+order each time, as a stored table does; a step that does not is an error.
 """
 
 from __future__ import annotations
 
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm._common import cut, discard, map_arrow, partitions, release, steps
+from tessera.llm._common import cut, discard, map_arrow, partitions, steps, text_buffer
 
 MARK = "▁"
 #: Bytes of text, about, on which the frequent words are chosen.
-SAMPLE_BYTES = 32 << 20
+SAMPLE_BYTES = 64 << 20
 #: Most bytes of words and ids that are broadcast.
-FREQUENT_BYTES = 32 << 20
+FREQUENT_BYTES = 48 << 20
+#: The place of a step behind its words.
+LAST = 2**31 - 1
+CHANGED = "the documents changed between two readings"
 
 
 class Pieces:
@@ -58,6 +62,7 @@ class Pieces:
         if self.library.encode(probe) != [*self.library.encode("a"), *self.library.encode("\n")[1:], *self.library.encode("b")]:
             raise ValueError("the model's normalizer changes white space")
         self.mark = self.library.piece_to_id(MARK)
+        self.kind = np.uint16 if self.library.get_piece_size() <= 1 << 16 else np.int32
 
     @staticmethod
     def words(text: str) -> list[str]:
@@ -74,7 +79,7 @@ class Pieces:
         line feed."""
         out = []
         for word, ids in zip(words, self.library.encode([w if w[0] == "\n" else w[1:] for w in words], num_threads=1), strict=True):
-            out.append(np.array(ids[1:] if word[0] == "\n" else ids or [self.mark], np.int32).tobytes())
+            out.append(np.array(ids[1:] if word[0] == "\n" else ids or [self.mark], self.kind).tobytes())
         return out
 
 
@@ -83,15 +88,6 @@ def _pieces(model_path: str) -> Pieces:
     return Pieces(model_path)
 
 
-class _Table(dict):
-    """The broadcast part of the table; what it lacks is looked up in ``rest``."""
-
-    rest: dict[str, bytes] = {}
-
-    def __missing__(self, word: str) -> bytes:
-        return self.rest[word]
-
-
 def _frequent(docs: DataFrame, model_path: str, limit: int) -> dict[str, bytes]:
     """ids of the words that are most frequent in a sample of ``docs``, by powers of
     two of their counts, ``limit`` bytes at most: a word of n bytes has n + 1 ids of
@@ -129,66 +125,100 @@ def _frequent(docs: DataFrame, model_path: str, limit: int) -> dict[str, bytes]:
     return out
 
 
-def _rest(docs: DataFrame, model_path: str, frequent) -> DataFrame:
-    """(key, rest array of (word, ids)): the words of the rows of one key that the
-    broadcast part lacks, each segmented once."""
+def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordBatch]]:
+    """The steps of a task's rows, by partition, place in it and 12 bits of a checksum
+    of the texts, which tells a step from what another reading has in its place."""
+    partition, n = TaskContext.get().partitionId(), 0
+    for batch in batches:
+        for part in steps(batch, 1):
+            yield partition << 39 | n << 12 | zlib.crc32(text_buffer(part.column(1))[0]) & 4095, part
+            n += 1
+
+
+def _split(part: pa.RecordBatch, known: dict[str, bytes]) -> tuple[list[list[str]], set[str], list[str]]:
+    """The marked words of a step's texts, the distinct ones, and those not ``known``."""
+    split = [Pieces.words(t or "") for t in part.column(1).to_pylist()]
+    distinct = set().union(*split)
+    return split, distinct, sorted(distinct.difference(known))
+
+
+def _rare(docs: DataFrame, model_path: str, frequent) -> DataFrame:
+    """(key, place, data): ids of the words of each step that the broadcast part
+    lacks, by their place among them; every word is segmented once."""
 
     def missing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = frequent.value
-        for batch in batches:
-            for part in steps(batch, 1):
-                found = [set(Pieces.words(t or "")).difference(known) for t in part.column(1).to_pylist()]
-                keys = np.repeat(part.column(0).to_numpy(), [len(x) for x in found])
-                if len(keys):
-                    yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(chain.from_iterable(found), pa.string())], names=["key", "word"])
+        for key, part in _numbered(batches):
+            words = _split(part, frequent.value)[2]
+            if words:
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(words), key)), pa.array(np.arange(len(words), dtype=np.int32)), pa.array(words, pa.string())], names=["key", "place", "word"])
 
     def segment(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come sorted by word and key: a word that runs over the end of a batch
-        is carried on, a repeated row's words are passed once."""
-        last_word, last_ids, last_key = None, b"", 0
+        """Rows come sorted by word; a word that runs over the end of a batch is carried on."""
+        last_word, last_ids = None, b""
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            keys, coded = batch.column(0).to_numpy(), batch.column(1).dictionary_encode()
-            words, at = coded.dictionary.to_pylist(), coded.indices.to_numpy()
-            carried = words[0] == last_word
-            ids = [last_ids] * carried + _pieces(model_path).segment(words[carried:])
-            new = np.ones(len(keys), bool)
-            new[1:] = (at[1:] != at[:-1]) | (keys[1:] != keys[:-1])
-            new[0] = not carried or keys[0] != last_key
-            last_word, last_ids, last_key = words[-1], ids[-1], keys[-1]
-            if new.any():
-                at = pa.array(at[new])
-                yield pa.RecordBatch.from_arrays([pa.array(keys[new]), coded.dictionary.take(at), pa.array(ids, pa.binary()).take(at)], names=["key", "word", "ids"])
-
-    pairs = map_arrow(docs.select("key", "text"), missing, "key long, word string")
-    pairs = pairs.repartition("word").sortWithinPartitions("word", "key")
-    found = map_arrow(pairs, segment, "key long, word string, ids binary")
-    out = cut(found.groupBy("key").agg(F.collect_list(F.struct("word", "ids")).alias("rest")), "rare-words")
-    release(docs.sparkSession)
-    return out
+            if batch.num_rows:
+                coded = batch.column(2).dictionary_encode()
+                words = coded.dictionary.to_pylist()
+                carried = words[0] == last_word
+                ids = [last_ids] * carried + _pieces(model_path).segment(words[carried:])
+                last_word, last_ids = words[-1], ids[-1]
+                yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(ids, pa.binary()).take(coded.indices)], names=["key", "place", "data"])
+
+    pairs = map_arrow(docs, missing, "key long, place int, word string")
+    return map_arrow(pairs.repartition("word").sortWithinPartitions("word"), segment, "key long, place int, data binary")
 
 
 def _encoded(docs: DataFrame, model_path: str, id_col: str, text_col: str, frequent_bytes: int, decoded: bool) -> DataFrame:
     kind = docs.schema[id_col].dataType.simpleString()
     docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     frequent = docs.sparkSession.sparkContext.broadcast(_frequent(docs, model_path, frequent_bytes))
-    docs = docs.withColumn("key", F.xxhash64("id", "text"))
-    rest = _rest(docs, model_path, frequent)
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for key, part in _numbered(batches):
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, part.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                out.write_batch(part)
+            yield pa.RecordBatch.from_arrays([pa.array([key]), pa.array([LAST], pa.int32()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["key", "place", "data"])
+
+    def join(part: pa.RecordBatch, rare: list[bytes]) -> pa.RecordBatch:
+        known, pieces = frequent.value, _pieces(model_path)
+        split, distinct, words = _split(part, known)
+        if len(words) != len(rare):
+            raise ValueError(CHANGED)
+        table = {w: known.get(w) for w in distinct} | dict(zip(words, rare, strict=True))
+        ids = [np.frombuffer(b"".join(map(table.__getitem__, x)), pieces.kind) for x in split]
+        ends = np.cumsum([0, *map(len, ids)])
+        lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(ids).astype(np.int32)))
+        texts = [pa.array(pieces.library.decode([x.tolist() for x in ids], num_threads=1), pa.string())] if decoded else []
+        return pa.RecordBatch.from_arrays([part.column(0), lists, *texts], names=["id", "ids", "decoded"][: 2 + decoded])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, library = _Table(frequent.value), _pieces(model_path).library
+        """Rows come sorted by key and place: a step's rare words, then the step."""
+        rare: list[bytes] = []
+        now = None
+
+        def take(keys: np.ndarray, data: pa.Array) -> None:
+            nonlocal now
+            now = keys[0] if now is None else now
+            if (keys != now).any():
+                raise ValueError(CHANGED)
+            rare.extend(data.to_pylist())
+
         for batch in batches:
-            for part in steps(batch, 1):
-                own = part.column(2).flatten()
-                table.rest = dict(zip(own.field(0).to_pylist(), own.field(1).to_pylist(), strict=True))
-                parts = [np.frombuffer(b"".join(map(table.__getitem__, Pieces.words(t or ""))), np.int32) for t in part.column(1).to_pylist()]
-                ends = np.cumsum([0, *map(len, parts)])
-                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(parts), pa.int32()))
-                texts = [pa.array(library.decode([x.tolist() for x in parts], num_threads=1), pa.string())] if decoded else []
-                yield pa.RecordBatch.from_arrays([part.column(0), lists, *texts], names=["id", "ids", "decoded"][: 2 + decoded])
-
-    rows = docs.join(rest, "key", "left").select("id", "text", "rest")
+            keys, _, data = batch.columns
+            keys, first = keys.to_numpy(), 0
+            for at in np.flatnonzero(batch.column(1).to_numpy() == LAST).tolist():
+                take(keys[first : at + 1], data.slice(first, at - first))
+                yield from (join(part, rare) for part in pa.ipc.open_stream(data[at].as_buffer()))
+                now, first = None, at + 1
+                rare.clear()
+            if first < len(keys):
+                take(keys[first:], data.slice(first))
+        if rare:
+            raise ValueError(CHANGED)
+
+    packed = map_arrow(docs, pack, "key long, place int, data binary")
+    rows = packed.unionAll(_rare(docs, model_path, frequent)).repartition("key").sortWithinPartitions("key", "place")
     return map_arrow(rows, run, f"id {kind}, ids array<int>" + ", decoded string" * decoded).withColumnRenamed("id", id_col)
 
 

@@ -65,19 +65,36 @@ def test_sentence_pieces(docs, rows, empty):
 
 
 def test_distinct_chunks(docs, rows):
-    """Every distinct word is segmented once, by one way or the other, also where its
-    rows run over several batches and where rows are repeated."""
+    """Every distinct word goes one way or the other, and a step's rare words come back
+    in their places."""
     from tessera.llm import sentence_pieces as s
 
+    pieces = s.Pieces(tokenizer("piece_bpe_32k.model"))
     words = {w for r in rows for w in s.Pieces.words(r[1] or "")}
-    keyed = docs.selectExpr("doc_id id", "text", "xxhash64(doc_id, text) key")
+    docs = docs.selectExpr("doc_id id", "text")
     path = tokenizer("piece_bpe_32k.model")
     for limit in (0, 400, 1 << 20):
-        frequent = s._frequent(keyed, path, limit)
+        frequent = s._frequent(docs, path, limit)
+        assert sum(len(w.encode()) + len(x) for w, x in frequent.items()) <= limit
         held = docs.sparkSession.sparkContext.broadcast(frequent)
-        rest = {r.key: [x.word for x in r.rest] for r in s._rest(keyed, path, held).collect()}
-        assert set(frequent) | set().union(*rest.values()) == words and (limit == 400) == bool(frequent and rest)
-        assert all(len(set(x)) == len(x) and not set(x) & set(frequent) for x in rest.values())
+        rare = s._rare(docs, path, held).collect()
+        ids = {w: x for w, x in zip(sorted(words), pieces.segment(sorted(words)), strict=True)}
+        assert frequent == {w: ids[w] for w in frequent} and (limit == 400) == bool(frequent and rare)
+        assert {bytes(r.data) for r in rare} == {ids[w] for w in words - frequent.keys()}
+        assert len({(r.key, r.place) for r in rare}) == len(rare)
+
+
+def test_changed_documents(spark):
+    """Rows that differ from one reading to the next are an error, not wrong ids."""
+    from pyspark.errors import PythonException
+    from pyspark.sql import functions as F
+
+    from tessera.llm.sentence_pieces import encode
+
+    fresh = F.udf(lambda: __import__("secrets").token_hex(9)).asNondeterministic()
+    docs = spark.range(50, numPartitions=1).select(F.col("id").alias("doc_id"), fresh().alias("text"))
+    with pytest.raises(PythonException):
+        encode(docs, tokenizer("piece_bpe_32k.model"), frequent_bytes=0).collect()
 
 
 def test_random_chunks():
@@ -89,7 +106,7 @@ def test_random_chunks():
     parts = [" ", "  ", "\n", "\n\n", "▁", "a", "the", "foo", "\t", "é", "😀", "\0", "\x85", "　", "<s>", "<|endoftext|>", ".", ",", "..", "12", "\r", "'s", "_", "\x1c", "\xa0"]
     for _ in range(1500):
         text = "".join(rng.choice(parts) for _ in range(rng.randrange(14)))
-        assert np.frombuffer(b"".join(pieces.segment(pieces.words(text))), np.int32).tolist() == pieces.library.encode(text)
+        assert np.frombuffer(b"".join(pieces.segment(pieces.words(text))), pieces.kind).tolist() == pieces.library.encode(text)
         assert bytes_.encode([text], None)[1].tolist() == bytes_.library.encode(text, add_special_tokens=False).ids
 
 
