@@ -34,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm._common import cut, discard, map_arrow, partitions, steps, text_buffer
+from tessera.llm._common import cut, discard, map_arrow, partitions, release, steps, text_buffer
 
 MARK = "▁"
 #: Bytes of text, about, on which the frequent words are chosen.
@@ -122,6 +122,7 @@ def _frequent(docs: DataFrame, model_path: str, limit: int) -> dict[str, bytes]:
         got = map_arrow(chosen, segment, "word string, ids binary").toArrow()
         out = dict(zip(got.column(0).to_pylist(), got.column(1).to_pylist(), strict=True))
     discard(counts)
+    release(docs.sparkSession)
     return out
 
 
@@ -176,7 +177,7 @@ def _encoded(docs: DataFrame, model_path: str, id_col: str, text_col: str, frequ
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for key, part in _numbered(batches):
             sink = pa.BufferOutputStream()
-            with pa.ipc.new_stream(sink, part.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+            with pa.ipc.new_stream(sink, part.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=5))) as out:
                 out.write_batch(part)
             yield pa.RecordBatch.from_arrays([pa.array([key]), pa.array([LAST], pa.int32()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["key", "place", "data"])
 
