@@ -11,8 +11,10 @@ that are most frequent in a sample of about ``SAMPLE_BYTES`` of text, up to
 ``frequent_bytes``, are segmented once each and broadcast. Every other word goes
 through a shuffle: texts are taken in steps of half a megabyte, the words of a
 step that the first part lacks are brought together by word, segmented once each,
-and brought back to the step, which goes there compressed; ids are then joined by
-position. The sample decides which way a word goes, and never a result.
+and brought back to the step. The step goes there as the compressed numbers of its
+words in the first part, with a hole for each word that this lacks; ids are then
+joined by position, and no text is shuffled.
+The sample decides which way a word goes, and never a result.
 
 Defined results: a null or empty text has no ids and decodes to the empty text;
 repeated rows and null ids are kept as they are; other columns of the input play
@@ -88,10 +90,14 @@ def _pieces(model_path: str) -> Pieces:
     return Pieces(model_path)
 
 
-def _frequent(docs: DataFrame, model_path: str, limit: int) -> dict[str, bytes]:
-    """ids of the words that are most frequent in a sample of ``docs``, by powers of
-    two of their counts, ``limit`` bytes at most: a word of n bytes has n + 1 ids of
-    four bytes at most, which bounds what comes to the driver."""
+#: Numbers of words from 1 on, the ends of their ids (the first is 0), and the ids.
+Table = tuple[dict[str, int], np.ndarray, np.ndarray]
+
+
+def _frequent(docs: DataFrame, model_path: str, limit: int) -> Table:
+    """The words that are most frequent in a sample of ``docs``, by powers of two of
+    their counts, and their ids, ``limit`` bytes at most: a word of n bytes has n + 1
+    ids of four bytes at most, which bounds what comes to the driver."""
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     sampled = docs.select("text").sample(min(1.0, SAMPLE_BYTES / max(total, 1)), seed=7)
 
@@ -106,7 +112,7 @@ def _frequent(docs: DataFrame, model_path: str, limit: int) -> dict[str, bytes]:
     def segment(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = _pieces(model_path).segment(batch.column(0).to_pylist())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary())], names=["word", "ids"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ids, pa.binary())], names=["word", "level", "ids"])
 
     counts = map_arrow(sampled, count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
     counts = cut(counts.select("word", F.floor(F.log2("n")).cast("int").alias("level")), "word-counts")
@@ -116,14 +122,20 @@ def _frequent(docs: DataFrame, model_path: str, limit: int) -> dict[str, bytes]:
         if left < 0:
             break
         least = level
-    out: dict[str, bytes] = {}
+    words: list[str] = []
+    ids: list[bytes] = []
     if least is not None:
-        chosen = counts.where(F.col("level") >= least).select("word").repartition(partitions(docs.sparkSession))
-        got = map_arrow(chosen, segment, "word string, ids binary").toArrow()
-        out = dict(zip(got.column(0).to_pylist(), got.column(1).to_pylist(), strict=True))
+        chosen = counts.where(F.col("level") >= least).repartition(partitions(docs.sparkSession))
+        got = map_arrow(chosen, segment, "word string, level int, ids binary").toArrow().sort_by([("level", "descending")])
+        words, ids = got.column(0).to_pylist(), got.column(2).to_pylist()
     discard(counts)
     release(docs.sparkSession)
-    return out
+    return {w: k for k, w in enumerate(words, 1)}, *_joined(ids, _pieces(model_path).kind)
+
+
+def _joined(ids: list[bytes], kind: type) -> tuple[np.ndarray, np.ndarray]:
+    flat = np.frombuffer(b"".join(ids), kind)
+    return np.cumsum([0, *map(len, ids)]) // flat.itemsize, flat
 
 
 def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordBatch]]:
@@ -136,11 +148,43 @@ def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.Recor
             n += 1
 
 
-def _split(part: pa.RecordBatch, known: dict[str, bytes]) -> tuple[list[list[str]], set[str], list[str]]:
-    """The marked words of a step's texts, the distinct ones, and those not ``known``."""
+def _split(part: pa.RecordBatch, known: dict[str, int]) -> tuple[list[list[str]], dict[str, int]]:
+    """The marked words of a step's texts, and the distinct ones that are not ``known``,
+    numbered by their first places."""
     split = [Pieces.words(t or "") for t in part.column(1).to_pylist()]
-    distinct = set().union(*split)
-    return split, distinct, sorted(distinct.difference(known))
+    lacking = dict.fromkeys(w for words in split for w in words if w not in known)
+    return split, {w: k for k, w in enumerate(lacking)}
+
+
+def _holed(part: pa.RecordBatch, known: dict[str, int]) -> pa.RecordBatch:
+    """A step's rows as numbers of their words, 0 for a hole, where a word is not
+    ``known``; and the numbers of the holes' words, as differences (a word's first is 1).
+    The four bytes of a number have a column each, which compresses better."""
+    split, lacking = _split(part, known)
+    numbers = np.array([known.get(w, 0) for words in split for w in words], "<u4")
+    ends = pa.array(np.cumsum([0, *map(len, split)]), pa.int32())
+    planes = [pa.ListArray.from_arrays(ends, pa.array(np.ascontiguousarray(x))) for x in numbers.view(np.uint8).reshape(-1, 4).T]
+    holes = np.diff(np.array([lacking[w] for words in split for w in words if w in lacking], np.int32), prepend=np.int32(-1))
+    ends = np.concatenate([[0], np.cumsum(numbers == 0)])[ends.to_numpy()]
+    return pa.RecordBatch.from_arrays([part.column(0), *planes, pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(holes))], names=["id", "a", "b", "c", "d", "holes"])
+
+
+def _filled(part: pa.RecordBatch, rare: list[bytes], frequent: Table) -> tuple[np.ndarray, np.ndarray]:
+    """(ids, offsets of the rows) of what _holed() gives, ``rare`` being the ids of the
+    words in the holes."""
+    _, ends, flat = frequent
+    planes = [c.values.to_numpy() for c in part.columns[1:5]]
+    number = np.stack(planes, axis=1).reshape(-1).view("<u4").astype(np.int64) - 1
+    holes = np.cumsum(part.column(5).values.to_numpy(), dtype=np.int64) - 1
+    if (holes.max() + 1 if len(holes) else 0) != len(rare):
+        raise ValueError(CHANGED)
+    number[number < 0] = holes + len(ends) - 1
+    more, ids = _joined(rare, flat.dtype.type)
+    ends, flat = np.concatenate([ends, more[1:] + len(flat)]), np.concatenate([flat, ids])
+    first, sizes = ends[number], ends[number + 1] - ends[number]
+    places = np.concatenate([[0], np.cumsum(sizes)])
+    taken = flat[np.repeat(first - places[:-1], sizes) + np.arange(places[-1])]
+    return taken, places[part.column(1).offsets.to_numpy()]
 
 
 def _rare(docs: DataFrame, model_path: str, frequent) -> DataFrame:
@@ -149,7 +193,7 @@ def _rare(docs: DataFrame, model_path: str, frequent) -> DataFrame:
 
     def missing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for key, part in _numbered(batches):
-            words = _split(part, frequent.value)[2]
+            words = list(_split(part, frequent.value[0])[1])
             if words:
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(words), key)), pa.array(np.arange(len(words), dtype=np.int32)), pa.array(words, pa.string())], names=["key", "place", "word"])
 
@@ -176,21 +220,16 @@ def _encoded(docs: DataFrame, model_path: str, id_col: str, text_col: str, frequ
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for key, part in _numbered(batches):
+            part = _holed(part, frequent.value[0])
             sink = pa.BufferOutputStream()
             with pa.ipc.new_stream(sink, part.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=5))) as out:
                 out.write_batch(part)
             yield pa.RecordBatch.from_arrays([pa.array([key]), pa.array([LAST], pa.int32()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["key", "place", "data"])
 
     def join(part: pa.RecordBatch, rare: list[bytes]) -> pa.RecordBatch:
-        known, pieces = frequent.value, _pieces(model_path)
-        split, distinct, words = _split(part, known)
-        if len(words) != len(rare):
-            raise ValueError(CHANGED)
-        table = {w: known.get(w) for w in distinct} | dict(zip(words, rare, strict=True))
-        ids = [np.frombuffer(b"".join(map(table.__getitem__, x)), pieces.kind) for x in split]
-        ends = np.cumsum([0, *map(len, ids)])
-        lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(ids).astype(np.int32)))
-        texts = [pa.array(pieces.library.decode([x.tolist() for x in ids], num_threads=1), pa.string())] if decoded else []
+        flat, ends = _filled(part, rare, frequent.value)
+        lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat.astype(np.int32)))
+        texts = [pa.array(_pieces(model_path).library.decode([flat[a:b].tolist() for a, b in zip(ends, ends[1:])], num_threads=1), pa.string())] if decoded else []
         return pa.RecordBatch.from_arrays([part.column(0), lists, *texts], names=["id", "ids", "decoded"][: 2 + decoded])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -74,9 +74,12 @@ def test_distinct_chunks(docs, rows):
     docs = docs.selectExpr("doc_id id", "text")
     path = tokenizer("piece_bpe_32k.model")
     for limit in (0, 400, 1 << 20):
-        frequent = s._frequent(docs, path, limit)
+        table = s._frequent(docs, path, limit)
+        numbers, ends, flat = table
+        assert sorted(numbers.values()) == list(range(1, len(ends)))
+        frequent = {w: flat[ends[k - 1] : ends[k]].tobytes() for w, k in numbers.items()}
         assert sum(len(w.encode()) + len(x) for w, x in frequent.items()) <= limit
-        held = docs.sparkSession.sparkContext.broadcast(frequent)
+        held = docs.sparkSession.sparkContext.broadcast(table)
         rare = s._rare(docs, path, held).collect()
         ids = {w: x for w, x in zip(sorted(words), pieces.segment(sorted(words)), strict=True)}
         assert frequent == {w: ids[w] for w in frequent} and (limit == 400) == bool(frequent and rare)
