@@ -8,7 +8,8 @@ over it, and every route gives the same y.
 
 Catalyst picks the join (broadcast where x is small, else sort-merge, with AQE
 splitting of skewed columns). ``salt`` spreads a heavy column over that many
-copies of its x beforehand.
+copies of its x beforehand; the copies are always dealt by a shuffle, as Catalyst
+estimates them at the size of one and would broadcast them.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ def products(entries: DataFrame, x: DataFrame, salt: int = 1) -> DataFrame:
     if salt > 1:
         entries = entries.withColumn("_salt", F.pmod(F.xxhash64("i", "v"), F.lit(salt)))
         x = x.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salt - 1).cast("long"))))
-        joined = entries.join(x, ["j", "_salt"]).drop("_salt")
+        joined = entries.join(x.hint("merge"), ["j", "_salt"]).drop("_salt")
     else:
         joined = entries.join(x, "j")
     return joined.withColumn("p", F.col("v") * F.col("x")).drop("x")

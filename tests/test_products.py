@@ -53,6 +53,12 @@ def test_routes_agree(spark, route):
     assert ys(route(entries(spark), x_of(spark), spark.range(4).withColumnRenamed("id", "i"))) == Y
 
 
+def test_salted_copies_are_not_broadcast(spark):
+    a, x = spark.range(9).selectExpr("id as i", "id % 4 as j", "id as v"), spark.range(4).selectExpr("id as j", "id as x")
+    plan = s.products(a, x, salt=3)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def test_one_long_row(spark):
     a = entries(spark, [(0, j, 1.0) for j in range(100)])
     x = spark.range(100).selectExpr("id as j", "1.0D as x")
