@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import tempfile
 import time
 from collections.abc import Callable
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+import pyarrow.parquet as pq
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 from tessera.functions.metrics import timing_stats
+from tessera.scratch import shared_path
 
 
 def run_seconds(make: Callable[[], DataFrame]) -> float:
@@ -31,17 +37,50 @@ def device_info(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, "name string, value string")
 
 
-def compare(spark: SparkSession, make: Callable[[], DataFrame], other: Callable[[], list[tuple]], name: str, warm_up: int = 1, runs: int = 3, tolerance: float = 1e-9) -> DataFrame:
+def compare(spark: SparkSession, make: Callable[[], DataFrame], other: Callable[[], pa.RecordBatchReader], name: str, keys: tuple[str, ...], warm_up: int = 1, runs: int = 3, tolerance: float = 1e-9) -> DataFrame:
     """(name, n, avg_ms, other_ms, speed_up, same): a query timed beside another engine's
-    ``other``, which gives the rows; same tells whether the rows agree."""
+    ``other``, which gives the rows in batches, with the same columns in the same order;
+    same tells whether the rows agree, those of equal ``keys`` in the order of their
+    values. Rows are streamed on both sides; the driver holds a batch at a time."""
     took = measure(spark, make, warm_up, runs, name).first()
     times = []
     for _ in range(warm_up + runs):
         began = time.perf_counter()
-        rows = other()
+        for _ in other():
+            pass
         times.append((time.perf_counter() - began) * 1000)
     other_ms = sum(times[warm_up:]) / runs
-    mine, rows = sorted(map(tuple, make().collect())), sorted(map(tuple, rows))
-    close = lambda x, y: x == y or (isinstance(x, float) and abs(x - y) <= tolerance * max(abs(x), abs(y)))
-    same = len(mine) == len(rows) and all(all(map(close, a, b)) for a, b in zip(mine, rows, strict=True))
+    rows = _written(spark, other())
+    same = same_rows(make(), rows, keys, tolerance)
     return spark.createDataFrame([(name, took.n, took.avg_ms, other_ms, other_ms / took.avg_ms, same)], "name string, n long, avg_ms double, other_ms double, speed_up double, same boolean")
+
+
+def _written(spark: SparkSession, batches: pa.RecordBatchReader) -> DataFrame:
+    """Batches that the driver gets, as a table in the shared folder."""
+    path = shared_path(spark, "other")
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path
+    with tempfile.TemporaryDirectory() as folder:
+        with pq.ParquetWriter(f"{folder}/rows.parquet", batches.schema) as out:
+            for batch in batches:
+                out.write_batch(batch)
+        to = hadoop(path)
+        to.getFileSystem(spark._jsc.hadoopConfiguration()).copyFromLocalFile(hadoop(f"file://{folder}/rows.parquet"), to)
+    return spark.read.parquet(path)
+
+
+def same_rows(mine: DataFrame, other: DataFrame, keys: tuple[str, ...], tolerance: float = 1e-9) -> bool:
+    """Whether two tables of the same columns have the same rows, as often; floating-point
+    numbers may differ by ``tolerance`` of the larger one."""
+    if len(mine.columns) != len(other.columns):
+        return False
+    nth = F.row_number().over(Window.partitionBy(*keys).orderBy(*[c for c in mine.columns if c not in keys] or keys))
+    a, b = (df.toDF(*mine.columns).withColumn("_nth", nth) for df in (mine, other))
+    both = reduce(Column.__and__, (a[k].eqNullSafe(b[k]) for k in (*keys, "_nth")))
+
+    def close(c: str, kind: str) -> Column:
+        x, y = a[c], b[c]
+        near = F.abs(x - y) <= tolerance * F.greatest(F.abs(x), F.abs(y)) if kind in ("double", "float") else F.lit(False)
+        return x.eqNullSafe(y) | F.coalesce(near, F.lit(False))
+
+    agree = reduce(Column.__and__, (close(c, kind) for c, kind in mine.dtypes), a["_nth"].isNotNull() & b["_nth"].isNotNull())
+    return a.join(b, both, "full_outer").where(~agree).limit(1).count() == 0

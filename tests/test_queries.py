@@ -23,3 +23,22 @@ def test_entry(spark):
 
     assert e.entry(spark).columns == ["i", "y"]
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_compare_brings_no_rows_to_the_driver(spark, monkeypatch):
+    import pyarrow as pa
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    from tessera.bench import compare
+
+    mine = spark.range(5000).selectExpr("id % 2500 AS i", "id / 7.0D AS y", "nullif(id % 3, 0) AS z")
+    table = pa.Table.from_pandas(mine.toPandas())
+    taken, collect = [], DataFrame.collect
+    monkeypatch.setattr(DataFrame, "collect", lambda df: taken.append(rows := collect(df)) or rows)
+    same = {}
+    for name, other in {"equal": table, "less": table.slice(1), "more": pa.concat_tables([table, table.slice(0, 1)]), "empty": table.slice(0, 0)}.items():
+        same[name] = compare(spark, lambda: mine, other.to_reader, name, keys=("i",), warm_up=0, runs=1).select("same").toPandas().same.tolist()
+    changed = table.set_column(1, "y", pa.array([*table.column("y").to_pylist()[:-1], 1.5]))
+    same["changed"] = compare(spark, lambda: mine, changed.to_reader, "changed", keys=("i",), warm_up=0, runs=1).select("same").toPandas().same.tolist()
+    assert same == {"equal": [True], "less": [False], "more": [False], "empty": [False], "changed": [False]}
+    assert max(map(len, taken), default=0) <= 1
