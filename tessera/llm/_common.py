@@ -76,13 +76,13 @@ def new_path(spark: SparkSession, name: str) -> str:
     return path
 
 
-def cut(df: DataFrame, name: str) -> DataFrame:
+def cut(df: DataFrame, name: str, codec: str | None = None) -> DataFrame:
     """Write ``df`` to the shared folder as Parquet and read it again. Lineage
     ends there, so that a lost executor costs no recomputation, and the rows are
     the same for every later reader. The files go by discard(), or when the JVM
-    ends."""
+    ends. ``codec`` is the session's where it isn't given."""
     path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.parquet(path, compression=codec)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._tessera_path = path
     return out

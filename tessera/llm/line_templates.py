@@ -14,7 +14,9 @@ recurs from two documents on.
 The texts are parsed once. Templates come from counts over the whole corpus, so
 they depend neither on the order of lines nor on partitions, and no leaf is
 gathered: counts are taken by (leaf, place, token), over distinct lines of those
-leaves alone that have lines enough for a recurring template.
+leaves alone that have lines enough for a recurring template. A token with a lower
+count than a recurring template needs can't be part of one, so neither its count nor
+a line that would need it goes any further.
 
 Defined results: null text stays null and has no lines; a line without a token
 that has a letter and no digit has no template (rules, brackets and rows of
@@ -68,11 +70,17 @@ def templates(lines: DataFrame, similarity: float, min_lines: int = 1) -> DataFr
     """(_leaf, _line, _template) of the distinct lines of ``lines`` (_leaf, _masked),
     _line being a hash, as far as the template has ``min_lines`` lines or more."""
     distinct = lines.groupBy("_leaf", "_masked").agg(F.count(F.lit(1)).alias("_n"))
-    distinct = cut(distinct.select("_leaf", F.xxhash64("_masked").alias("_line"), "_masked", "_n"), "distinct-lines")
-    tokens = distinct.select("_leaf", "_line", "_n", F.posexplode(F.split("_masked", " ")).alias("_place", "_token")).where(F.col("_token") != VARIABLE)
-    counts = cut(tokens.groupBy("_leaf", "_place", "_token").agg(F.sum("_n").alias("_count")), "token-counts")
-    ranked = tokens.join(broadcast_if_small(counts), ["_leaf", "_place", "_token"]).groupBy("_leaf", "_line").agg(F.sort_array(F.collect_list(F.struct((-F.col("_count")).alias("c"), F.col("_place").alias("p"), F.col("_token").alias("t")))).alias("_ranked"), F.first("_n").alias("_n"))
-    kept = F.slice("_ranked", F.lit(1), F.ceil(F.lit(similarity) * F.size("_ranked") - 1e-9).cast("int"))
+    words = F.size(F.filter(F.split("_masked", " "), lambda t: t != VARIABLE))
+    needed = F.ceil(F.lit(similarity) * words - 1e-9).cast("int")
+    distinct = cut(distinct.select("_leaf", F.xxhash64("_masked").alias("_line"), "_masked", "_n", needed.alias("_needed")), "distinct-lines", "zstd")
+    tokens = distinct.select("_leaf", "_line", "_n", "_needed", F.posexplode(F.split("_masked", " ")).alias("_place", "_token")).where(F.col("_token") != VARIABLE)
+    tokens = tokens.withColumn("_token", F.xxhash64("_token"))
+    # every line of a template has its tokens: a token's count is no lower than the template's
+    least = min_lines if similarity > 0 else 1
+    counts = cut(tokens.groupBy("_leaf", "_place", "_token").agg(F.sum("_n").alias("_count")).where(F.col("_count") >= least), "token-counts")
+    ranked = tokens.join(broadcast_if_small(counts), ["_leaf", "_place", "_token"]).groupBy("_leaf", "_line").agg(F.sort_array(F.collect_list(F.struct((-F.col("_count")).alias("c"), F.col("_place").alias("p"), F.col("_token").alias("t")))).alias("_ranked"), F.first("_n").alias("_n"), F.first("_needed").alias("_needed"))
+    ranked = ranked.where(F.size("_ranked") >= F.col("_needed"))
+    kept = F.slice("_ranked", F.lit(1), F.col("_needed"))
     known = ranked.select("_leaf", "_line", "_n", F.xxhash64("_leaf", F.sort_array(F.transform(kept, lambda x: F.struct(x["p"], x["t"])))).alias("_template"))
     known = cut(known, "line-templates")
     enough = known.groupBy("_template").agg(F.sum("_n").alias("_lines")).where(F.col("_lines") >= min_lines).select("_template")
@@ -90,7 +98,7 @@ def _free_name(name: str, taken: list[str]) -> str:
 def drop_recurring(docs: DataFrame, min_docs: int = 10, similarity: float = 0.7, exact_bytes: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with the lines of recurring templates and long repeated lines taken out
     of the text, and n_lines and n_dropped."""
-    lines = cut(document_lines(docs, id_col, text_col, exact_bytes), "all-lines")
+    lines = cut(document_lines(docs, id_col, text_col, exact_bytes), "all-lines", "zstd")
     places = lines.where("_exact is not null").select("_doc", "_no", "_exact")
     exact = places.groupBy("_exact").agg(F.min("_doc").alias("_keep"), F.max("_doc").alias("_last")).where(F.col("_keep") != F.col("_last"))
     exact = cut(exact.select("_exact", "_keep"), "repeated-lines")

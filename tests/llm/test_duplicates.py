@@ -332,6 +332,25 @@ def test_line_brute(spark):
             assert sorted((r.doc_id, r.text) for r in out) == want
 
 
+def test_line_counts(spark, monkeypatch):
+    """Tokens too rare for a recurring template are not carried along."""
+    from tessera.llm import line_templates as m
+
+    sizes, cut = {}, m.cut
+
+    def counted(df, name, *a):
+        out = cut(df, name, *a)
+        sizes[name] = out.count()
+        return out
+
+    monkeypatch.setattr(m, "cut", counted)
+    rows = [(k, f"He said to {chr(97 + k % 26) * (k + 1)} {'xyz'[k % 3] * (k + 1)} well {'w' * (k + 1)}") for k in range(60)]
+    rows += [(60 + k, f"He said to all of us {k} times") for k in range(12)]
+    out = m.drop_recurring(spark.createDataFrame(rows, "doc_id long, text string"), min_docs=10).collect()
+    assert sorted((r.doc_id, r.text) for r in out if r.text) == rows[:61]
+    assert sizes["token-counts"] <= 12 and sizes["line-templates"] <= 12
+
+
 def test_line_columns(spark):
     """Columns with the operator's own names pass; null and repeated ids; short lines."""
     from tessera.llm.line_templates import drop_recurring
