@@ -128,7 +128,7 @@ def _mixed(docs: DataFrame, weights, share, cap, seed, length_power, passes, sla
     w = F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]) if carry else F.lit(0).cast("long")
     more = [F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)]).alias("doc")] if carry else []
     base = docs.select(F.col(id_col).alias("id"), k.alias("k"), F.col(source_col).cast("string").alias("source"), F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"), _row_hash(seed, F.col(id_col), text).alias("h"), w.alias("w"), F.monotonically_increasing_id().alias("row"), *more)
-    base = cut(base, "mix").withColumn("part", F.pmod(F.xxhash64("row"), F.lit(PARTS)))
+    base = cut(base, "mix", "zstd" if carry else None).withColumn("part", F.pmod(F.xxhash64("row"), F.lit(PARTS)))
     known = base.groupBy("k", "source").agg(F.sum("size").alias("source_size"))
     known = cut(targets(known, weights, share, cap, "k"), "mix-targets")
     hint = F.broadcast if is_small(known) else lambda df: df

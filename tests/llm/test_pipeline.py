@@ -29,6 +29,29 @@ def test_stages(spark):
     assert c.run(spark, d).count() == docs.count()
 
 
+def test_stages_leave_no_texts(spark):
+    """Of what a stage writes, only small tables stay, and of a run, only its last input."""
+    import os
+
+    import corpus_pipeline as c
+    from tessera.llm._common import scratch
+
+    d = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    there = lambda made: [p for p in made if os.path.exists(p.removeprefix("file://"))]
+    for stage in (c.line_dedup, c.jaccard_join):
+        with scratch() as made:
+            out = stage(spark, docs, d)
+        assert made and there(made) and not any({"text", "doc"} & set(spark.read.parquet(p).columns) for p in there(made))
+        assert out.count() > 0
+    with scratch() as made:
+        c.mixing(spark, docs, d)
+    assert sum("doc" in spark.read.parquet(p).columns for p in there(made)) == 1
+    with scratch() as made:
+        assert c.run(spark, d).count() > 0
+    assert [p.rsplit("/", 1)[1].split("-")[1] for p in there(made)] == ["stage4"]
+
+
 @pytest.mark.parametrize("n", [0, 40])
 def test_odd_input(spark, tmp_path, n):
     """Nulls, repeated rows, long texts; and no rows at all."""
