@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import time
 from collections.abc import Callable
@@ -41,8 +42,8 @@ def compare(spark: SparkSession, make: Callable[[], DataFrame], other: Callable[
     """(name, n, avg_ms, other_ms, speed_up, same): a query timed beside another engine's
     ``other``, which gives the rows in batches, with the same columns in the same order;
     same tells whether the rows agree, those of equal ``keys`` in the order of their
-    values. Rows are streamed on both sides; the driver holds a batch at a time."""
-    took = measure(spark, make, warm_up, runs, name).first()
+    values. Rows are streamed on both sides; the driver holds a batch at a time. The other
+    engine comes first."""
     times = []
     for _ in range(warm_up + runs):
         began = time.perf_counter()
@@ -51,10 +52,23 @@ def compare(spark: SparkSession, make: Callable[[], DataFrame], other: Callable[
         times.append((time.perf_counter() - began) * 1000)
     other_ms = sum(times[warm_up:]) / runs
     rows = _written(spark, other())
+    took = measure(spark, make, warm_up, runs, name).first()
     same = same_rows(make(), rows, keys, tolerance)
     return spark.createDataFrame([(name, took.n, took.avg_ms, other_ms, other_ms / took.avg_ms, same)], "name string, n long, avg_ms double, other_ms double, speed_up double, same boolean")
 
 
+def local_copy(spark: SparkSession, df: DataFrame, folder: str) -> None:
+    """Parquet files of ``df`` in a new folder on the driver's machine, for an engine that
+    reads no other. The workers write them, in row groups of 8 MB, as a reader may hold a
+    row group for each of its threads."""
+    path = shared_path(spark, "copy")
+    df.write.option("parquet.block.size", 8 << 20).parquet(path)
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path
+    files = hadoop(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    files.copyToLocalFile(False, hadoop(path), hadoop(f"file://{os.path.realpath(folder)}"), True)
+    files.delete(hadoop(path), True)
+
+
 def _written(spark: SparkSession, batches: pa.RecordBatchReader) -> DataFrame:
     """Batches that the driver gets, as a table in the shared folder."""
     path = shared_path(spark, "other")
@@ -64,7 +78,7 @@ def _written(spark: SparkSession, batches: pa.RecordBatchReader) -> DataFrame:
             for batch in batches:
                 out.write_batch(batch)
         to = hadoop(path)
-        to.getFileSystem(spark._jsc.hadoopConfiguration()).copyFromLocalFile(hadoop(f"file://{folder}/rows.parquet"), to)
+        to.getFileSystem(spark._jsc.hadoopConfiguration()).copyFromLocalFile(hadoop(f"file://{os.path.realpath(folder)}/rows.parquet"), to)
     return spark.read.parquet(path)
 
 

@@ -42,3 +42,25 @@ def test_compare_brings_no_rows_to_the_driver(spark, monkeypatch):
     same["changed"] = compare(spark, lambda: mine, changed.to_reader, "changed", keys=("i",), warm_up=0, runs=1).select("same").toPandas().same.tolist()
     assert same == {"equal": [True], "less": [False], "more": [False], "empty": [False], "changed": [False]}
     assert max(map(len, taken), default=0) <= 1
+
+
+def test_vendor_compare_reads_what_spark_can_read(spark):
+    spark._jsc.hadoopConfiguration().set("fs.viewfs.mounttable.tessera.link./in", f"file://{DATA}")
+    out = QUERIES["vendor_compare"](spark, "viewfs://tessera/in").select("name", "n", "timed", "same")
+    assert [tuple(r) for r in out.collect()] == [("csr", 3, True, True)]
+
+
+def test_vendor_compare_reads_large_row_groups(spark, tmp_path):
+    import duckdb
+
+    keys = "hash(range + {}) & 4611686018427387903"
+    tables = {
+        "lineitem": f"SELECT CAST({keys.format(1)} AS BIGINT) AS l_orderkey, CAST({keys.format(2)} AS BIGINT) AS l_partkey, 1::BIGINT AS l_suppkey, CAST(hash(range) % 1000000 AS DOUBLE) / 100 AS l_quantity, 0.5::DOUBLE AS l_discount FROM range(8000000) UNION ALL SELECT l_orderkey, l_partkey, l_suppkey, l_quantity, l_discount FROM '{DATA}/lineitem.parquet'",
+        "orders": f"FROM '{DATA}/orders.parquet'",
+        "part": f"FROM '{DATA}/part.parquet'",
+        "supplier": f"FROM '{DATA}/supplier.parquet'",
+    }
+    for name, sql in tables.items():
+        duckdb.execute(f"COPY ({sql}) TO '{tmp_path}/{name}.parquet' (FORMAT parquet, ROW_GROUP_SIZE 10000000)")
+    out = QUERIES["vendor_compare"](spark, str(tmp_path)).select("name", "n", "timed", "same")
+    assert [tuple(r) for r in out.collect()] == [("csr", 3, True, True)]
