@@ -64,3 +64,23 @@ def test_vendor_compare_reads_large_row_groups(spark, tmp_path):
         duckdb.execute(f"COPY ({sql}) TO '{tmp_path}/{name}.parquet' (FORMAT parquet, ROW_GROUP_SIZE 10000000)")
     out = QUERIES["vendor_compare"](spark, str(tmp_path)).select("name", "n", "timed", "same")
     assert [tuple(r) for r in out.collect()] == [("csr", 3, True, True)]
+
+
+def test_vendor_compare_goes_on_with_fewer_threads(spark, monkeypatch):
+    import duckdb
+
+    import tessera.bench
+
+    compare, connect, made, threads = tessera.bench.compare, duckdb.connect, [], []
+
+    def short_of_memory(*args, **named):
+        threads.append(made[0].sql("SELECT current_setting('threads')").fetchall()[0][0])
+        if threads[-1] > 1:
+            raise duckdb.OutOfMemoryException("Out of Memory Error: could not allocate block")
+        return compare(*args, **named)
+
+    monkeypatch.setattr(duckdb, "connect", lambda **named: made.append(connect(**named)) or made[0])
+    monkeypatch.setattr(tessera.bench, "compare", short_of_memory)
+    out = QUERIES["vendor_compare"](spark, DATA).select("name", "n", "timed", "same")
+    assert [tuple(r) for r in out.collect()] == [("csr", 3, True, True)]
+    assert threads == [4, 2, 1]
